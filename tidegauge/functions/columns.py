@@ -53,13 +53,16 @@ def is_missing(column: Column, data_type: T.DataType) -> Column:
     return column.isNull()
 
 
-def measurable(column: Column, keep_infinite: bool = False) -> Column:
-    """Value as double with NULL for NaN and, unless kept, for the infinities."""
+def countable(value: Column, keep_infinite: bool = False) -> Column:
+    """True for numbers that take part in drift: not NULL, NaN (which sorts above +inf) or -inf, nor +inf unless kept."""
+    above = value > F.lit(float("-inf"))
+    return above & (~F.isnan(value) if keep_infinite else value < F.lit(float("inf")))
+
+
+def measurable(column: Column) -> Column:
+    """Finite value as double, else NULL."""
     value = column.cast("double")
-    usable = ~F.isnan(value)
-    if not keep_infinite:
-        usable = usable & (F.abs(value) != F.lit(float("inf")))
-    return F.when(usable, value)
+    return F.when(countable(value), value)
 
 
 def key_hash(key: Column, seed: int) -> Column:
@@ -73,9 +76,10 @@ def unit_hash(key: Column, seed: int) -> Column:
     return key_hash(key, seed) / F.lit(HASH_RANGE)
 
 
-def cell_index(value: Column, cuts: Sequence[float], missing: int = -1) -> Column:
-    """Index of the right-closed cell ``(cut, next cut]`` a value falls into; -inf and NULL are ``missing``."""
-    chain = F.when(value.isNull() | (value == F.lit(float("-inf"))), F.lit(missing))
+def cell_index(column: Column, cuts: Sequence[float], missing: int = -1, keep_infinite: bool = False) -> Column:
+    """Index of the right-closed cell ``(cut, next cut]`` a value falls into; ``missing`` if it is not countable."""
+    value = column.cast("double")
+    chain = F.when(~F.coalesce(countable(value, keep_infinite), F.lit(False)), F.lit(missing))
     for position, cut in enumerate(cuts):
         chain = chain.when(value <= F.lit(float(cut)), F.lit(position))
     return chain.otherwise(F.lit(len(cuts)))
