@@ -31,13 +31,11 @@ def _missing_aggregates(df: DataFrame):
 def label_violations(df: DataFrame, contract: Contract, label: str = LABEL) -> DataFrame:
     """Labels outside the contract's domain, with their rows. Only distinct labels are compared."""
     found = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("rows"))
-    allowed = _allowed(df, contract, label)
-    return found.join(F.broadcast(allowed), found["label"].eqNullSafe(allowed["allowed"]), "left_anti")
-
-
-def _allowed(df: DataFrame, contract: Contract, label: str) -> DataFrame:
-    values = small_table(df.sparkSession, [{"allowed": str(v)} for v in contract.label_values], pa.schema([("allowed", pa.string())]))
-    return values.select(F.col("allowed").cast(df.schema[label].dataType).alias("allowed"))
+    rows = [{"text": None if v is None else str(v)} for v in contract.label_values]
+    allowed = small_table(df.sparkSession, rows, pa.schema([("text", pa.string())]))
+    typed = allowed.select("text", F.col("text").try_cast(df.schema[label].dataType).alias("allowed"))
+    readable = typed.where(F.col("text").isNull() | F.col("allowed").isNotNull())
+    return found.join(F.broadcast(readable), found["label"].eqNullSafe(readable["allowed"]), "left_anti")
 
 
 def missing_columns(df: DataFrame, contract: Contract) -> list[str]:
@@ -49,7 +47,10 @@ def _outside(df: DataFrame, contract: Contract, label: str):
     data_type = df.schema[label].dataType
     inside = F.lit(False)
     for value in contract.label_values:
-        inside = inside | F.col(label).eqNullSafe(F.lit(str(value)).cast(data_type))
+        if value is None:
+            inside = inside | F.col(label).isNull()
+        else:
+            inside = inside | F.coalesce(F.col(label) == F.lit(str(value)).try_cast(data_type), F.lit(False))
     return ~inside
 
 
