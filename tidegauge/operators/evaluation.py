@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import quoted, ratio
 
+CLASS_LITERALS = 200
 METRICS = ("accuracy", "precision", "recall", "f1")
 
 
@@ -163,9 +164,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
-    """Adds the balanced weight of each row's class; one row per class is broadcast."""
-    weights = class_weights(df, label).select(F.col("label").alias("_class"), F.col("weight").alias(weight))
-    return df.join(F.broadcast(weights), quoted(label).eqNullSafe(F.col("_class"))).drop("_class")
+    """Adds the balanced weight of each row's class. Few classes become literals; many are joined."""
+    weights = class_weights(df, label)
+    known = weights.limit(CLASS_LITERALS + 1).collect()
+    if len(known) <= CLASS_LITERALS:
+        chain = F.when(F.lit(False), F.lit(None).cast("double"))
+        for row in known:
+            chain = chain.when(quoted(label).eqNullSafe(F.lit(row["label"])), F.lit(row["weight"]))
+        return df.withColumn(weight, chain)
+    named = weights.select(F.col("label").alias("_class"), F.col("weight").alias(weight))
+    return df.join(named, quoted(label).eqNullSafe(F.col("_class"))).drop("_class")
 
 
 def confidence(probability: Column) -> Column:
