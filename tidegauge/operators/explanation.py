@@ -112,7 +112,6 @@ def with_drift_context(explanations: DataFrame, drift_report: DataFrame | None,
     if drift_report is None:
         return explanations.withColumn("drift_context", none)
     folded = drift_report.agg(F.map_from_entries(F.collect_list(F.struct("feature", "status"))).alias("statuses"))
-    statuses = F.broadcast(folded)
     top = F.slice("top_contributors", 1, top_k)
 
     def status(item: Column) -> Column:
@@ -130,8 +129,7 @@ def with_drift_context(explanations: DataFrame, drift_report: DataFrame | None,
         stable.alias("stable_features"),
         F.when(F.size(drifting) > 0, DRIFTING).otherwise(STABLE).alias("note"),
     )
-    # the right side is a single row: every explanation meets exactly one map
-    joined = explanations.join(statuses, F.lit(True), "left")
+    joined = explanations.withColumn("statuses", folded.scalar())
     return joined.withColumn("drift_context", F.when(F.size("statuses") > 0, context).otherwise(none)).drop("statuses")
 
 
