@@ -12,13 +12,27 @@ from tidegauge.config import HISTORY_LIMIT
 from tidegauge.functions.columns import without_record_ids
 from tidegauge.operators.mapping import project_record
 
-DRIFT_RECORD = T.StructType.fromDDL(
-    "timestamp timestamp, dataset string, psi double, drift_level string, features array<string>"
-)
-HEALTH_RECORD = T.StructType.fromDDL("timestamp timestamp, model string, status string, action string, reason string")
-ALERT_RECORD = T.StructType.fromDDL(
-    "alert_id string, state string, created_at timestamp, updated_at timestamp, type string, feature string, "
-    "psi double, dataset string, model_version string, timestamp timestamp, message string"
+TEXT, NUMBER, TIME = T.StringType(), T.DoubleType(), T.TimestampType()
+
+
+def _record(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+DRIFT_RECORD = _record(timestamp=TIME, dataset=TEXT, psi=NUMBER, drift_level=TEXT, features=T.ArrayType(TEXT))
+HEALTH_RECORD = _record(timestamp=TIME, model=TEXT, status=TEXT, action=TEXT, reason=TEXT)
+ALERT_RECORD = _record(
+    alert_id=TEXT,
+    state=TEXT,
+    created_at=TIME,
+    updated_at=TIME,
+    type=TEXT,
+    feature=TEXT,
+    psi=NUMBER,
+    dataset=TEXT,
+    model_version=TEXT,
+    timestamp=TIME,
+    message=TEXT,
 )
 
 RECORDS = {"drift": DRIFT_RECORD, "performance": HEALTH_RECORD, "alerts": ALERT_RECORD}
