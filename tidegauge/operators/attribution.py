@@ -94,7 +94,7 @@ def read_nodes(spark: SparkSession, model: Model) -> pd.DataFrame:
         F.col(f"{node}rightChild").alias("right"),
         F.col(f"{node}split.featureIndex").alias("feature"),
         F.col(f"{node}split.numCategories").alias("categories"),
-        F.col(f"{node}split.leftCategoriesOrThreshold")[0].alias("threshold"),
+        F.get(F.col(f"{node}split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"),
         F.col(f"{node}impurityStats").alias("stats"),
     )
     size = model.totalNumNodes if hasattr(model, "totalNumNodes") else model.numNodes
@@ -227,4 +227,4 @@ def attribution(
 
 def impact_column(impacts: Column, feature: str) -> Column:
     """Impact of one feature out of an impacts array."""
-    return F.filter(impacts, lambda item: item["feature"] == feature)[0]["impact"]
+    return F.get(F.filter(impacts, lambda item: item["feature"] == feature), F.lit(0))["impact"]

@@ -94,7 +94,7 @@ def align_features(df: DataFrame, expected: Sequence[str], keep: Sequence[str] =
     missing = [n for n in expected if n not in df.columns]
     if missing:
         raise SchemaError(f"features missing at scoring time: {missing}")
-    return df.select(*map(quoted, keep), *map(quoted, expected))
+    return df.select(*[quoted(k) for k in keep if k not in expected], *map(quoted, expected))
 
 
 def cast_all_string(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.errors import DatasetNotFoundError
+from tidegauge.session import small_table
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -70,9 +72,14 @@ def merge_csv(spark: SparkSession, paths: Sequence[str], schemas: Mapping[str, T
     return merged
 
 
+def small_names(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """Column names as a one-column text table, in order when written as one part."""
+    return small_table(spark, [{"value": n} for n in names], pa.schema([("value", pa.string())]))
+
+
 def column_names(spark: SparkSession, path: str) -> list[str]:
     """Column names from a one-column side file, in file order."""
-    lines = spark.read.option("wholetext", True).text(path).first()[0]
+    lines = spark.read.text(path, wholetext=True).first()[0]
     return [line.split(",")[0].strip() for line in lines.splitlines() if line.strip()]
 
 

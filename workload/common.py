@@ -85,7 +85,7 @@ def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus",
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"),
         F.when(price > 250000, 1).otherwise(0).alias("prediction"),
-        F.least(0.5 + F.abs(price - 250000) / 500000, F.lit(1.0)).alias("confidence"),
+        F.least(0.5 + F.abs(price - 250000) / 612345, F.lit(1.0)).alias("confidence"),
         F.when(price > 300000, "F").when(price > 150000, "O").otherwise("P").alias("guess"),
         F.when(price > 300000, 1).otherwise(0).alias("strict_rule"),
         F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(0).alias("parity_rule"),
@@ -96,7 +96,7 @@ SCORED_SQL = """
 SELECT o_orderkey, o_orderstatus,
        CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
        CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS prediction,
-       least(0.5::DOUBLE + abs(o_totalprice - 250000) / 500000, 1.0::DOUBLE) AS confidence,
+       least(0.5::DOUBLE + abs(o_totalprice - 250000) / 612345, 1.0::DOUBLE) AS confidence,
        CASE WHEN o_totalprice > 300000 THEN 'F' WHEN o_totalprice > 150000 THEN 'O' ELSE 'P' END AS guess,
        CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS strict_rule,
        CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END AS parity_rule
@@ -118,7 +118,7 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.month("o_orderdate").cast("double").alias("order_month"),
         F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
         F.when(price > 250000, 1).otherwise(0).alias("prediction"),
-        F.least(0.5 + F.abs(price - 250000) / 500000, F.lit(1.0)).alias("confidence"),
+        F.least(0.5 + F.abs(price - 250000) / 612345, F.lit(1.0)).alias("confidence"),
         F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("label"),
     )
 
@@ -127,7 +127,7 @@ ORDER_FEATURES_SQL = """
 SELECT o_orderkey, o_orderstatus, o_orderdate, o_totalprice, o_custkey::DOUBLE AS o_custkey,
        month(o_orderdate)::DOUBLE AS order_month, substr(o_orderpriority, 1, 1)::DOUBLE AS priority,
        CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS prediction,
-       least(0.5::DOUBLE + abs(o_totalprice - 250000) / 500000, 1.0::DOUBLE) AS confidence
+       least(0.5::DOUBLE + abs(o_totalprice - 250000) / 612345, 1.0::DOUBLE) AS confidence
 FROM orders"""
 
 HASH_SQL = "('0x' || substr(md5('42:' || {key}), 1, 13))::BIGINT::DOUBLE"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("drift_queries",)
+AREAS = ("drift_queries", "load_queries", "scoring_queries", "explain_queries", "record_queries", "stream_queries")
 
 QUERIES, ORACLE = {}, {}
 for area in AREAS:
