@@ -79,10 +79,19 @@ def unit_hash(key: Column, seed: int) -> Column:
 def cell_index(column: Column, cuts: Sequence[float], missing: int = -1, keep_infinite: bool = False) -> Column:
     """Index of the right-closed cell ``(cut, next cut]`` a value falls into; ``missing`` if it is not countable."""
     value = column.cast("double")
-    chain = F.when(~F.coalesce(countable(value, keep_infinite), F.lit(False)), F.lit(missing))
-    for position, cut in enumerate(cuts):
-        chain = chain.when(value <= F.lit(float(cut)), F.lit(position))
-    return chain.otherwise(F.lit(len(cuts)))
+    cell = choose([value <= F.lit(float(cut)) for cut in cuts], [F.lit(k) for k in range(len(cuts) + 1)])
+    return F.when(countable(value, keep_infinite), cell).otherwise(F.lit(missing))
+
+
+def choose(tests: Sequence[Column], results: Sequence[Column]) -> Column:
+    """The result before the first true test, or the last one. Tests must turn from false to true once, as they are
+    bisected: a value meets a logarithmic number of them."""
+    if not tests:
+        return results[0]
+    middle = len(tests) // 2
+    return F.when(tests[middle], choose(tests[:middle], results[: middle + 1])).otherwise(
+        choose(tests[middle + 1 :], results[middle + 1 :])
+    )
 
 
 def drift_status(psi: Column, limits: DriftLimits) -> Column:

@@ -25,7 +25,7 @@ def create_alerts(payload: DataFrame, run_id: str, at: Column | None = None) ->
 
 def state_changes(alerts: DataFrame, changes: DataFrame, check: bool = True) -> DataFrame:
     """Events (alert_id, state, updated_at) for changes of existing alerts; unknown ids are an error when checked."""
-    known = alerts.select("alert_id")
+    known = alerts.select("alert_id").distinct()
     if check:
         unknown = changes.select("alert_id").join(known, "alert_id", "left_anti").limit(1).collect()
         if unknown:
@@ -35,7 +35,7 @@ def state_changes(alerts: DataFrame, changes: DataFrame, check: bool = True) ->
 
 def unknown_alerts(alerts: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes whose alert does not exist."""
-    return changes.join(alerts.select("alert_id"), "alert_id", "left_anti")
+    return changes.join(alerts.select("alert_id").distinct(), "alert_id", "left_anti")
 
 
 def latest_states(events: DataFrame, key: str = "alert_id", order: str = "updated_at") -> DataFrame:

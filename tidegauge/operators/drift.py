@@ -118,16 +118,15 @@ def fit_profile(
 def bin_counts(df: DataFrame, profile: BaselineProfile, by: Sequence[str] = ()) -> DataFrame:
     """Rows per (by, feature position, bin) in one scan; missing values and unscored features are in bin -1.
 
-    The bin is a chain of comparisons with literals and the partial aggregation leaves a few rows per task, so the
-    shuffle does not grow with the table. Works on streams as well.
+    The bin is found by comparisons with literals, and a task sends one row per group, feature and bin, so the shuffle
+    does not grow with the table. Works on streams as well.
     """
     cells = []
     for baseline in profile.features:
         if baseline.edges:
-            cell = cell_index(quoted(baseline.feature), baseline.edges, NO_BIN, profile.keep_infinite)
+            cells.append(cell_index(quoted(baseline.feature), baseline.edges, NO_BIN, profile.keep_infinite))
         else:
-            cell = F.lit(NO_BIN)
-        cells.append(cell)
+            cells.append(F.lit(NO_BIN))
     names = [f"bin_{i}" for i in range(len(cells))]
     prepared = df.select(*by, *[cell.alias(name) for cell, name in zip(cells, names)])
     return (
@@ -137,14 +136,28 @@ def bin_counts(df: DataFrame, profile: BaselineProfile, by: Sequence[str] = ())
     )
 
 
+def histograms(counts: DataFrame, profile: BaselineProfile, by: Sequence[str] = ()) -> DataFrame:
+    """(by, position, histogram, current_rows): the bins of a feature as an array; works on the few counted rows."""
+    width = max([1, *[len(f.bin_rows) for f in profile.features]])
+    zero = F.lit(0).cast("bigint")
+    bins = [F.sum(F.when(F.col("bin") == b, F.col("n")).otherwise(zero)).alias(f"n{b}") for b in range(width)]
+    folded = counts.groupBy(*by, "position").agg(F.sum("n").alias("current_rows"), *bins)
+    return folded.select(*by, "position", F.array(*[f"n{b}" for b in range(width)]).alias("histogram"), "current_rows")
+
+
+def bin_frequencies(counts: DataFrame, profile: BaselineProfile) -> DataFrame:
+    """(feature, bin, expected_rows, actual_rows) of every bin of every scored feature."""
+    grid = profile.to_df(counts.sparkSession).join(F.broadcast(histograms(counts, profile)), "position", "left")
+    expected = grid.select("feature", "histogram", F.posexplode("bin_rows").alias("bin", "expected_rows"))
+    actual = F.coalesce(F.get("histogram", F.col("bin")), F.lit(0).cast("bigint"))
+    return expected.select("feature", "bin", "expected_rows", actual.alias("actual_rows"))
+
+
 def _psi(histogram: Column, baseline_rows: Column) -> Column:
     """Sum over the bins of (actual - expected) * ln((actual + eps) / (expected + eps)); 0 without rows or bins."""
-    actual_rows = F.transform(
-        F.sequence(F.lit(0), F.size(baseline_rows) - 1),
-        lambda b: F.coalesce(F.element_at(histogram, b), F.lit(0).cast("bigint")),
-    )
     plus = lambda total, n: total + n
     zero = F.lit(0).cast("bigint")
+    actual_rows = F.slice(histogram, F.lit(1), F.size(baseline_rows))
     actual_total = F.aggregate(actual_rows, zero, plus)
     expected_total = F.aggregate(baseline_rows, zero, plus)
     terms = F.zip_with(
@@ -160,22 +173,20 @@ def _psi(histogram: Column, baseline_rows: Column) -> Column:
 def psi_from_counts(counts: DataFrame, profile: BaselineProfile, by: Sequence[str] = ()) -> DataFrame:
     """(by, position, feature, psi_raw, baseline_rows, current_rows) from ``bin_counts``.
 
-    A group holds at most one row per bin. Without ``by`` every profiled feature is listed, also for an empty table.
+    Without ``by`` every profiled feature is listed, also for an empty table. Either broadcast side holds one row per
+    feature.
     """
-    spark = counts.sparkSession
-    entries = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
-    per_feature = counts.groupBy(*by, "position").agg(entries.alias("histogram"), F.sum("n").alias("current_rows"))
-    grid = profile.to_df(spark).select("position", "feature", "bin_rows", "baseline_rows")
+    grid = profile.to_df(counts.sparkSession).select("position", "feature", "bin_rows", "baseline_rows")
+    folded = histograms(counts, profile, by)
     if by:
-        joined = per_feature.join(F.broadcast(grid), "position")
+        joined = folded.join(F.broadcast(grid), "position")
     else:
-        joined = grid.join(F.broadcast(per_feature), "position", "left")
-    histogram = F.coalesce("histogram", F.create_map().cast("map<int,bigint>"))
+        joined = grid.join(F.broadcast(folded), "position", "left")
     return joined.select(
         *by,
         "position",
         "feature",
-        _psi(histogram, F.col("bin_rows")).alias("psi_raw"),
+        _psi(F.coalesce("histogram", F.array().cast("array<bigint>")), F.col("bin_rows")).alias("psi_raw"),
         "baseline_rows",
         F.coalesce("current_rows", F.lit(0).cast("bigint")).alias("current_rows"),
     )

@@ -37,7 +37,7 @@ def strongest(impacts: Column, top_k: int = 5) -> Column:
         ),
     )
     return F.transform(
-        F.slice(F.array_sort(ranked), 1, top_k),
+        F.slice(F.sort_array(ranked), 1, top_k),
         lambda item: F.struct(item["feature"].alias("feature"), item["impact"].alias("impact")),
     )
 
@@ -59,7 +59,7 @@ def summary_text(top: Column) -> Column:
 
     def phrase(before: str, after: str, chosen: Column) -> Column:
         names = F.array_join(F.slice(F.transform(chosen, lambda item: item["feature"]), 1, 2), ", ")
-        return F.when(F.size(chosen) > 0, F.concat(F.lit(before), names, F.lit(after)))
+        return F.concat(F.lit(before), F.nullif(names, F.lit("")), F.lit(after))
 
     raised = phrase(RAISED, RAISED_END, F.filter(top, lambda item: item["impact"] > 0))
     lowered = phrase(LOWERED, LOWERED_END, F.filter(top, lambda item: item["impact"] < 0))

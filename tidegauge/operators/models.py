@@ -105,8 +105,7 @@ def score_many(models: Mapping[str, Model], table: DataFrame, label: str = "labe
 
 
 def cross_validate(estimator: Estimator, folded: DataFrame, label: str = "label", fold: str = "fold") -> DataFrame:
-    """(fold, label, prediction) of every row by the model that did not see its fold."""
-    folded = folded.persist()
+    """(fold, label, prediction) of every row by the model that did not see its fold; persist the table before."""
     folds = sorted(r[0] for r in folded.select(fold).distinct().collect())
     parts = []
     for number in folds:

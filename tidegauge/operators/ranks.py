@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.columns import quoted
+from tidegauge.functions.columns import choose, quoted
 
 SAMPLE_VALUES = 1_000_000  # sampled values read to propose cuts, over all columns
 SAMPLE_ROWS = 100_000
@@ -91,25 +91,26 @@ class Cuts:
 
     def cell(self, value: Column) -> Column:
         """Cell number."""
-        chain = F.when(value.isNull(), F.lit(None).cast("int"))
-        for k, point in enumerate(self.points):
-            cut = F.lit(point)
-            chain = chain.when(value <= cut, F.when(value < cut, F.lit(2 * k)).otherwise(F.lit(2 * k + 1)))
-        return chain.otherwise(F.lit(2 * len(self.points)))
+        tests = [test for p in self.points for test in (value < F.lit(p), value <= F.lit(p))]
+        numbers = [F.lit(k) for k in range(len(tests) + 1)]
+        return F.when(value.isNotNull(), choose(tests, numbers))
 
     def folded(self, value: Column) -> Column:
         """The value, with each gap that is not live folded into one point inside that gap."""
-        chain = F.when(value.isNull(), F.lit(None).cast("double"))
-        for k in range(len(self.points) + 1):
-            low, high = self.bounds(k)
-            if k in self.live:
-                chain = chain.when(value <= F.lit(high), value)
-                continue
-            inside = low if math.isinf(low) else high if math.isinf(high) else low + (high - low) / 2
-            if math.isfinite(low):
-                chain = chain.when(value == F.lit(low), value)
-            chain = chain.when(value < F.lit(high), F.lit(inside))
-        return chain.otherwise(value)
+        tests, results, kept_before = [], [], False
+        for cell in range(2 * len(self.points) + 1):
+            low, high = self.bounds(cell // 2)
+            kept = cell % 2 == 1 or cell // 2 in self.live
+            if kept and kept_before:
+                tests.pop()  # neighbouring kept cells need no test between them
+            else:
+                inside = low if math.isinf(low) else high if math.isinf(high) else low + (high - low) / 2
+                results.append(value if kept else F.lit(inside))
+            if cell < 2 * len(self.points):
+                point = F.lit(self.points[cell // 2])
+                tests.append(value <= point if cell % 2 else value < point)
+            kept_before = kept
+        return F.when(value.isNotNull(), choose(tests, results))
 
     def only_live(self, value: Column) -> Column:
         """The value inside live gaps, else NULL."""

@@ -21,13 +21,13 @@ def write_parts(df: DataFrame, path: str, rows_per_file: int = PART_ROWS) -> Non
 
 
 def compact(spark: SparkSession, source: str, target: str, target_bytes: int = 256 << 20) -> int:
-    """Rewrite many part files as few; the number of files follows from their size. Returns that number."""
+    """Rewrite many part files as few, without a shuffle; the number of files follows from their size. Returns it."""
     size = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
         .load(source).agg(F.sum("length")).first()[0]
     )
     files = max(1, -(-(size or 0) // target_bytes))
-    spark.read.parquet(source).repartition(files).write.mode("overwrite").parquet(target)
+    spark.read.parquet(source).coalesce(files).write.mode("overwrite").parquet(target)
     return files
 
 

@@ -73,11 +73,8 @@ def drift_edges(spark, sf_dir):
 @query(f"WITH {c.SHIFTED_DRIFT_SQL} SELECT feature, bin, expected_rows, actual_rows FROM counts")
 def drift_bin_freq(spark, sf_dir):
     profile = c.lineitem_profile(spark, sf_dir)
-    counts = drift.bin_counts(c.shifted_lineitem(spark, sf_dir), profile)
-    grid = profile.to_df(spark).select("position", "feature", F.posexplode("bin_rows").alias("bin", "expected_rows"))
-    return grid.join(F.broadcast(counts), ["position", "bin"], "left").select(
-        "feature", F.col("bin").cast("bigint").alias("bin"), "expected_rows", F.coalesce("n", F.lit(0).cast("bigint")).alias("actual_rows")
-    )
+    rows = drift.bin_frequencies(drift.bin_counts(c.shifted_lineitem(spark, sf_dir), profile), profile)
+    return rows.withColumn("bin", F.col("bin").cast("bigint"))
 
 
 @query(f"WITH {c.SHIFTED_DRIFT_SQL} SELECT feature, psi, status FROM report ORDER BY psi DESC, feature LIMIT 3")
