@@ -87,7 +87,7 @@ def numbered_files(spark, sf_dir):
 @query("SELECT l_returnflag, count(*) AS rows, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1")
 def compact_parts(spark, sf_dir):
     parts, whole = scratch_path(spark, "parts"), scratch_path(spark, "whole")
-    sinks.write_parts(c.table(spark, sf_dir, "lineitem"), parts, 10_000)
+    sinks.write_parts(c.table(spark, sf_dir, "lineitem"), parts)
     sinks.compact(spark, parts, whole)
     table = spark.read.parquet(whole).groupBy("l_returnflag")
     return table.agg(F.count("*").alias("rows"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
