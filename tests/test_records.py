@@ -113,7 +113,7 @@ def test_history(spark, tmp_path):
 def test_record_ids_are_stripped_everywhere(spark):
     rows = spark.sql(
         "select 1 _id, named_struct('_id', 2, 'x', array(named_struct('_id', 3, 'y', 4))) s, "
-        "map('k', named_struct('_id', 5, 'z', 6)) m, cast(null as struct<_id:int,q:int>) n"
+        "map('k', named_struct('_id', 5, 'z', 6), '_id', null) m, cast(null as struct<_id:int,q:int>) n"
     )
     clean = without_record_ids(rows)
     assert '"_id"' not in clean.schema.json()

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tidegauge.contract import UniversalSchema
-from tidegauge.errors import CategoryLimitError, NotFittedError, SplitKeyError
+from tidegauge.errors import CategoryLimitError, ClassLimitError, NotFittedError, SplitKeyError
 from tidegauge.operators import evaluation, models, preprocessing, sampling
 from tidegauge.sources import sinks
 
@@ -59,6 +59,8 @@ def test_repeated_keys_cannot_be_split(spark):
     same = spark.range(100).select(F.lit(1).alias("key"), F.lit("a").alias("label"))
     with pytest.raises(SplitKeyError):
         sampling.stratified_split(same, "label", "key")
+    with pytest.raises(ClassLimitError):
+        sampling.stratified_split(spark.range(2000), "id", "id")
 
 
 def test_shared_hash_values_are_split_by_key(spark, monkeypatch):
@@ -166,6 +168,17 @@ def test_too_many_categories(spark, monkeypatch):
         preprocessing.FlowPreprocessor(["c"], []).fit(spark.range(50).select(F.col("id").cast("string").alias("c")))
 
 
+def test_sparse_encoding_equals_columns(spark, gaps):
+    from pyspark.ml.functions import vector_to_array
+
+    known = gaps.where("c is not null")
+    columns = preprocessing.FlowPreprocessor(["c"], []).fit(known)
+    other = spark.createDataFrame([("b",), ("z",), ("a",)], "c string")
+    dense = [tuple(r) for r in columns.transform(other).collect()]
+    encoded = preprocessing.sparse_encoder(["c"]).fit(known).transform(other)
+    assert [tuple(r[0]) for r in encoded.select(vector_to_array("c_encoded")).collect()] == dense
+
+
 # --- models ----------------------------------------------------------------------------------------------------------
 
 

@@ -29,6 +29,10 @@ class CategoryLimitError(TidegaugeError):
     """A category column has more values than can become one column each."""
 
 
+class ClassLimitError(TidegaugeError):
+    """A label has too many values to be a class label."""
+
+
 class SplitKeyError(TidegaugeError):
     """The split key is not unique enough for an exact split."""
 

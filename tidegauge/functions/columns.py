@@ -129,7 +129,12 @@ def _strip(column: Column, data_type: T.DataType, name: str) -> Column:
         return F.when(column.isNotNull(), F.struct(*kept))
     if isinstance(data_type, T.ArrayType):
         return F.transform(column, lambda item: _strip(item, data_type.elementType, name))
-    return F.transform_values(column, lambda _key, item: _strip(item, data_type.valueType, name))
+    kept = column
+    if isinstance(data_type.keyType, T.StringType):
+        kept = F.map_filter(kept, lambda key, _item: key != F.lit(name))
+    if not _mentions(data_type.valueType, name):
+        return kept
+    return F.transform_values(kept, lambda _key, item: _strip(item, data_type.valueType, name))
 
 
 def _mentions(data_type: T.DataType, name: str) -> bool:
@@ -137,4 +142,6 @@ def _mentions(data_type: T.DataType, name: str) -> bool:
         return any(f.name == name or _mentions(f.dataType, name) for f in data_type.fields)
     if isinstance(data_type, T.ArrayType):
         return _mentions(data_type.elementType, name)
-    return isinstance(data_type, T.MapType) and _mentions(data_type.valueType, name)
+    if isinstance(data_type, T.MapType):
+        return isinstance(data_type.keyType, T.StringType) or _mentions(data_type.valueType, name)
+    return False

@@ -65,8 +65,8 @@ def linear_weights(model: LogisticRegressionModel, features: Sequence[str]) -> d
 class LeafPaths:
     """Root-to-leaf paths of some trees, padded with neutral slots.
 
-    A slot is one distinct feature on the path: the row passes it when low < value <= high, and ``share`` is the
-    fraction of training rows that follow the path at the feature's splits.
+    A slot is one distinct feature on the path: the row passes it when low < value <= high (low is NaN when there is no
+    lower bound), and ``share`` is the fraction of training rows that follow the path at the feature's splits.
     """
 
     feature: np.ndarray
@@ -124,15 +124,15 @@ def _tree_paths(tree: pd.DataFrame, positive: int, trees: int) -> LeafPaths:
             values.append(stats[node][positive] / stats[node].sum() / trees)
             continue
         for child, is_left in ((left[node], True), (right[node], False)):
-            low, high, share = slots.get(feature[node], (-np.inf, np.inf, 1.0))
+            low, high, share = slots.get(feature[node], (np.nan, np.inf, 1.0))
             part = share * stats[child].sum() / stats[node].sum()
             cut = threshold[node]
-            bounds = (low, min(high, cut), part) if is_left else (max(low, cut), high, part)
+            bounds = (low, min(high, cut), part) if is_left else (np.fmax(low, cut), high, part)
             pending.append((child, {**slots, feature[node]: bounds}))
     width = max(1, max(map(len, paths)))
     shape = (len(paths), width)
     result = LeafPaths(
-        np.zeros(shape, dtype=np.int32), np.full(shape, -np.inf), np.full(shape, np.inf), np.ones(shape), np.array(values)
+        np.zeros(shape, dtype=np.int32), np.full(shape, np.nan), np.full(shape, np.inf), np.ones(shape), np.array(values)
     )
     for row, slots in enumerate(paths):
         for column, (index, (low, high, share)) in enumerate(slots.items()):
@@ -142,23 +142,30 @@ def _tree_paths(tree: pd.DataFrame, positive: int, trees: int) -> LeafPaths:
 
 
 def tree_shapley(rows: np.ndarray, paths: LeafPaths) -> np.ndarray:
-    """Shapley values (rows x features) of one tree."""
+    """Shapley values (rows x features) of one tree.
+
+    At a point t of the rule a passed slot contributes the factor share * (1 - t) + t, a failed one share * (1 - t).
+    Logarithms turn the product over the slots of a leaf into a matrix product with the passed slots.
+    """
     result = np.zeros(rows.shape)
     leaves, width = paths.feature.shape
     points, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
     points, weights = (points + 1) / 2, weights / 2
-    step = max(1, WORK_VALUES // max(1, leaves * width))
-    for start in range(0, len(rows), step):
-        block = rows[start : start + step]
-        x = block[:, paths.feature]
-        passed = ((x > paths.low) & (x <= paths.high)).astype(float)
-        inner = np.zeros(passed.shape)
-        for t, w in zip(points, weights):
-            factor = paths.share * (1 - t) + passed * t
-            inner += w * factor.prod(axis=2, keepdims=True) / factor
-        terms = paths.value[:, None] * (passed - paths.share) * inner
+    failed = paths.share[:, :, None] * (1 - points)
+    gain = (np.log(failed + points) - np.log(failed)).transpose(0, 2, 1)
+    start = np.log(failed).sum(axis=1) + np.log(weights)
+    value = paths.value[:, None, None]
+    if_passed = value * (1 - paths.share[:, :, None]) / (failed + points)
+    if_failed = -value * paths.share[:, :, None] / failed
+    low, high = paths.low[:, :, None], paths.high[:, :, None]
+    step = max(1, WORK_VALUES // (leaves * width))
+    for begin in range(0, len(rows), step):
+        x = rows[begin : begin + step].T[paths.feature]
+        passed = ~(x <= low) & (x <= high)
+        product = np.exp(start[:, :, None] + gain @ passed.astype(float))
+        terms = np.where(passed, if_passed @ product, if_failed @ product)
         for index in np.unique(paths.feature):
-            result[start : start + step, index] += np.where(paths.feature == index, terms, 0.0).sum(axis=(1, 2))
+            result[begin : begin + step, index] += terms[paths.feature == index].sum(axis=0)
     return result
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tidegauge.contract import CATEGORY, Contract, UniversalSchema
 from tidegauge.errors import ContractError, SchemaError
 from tidegauge.functions.columns import is_numeric, quoted, to_number
+from tidegauge.operators.ranks import order_statistics
 
 LABEL = "label"
 UNKNOWN = "unknown"
@@ -114,6 +115,13 @@ def project_record(df: DataFrame, record: T.StructType) -> DataFrame:
     return df.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in record.fields])
 
 
+def row_at(df: DataFrame, key: str, position: int) -> DataFrame:
+    """The row at a position (from 0) in the order of a unique numeric key; the table is not sorted for it."""
+    found = order_statistics(df, {key: quoted(key)}, lambda _name, count: [position] if position < count else [])
+    value = found[key].values.get(position)
+    return df.where(F.lit(False)) if value is None else df.where(quoted(key) == F.lit(value))
+
+
 def row_by_key(df: DataFrame, key: str, value) -> DataFrame:
     """Rows with a key value; the filter reaches the scan."""
     return df.where(quoted(key) == F.lit(value))

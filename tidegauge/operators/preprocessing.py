@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,12 +87,23 @@ def fit_categories(df: DataFrame, columns: Sequence[str]) -> list[CategoryState]
     for i, name in enumerate(columns):
         sizes = {r["value"]: r["n"] for r in rows if r["number"] == str(i)}
         if len(sizes) > CATEGORY_LIMIT or len(rows) > CATEGORY_LIMIT * len(columns):
-            raise CategoryLimitError(f"more than {CATEGORY_LIMIT} categories in '{name}' or its peers; use an indexed encoding")
+            raise CategoryLimitError(f"more than {CATEGORY_LIMIT} categories in '{name}' or its peers; use sparse_encoder")
         mode = min(sizes, key=lambda v: (-sizes[v], v)) if sizes else "missing_value"
         states.append(CategoryState(name, mode, tuple(sorted(sizes)) or (mode,)))
     return states
 
 
+def sparse_encoder(columns: Sequence[str], suffix: str = "_encoded") -> Pipeline:
+    """One-hot encoding as a sparse vector per column, for categories too many to be columns of their own.
+
+    Values are in order; unknown and missing ones encode to all zeros, as the extra slot they share is dropped.
+    """
+    indexed = [f"{c}_index" for c in columns]
+    indexer = StringIndexer(inputCols=list(columns), outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc")
+    encoder = OneHotEncoder(inputCols=indexed, outputCols=[f"{c}{suffix}" for c in columns], dropLast=True)
+    return Pipeline(stages=[indexer, encoder])
+
+
 def fit_numbers(df: DataFrame, columns: Sequence[str]) -> list[NumberState]:
     """Exact medians, then moments of the imputed column, derived from those of the present values."""
     if not columns:

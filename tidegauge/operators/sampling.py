@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.config import BACKGROUND_ROWS, FOLDS, SEED, TEST_SIZE
-from tidegauge.errors import SplitKeyError
+from tidegauge.errors import ClassLimitError, SplitKeyError
 from tidegauge.functions.columns import key_hash, quoted, unit_hash
 from tidegauge.operators.ranks import order_statistics
 
+CLASS_LIMIT = 1_000  # a label with more values is not a class label
 TIES_READ = 10_000  # rows with one hash value; more means that the key repeats
 
 
@@ -37,7 +38,9 @@ class Boundary:
 
 def class_sizes(df: DataFrame, label: str) -> dict[Any, int]:
     """Rows per class, in class order with NULL first."""
-    rows = df.groupBy(quoted(label).alias("label")).count().collect()
+    rows = df.groupBy(quoted(label).alias("label")).count().limit(CLASS_LIMIT + 1).collect()
+    if len(rows) > CLASS_LIMIT:
+        raise ClassLimitError(f"'{label}' has more than {CLASS_LIMIT} values")
     return {r["label"]: r["count"] for r in sorted(rows, key=lambda r: (r["label"] is not None, r["label"]))}
 
 

@@ -57,15 +57,16 @@ def numbered_files(spark: SparkSession, folder: str, prefix: str = "data_", patt
 def merge_csv(spark: SparkSession, paths: Sequence[str], schemas: Mapping[str, T.StructType] | None = None) -> DataFrame:
     """Union of CSV files by column name; columns a file lacks are NULL.
 
-    Files with equal headers are read by one scan.
+    Files with equal headers are read by one scan. Headers are looked up only for paths without a given schema.
     """
+    schemas = schemas or {}
     groups: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        header = tuple(spark.read.option("header", True).csv(path).columns)
+        header = tuple((schemas.get(path) or spark.read.option("header", True).csv(path).schema).fieldNames())
         groups.setdefault(header, []).append(path)
     merged = None
     for header, members in groups.items():
-        part = read_csv(spark, members, (schemas or {}).get(members[0]))
+        part = read_csv(spark, members, schemas.get(members[0]))
         merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
     if merged is None:
         raise DatasetNotFoundError("no CSV files to merge")

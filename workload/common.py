@@ -88,7 +88,7 @@ def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(0.5 + F.abs(price - 250000) / 612345, F.lit(1.0)).alias("confidence"),
         F.when(price > 300000, "F").when(price > 150000, "O").otherwise("P").alias("guess"),
         F.when(price > 300000, 1).otherwise(0).alias("strict_rule"),
-        F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(0).alias("parity_rule"),
+        F.when(price > 100000, 1).otherwise(0).alias("lenient_rule"),
     )
 
 
@@ -99,7 +99,7 @@ SELECT o_orderkey, o_orderstatus,
        least(0.5::DOUBLE + abs(o_totalprice - 250000) / 612345, 1.0::DOUBLE) AS confidence,
        CASE WHEN o_totalprice > 300000 THEN 'F' WHEN o_totalprice > 150000 THEN 'O' ELSE 'P' END AS guess,
        CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS strict_rule,
-       CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END AS parity_rule
+       CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS lenient_rule
 FROM orders"""
 
 ORDER_FEATURES = ["o_totalprice", "o_custkey", "order_month", "priority"]

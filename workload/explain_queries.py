@@ -178,19 +178,27 @@ def order_forest(spark, sf_dir):
     return rows, models.train(models.random_forest(10, 4), models.assemble(rows, c.ORDER_FEATURES, ["label"]))
 
 
-@query()
-def tree_shap(spark, sf_dir):
-    """Impacts of every order, the base value and what is left of the model's probability: about 0."""
+def _tree_impacts(spark, sf_dir):
     rows, model = order_forest(spark, sf_dir)
     kept = ["o_orderkey", *c.ORDER_FEATURES]
     scored = models.score(model, models.assemble(rows, c.ORDER_FEATURES, kept), kept)
-    impacts, base = attribution.tree_attribution(scored, model, c.ORDER_FEATURES, ["o_orderkey", "probability"])
+    return attribution.tree_attribution(scored, model, c.ORDER_FEATURES, ["o_orderkey", "probability"])
+
+
+@query()
+def tree_shap(spark, sf_dir):
+    """Impacts of every order."""
+    impacts, _ = _tree_impacts(spark, sf_dir)
+    named = [attribution.impact_column(F.col("impacts"), f).alias(f) for f in c.ORDER_FEATURES]
+    return impacts.select("o_orderkey", *named)
+
+
+@query("SELECT o_orderkey, 0.0::DOUBLE AS rest FROM orders")
+def tree_shap_additivity(spark, sf_dir):
+    """What impacts and base value leave of the model's probability: nothing, for every order."""
+    impacts, base = _tree_impacts(spark, sf_dir)
     total = F.aggregate("impacts", F.lit(base), lambda t, item: t + item["impact"])
-    return impacts.select(
-        "o_orderkey",
-        *[attribution.impact_column(F.col("impacts"), f).alias(f) for f in c.ORDER_FEATURES],
-        F.round(total - F.col("probability")[1], 6).alias("rest"),
-    )
+    return impacts.select("o_orderkey", (F.round(total - F.col("probability")[1], 6) + 0.0).alias("rest"))
 
 
 @query()

@@ -66,6 +66,12 @@ def row_by_key(spark, sf_dir):
     return row.select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 100")
+def row_at_position(spark, sf_dir):
+    row = mapping.row_at(c.table(spark, sf_dir, "orders"), "o_orderkey", 100)
+    return row.select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+
 # --- metrics ---------------------------------------------------------------------------------------------------------
 
 
@@ -159,7 +165,7 @@ def cv_summary(spark, sf_dir):
     return rounded(summary, *summary.columns)
 
 
-RULES = {"loose": "prediction", "parity": "parity_rule", "strict": "strict_rule"}
+RULES = {"loose": "prediction", "lenient": "lenient_rule", "strict": "strict_rule"}
 RULES_SQL = " UNION ALL ".join(f"SELECT '{m}' AS model, label, {p} AS prediction FROM ({c.SCORED_SQL})" for m, p in RULES.items())
 
 
