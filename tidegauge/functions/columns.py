@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -20,7 +21,7 @@ HASH_RANGE = float(16**HASH_DIGITS)
 
 def quoted(name: str) -> Column:
     """Column by exact name, also when the name holds dots or spaces."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
 
 
 def is_numeric(data_type: T.DataType) -> bool:
@@ -53,16 +54,10 @@ def is_missing(column: Column, data_type: T.DataType) -> Column:
     return column.isNull()
 
 
-def countable(value: Column, keep_infinite: bool = False) -> Column:
-    """True for numbers that take part in drift: not NULL, NaN (which sorts above +inf) or -inf, nor +inf unless kept."""
-    above = value > F.lit(float("-inf"))
-    return above & (~F.isnan(value) if keep_infinite else value < F.lit(float("inf")))
-
-
 def measurable(column: Column) -> Column:
-    """Finite value as double, else NULL."""
+    """Finite value as double, else NULL. NaN sorts above all numbers."""
     value = column.cast("double")
-    return F.when(countable(value), value)
+    return F.when((value > F.lit(-math.inf)) & (value < F.lit(math.inf)), value)
 
 
 def key_hash(key: Column, seed: int) -> Column:
@@ -76,22 +71,37 @@ def unit_hash(key: Column, seed: int) -> Column:
     return key_hash(key, seed) / F.lit(HASH_RANGE)
 
 
-def cell_index(column: Column, cuts: Sequence[float], missing: int = -1, keep_infinite: bool = False) -> Column:
-    """Index of the right-closed cell ``(cut, next cut]`` a value falls into; ``missing`` if it is not countable."""
-    value = column.cast("double")
-    cell = choose([value <= F.lit(float(cut)) for cut in cuts], [F.lit(k) for k in range(len(cuts) + 1)])
-    return F.when(countable(value, keep_infinite), cell).otherwise(F.lit(missing))
+def cell_index(name: str, cuts: Sequence[float], missing: int = -1, keep_infinite: bool = False) -> Column:
+    """Index of the right-closed cell ``(cut, next cut]`` a column's value falls into; ``missing`` if not countable."""
+    value = f"CAST({sql_name(name)} AS DOUBLE)"
+    below = f"NOT isnan({value})" if keep_infinite else f"{value} < {sql_double(math.inf)}"
+    cell = bisected([f"{value} <= {sql_double(cut)}" for cut in cuts], [str(k) for k in range(len(cuts) + 1)])
+    return F.expr(f"IF({value} > {sql_double(-math.inf)} AND {below}, {cell}, {missing})")
 
 
-def choose(tests: Sequence[Column], results: Sequence[Column]) -> Column:
-    """The result before the first true test, or the last one. Tests must turn from false to true once, as they are
-    bisected: a value meets a logarithmic number of them."""
+def bisected(tests: Sequence[str], results: Sequence[str]) -> str:
+    """SQL for the result before the first true test, or the last one.
+
+    Tests must turn from false to true once; they are bisected, so a value meets a logarithmic number of them. Written
+    as text because building hundreds of nested column objects takes longer than running them on a small table.
+    """
     if not tests:
         return results[0]
     middle = len(tests) // 2
-    return F.when(tests[middle], choose(tests[:middle], results[: middle + 1])).otherwise(
-        choose(tests[middle + 1 :], results[middle + 1 :])
-    )
+    before = bisected(tests[:middle], results[: middle + 1])
+    after = bisected(tests[middle + 1 :], results[middle + 1 :])
+    return f"IF({tests[middle]}, {before}, {after})"
+
+
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_double(value: float) -> str:
+    """Literal with exactly this value."""
+    if math.isinf(value):
+        return "DOUBLE('Infinity')" if value > 0 else "DOUBLE('-Infinity')"
+    return f"{float(value)!r}D"
 
 
 def drift_status(psi: Column, limits: DriftLimits) -> Column:

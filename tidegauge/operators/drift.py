@@ -124,7 +124,7 @@ def bin_counts(df: DataFrame, profile: BaselineProfile, by: Sequence[str] = ())
     cells = []
     for baseline in profile.features:
         if baseline.edges:
-            cells.append(cell_index(quoted(baseline.feature), baseline.edges, NO_BIN, profile.keep_infinite))
+            cells.append(cell_index(baseline.feature, baseline.edges, NO_BIN, profile.keep_infinite))
         else:
             cells.append(F.lit(NO_BIN))
     names = [f"bin_{i}" for i in range(len(cells))]
@@ -137,12 +137,18 @@ def bin_counts(df: DataFrame, profile: BaselineProfile, by: Sequence[str] = ())
 
 
 def histograms(counts: DataFrame, profile: BaselineProfile, by: Sequence[str] = ()) -> DataFrame:
-    """(by, position, histogram, current_rows): the bins of a feature as an array; works on the few counted rows."""
+    """(by, position, histogram, binned_rows, current_rows): the bins of a feature as an array.
+
+    Works on the few counted rows.
+    """
     width = max([1, *[len(f.bin_rows) for f in profile.features]])
-    zero = F.lit(0).cast("bigint")
-    bins = [F.sum(F.when(F.col("bin") == b, F.col("n")).otherwise(zero)).alias(f"n{b}") for b in range(width)]
-    folded = counts.groupBy(*by, "position").agg(F.sum("n").alias("current_rows"), *bins)
-    return folded.select(*by, "position", F.array(*[f"n{b}" for b in range(width)]).alias("histogram"), "current_rows")
+    folded = counts.groupBy(*by, "position").agg(
+        F.expr("sum(n) AS current_rows"),
+        F.expr("sum(IF(bin >= 0, n, 0L)) AS binned_rows"),
+        *[F.expr(f"sum(IF(bin = {b}, n, 0L)) AS n{b}") for b in range(width)],
+    )
+    bins = F.expr(f"array({', '.join(f'n{b}' for b in range(width))}) AS histogram")
+    return folded.select(*by, "position", bins, "binned_rows", "current_rows")
 
 
 def bin_frequencies(counts: DataFrame, profile: BaselineProfile) -> DataFrame:
@@ -153,30 +159,26 @@ def bin_frequencies(counts: DataFrame, profile: BaselineProfile) -> DataFrame:
     return expected.select("feature", "bin", "expected_rows", actual.alias("actual_rows"))
 
 
-def _psi(histogram: Column, baseline_rows: Column) -> Column:
-    """Sum over the bins of (actual - expected) * ln((actual + eps) / (expected + eps)); 0 without rows or bins."""
-    plus = lambda total, n: total + n
-    zero = F.lit(0).cast("bigint")
-    actual_rows = F.slice(histogram, F.lit(1), F.size(baseline_rows))
-    actual_total = F.aggregate(actual_rows, zero, plus)
-    expected_total = F.aggregate(baseline_rows, zero, plus)
-    terms = F.zip_with(
-        actual_rows,
-        baseline_rows,
-        lambda a, e: (a / actual_total - e / expected_total)
-        * F.ln((a / actual_total + PSI_EPSILON) / (e / expected_total + PSI_EPSILON)),
-    )
-    scored = (F.size(baseline_rows) > 0) & (actual_total > 0)
-    return F.when(scored, F.aggregate(terms, F.lit(0.0), plus)).otherwise(F.lit(0.0))
+# Sum over the bins of (actual - expected) * ln((actual + eps) / (expected + eps)), with shares of the binned rows.
+PSI = f"""
+aggregate(
+  zip_with(
+    slice(histogram, 1, size(bin_rows)), bin_rows,
+    (n, b) -> (n / binned_rows - b / baseline_binned)
+      * ln((n / binned_rows + {PSI_EPSILON!r}D) / (b / baseline_binned + {PSI_EPSILON!r}D))
+  ),
+  0D, (total, term) -> total + term
+)"""
 
 
 def psi_from_counts(counts: DataFrame, profile: BaselineProfile, by: Sequence[str] = ()) -> DataFrame:
     """(by, position, feature, psi_raw, baseline_rows, current_rows) from ``bin_counts``.
 
-    Without ``by`` every profiled feature is listed, also for an empty table. Either broadcast side holds one row per
-    feature.
+    A feature without bins or without current rows scores 0. Without ``by`` every profiled feature is listed, also for
+    an empty table. Either broadcast side holds one row per feature.
     """
-    grid = profile.to_df(counts.sparkSession).select("position", "feature", "bin_rows", "baseline_rows")
+    total = F.expr("aggregate(bin_rows, 0L, (total, n) -> total + n) AS baseline_binned")
+    grid = profile.to_df(counts.sparkSession).select("position", "feature", "bin_rows", "baseline_rows", total)
     folded = histograms(counts, profile, by)
     if by:
         joined = folded.join(F.broadcast(grid), "position")
@@ -186,9 +188,9 @@ def psi_from_counts(counts: DataFrame, profile: BaselineProfile, by: Sequence[st
         *by,
         "position",
         "feature",
-        _psi(F.coalesce("histogram", F.array().cast("array<bigint>")), F.col("bin_rows")).alias("psi_raw"),
+        F.expr(f"IF(size(bin_rows) > 0 AND binned_rows > 0, {PSI}, 0D) AS psi_raw"),
         "baseline_rows",
-        F.coalesce("current_rows", F.lit(0).cast("bigint")).alias("current_rows"),
+        F.expr("coalesce(current_rows, 0L) AS current_rows"),
     )
 
 

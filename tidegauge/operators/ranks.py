@@ -12,13 +12,12 @@ import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.columns import choose, quoted
+from tidegauge.functions.columns import bisected, quoted, sql_double
 
 SAMPLE_VALUES = 1_000_000  # sampled values read to propose cuts, over all columns
 SAMPLE_ROWS = 100_000
@@ -89,14 +88,13 @@ class Cuts:
     points: list[float]
     live: set[int]
 
-    def cell(self, value: Column) -> Column:
-        """Cell number."""
-        tests = [test for p in self.points for test in (value < F.lit(p), value <= F.lit(p))]
-        numbers = [F.lit(k) for k in range(len(tests) + 1)]
-        return F.when(value.isNotNull(), choose(tests, numbers))
+    def cell(self, name: str) -> Column:
+        """Cell number of a column's values."""
+        tests = [f"{name} {test} {sql_double(p)}" for p in self.points for test in ("<", "<=")]
+        return F.expr(f"IF({name} IS NULL, NULL, {bisected(tests, [str(k) for k in range(len(tests) + 1)])})")
 
-    def folded(self, value: Column) -> Column:
-        """The value, with each gap that is not live folded into one point inside that gap."""
+    def folded(self, name: str) -> Column:
+        """The values, with each gap that is not live folded into one point inside that gap."""
         tests, results, kept_before = [], [], False
         for cell in range(2 * len(self.points) + 1):
             low, high = self.bounds(cell // 2)
@@ -105,17 +103,19 @@ class Cuts:
                 tests.pop()  # neighbouring kept cells need no test between them
             else:
                 inside = low if math.isinf(low) else high if math.isinf(high) else low + (high - low) / 2
-                results.append(value if kept else F.lit(inside))
+                results.append(name if kept else sql_double(inside))
             if cell < 2 * len(self.points):
-                point = F.lit(self.points[cell // 2])
-                tests.append(value <= point if cell % 2 else value < point)
+                tests.append(f"{name} {'<=' if cell % 2 else '<'} {sql_double(self.points[cell // 2])}")
             kept_before = kept
-        return F.when(value.isNotNull(), choose(tests, results))
+        return F.expr(f"IF({name} IS NULL, NULL, {bisected(tests, results)})")
 
-    def only_live(self, value: Column) -> Column:
-        """The value inside live gaps, else NULL."""
-        tests = [(value > F.lit(low)) & (value < F.lit(high)) for low, high in map(self.bounds, sorted(self.live))]
-        return F.when(reduce(lambda x, y: x | y, tests, F.lit(False)), value)
+    def only_live(self, name: str) -> Column:
+        """The values inside live gaps, else NULL."""
+        inside = [
+            f"({name} > {sql_double(low)} AND {name} < {sql_double(high)})"
+            for low, high in map(self.bounds, sorted(self.live))
+        ]
+        return F.expr(f"IF({' OR '.join(inside) or 'false'}, {name}, NULL)")
 
     def bounds(self, gap: int) -> tuple[float, float]:
         low = self.points[gap - 1] if gap > 0 else -math.inf
@@ -175,7 +175,7 @@ def _narrow(table, open_, expected, wanted, names):
     """Count all cells, then cut the live gaps around the wanted ranks, guided by a sample of their values."""
     numbers = list(open_)
     counts = (
-        long_rows(table.select(*[open_[i].cell(F.col(f"c{i}")).alias(f"c{i}") for i in numbers]), [], [f"c{i}" for i in numbers], "cell")
+        long_rows(table.select(*[open_[i].cell(f"c{i}").alias(f"c{i}") for i in numbers]), [], [f"c{i}" for i in numbers], "cell")
         .where(F.col("cell").isNotNull())
         .groupBy("number", "cell")
         .count()
@@ -183,7 +183,7 @@ def _narrow(table, open_, expected, wanted, names):
     )
     sizes_by_cell = {(numbers[int(r["number"])], r["cell"]): r["count"] for r in counts}
     live = table.sample(fraction=min(1.0, SAMPLE_VALUES / expected), seed=2).select(
-        *[open_[i].only_live(F.col(f"c{i}")).alias(f"c{i}") for i in numbers]
+        *[open_[i].only_live(f"c{i}").alias(f"c{i}") for i in numbers]
     )
     read = long_rows(live, [], [f"c{i}" for i in numbers], "value").where(F.col("value").isNotNull()).toArrow()
     number, value = read["number"].to_numpy(zero_copy_only=False).astype(int), read["value"].to_numpy()
@@ -213,7 +213,7 @@ def _narrow(table, open_, expected, wanted, names):
 def _read(table, open_, wanted, names):
     """Count the distinct values of live gaps, read the counts, and look the wanted ranks up."""
     numbers = list(open_)
-    folded = table.select(*[open_[i].folded(F.col(f"c{i}")).alias(f"c{i}") for i in numbers])
+    folded = table.select(*[open_[i].folded(f"c{i}").alias(f"c{i}") for i in numbers])
     read = (
         long_rows(folded, [], [f"c{i}" for i in numbers], "value")
         .where(F.col("value").isNotNull())

@@ -147,13 +147,17 @@ def drift_ctes(base: str, current: str, features: dict[str, tuple[str, str]], te
         parts.append(f"SELECT 0 AS side, {position} AS position, '{name}' AS feature, ({b})::DOUBLE AS v FROM ({base})")
         parts.append(f"SELECT 1 AS side, {position} AS position, '{name}' AS feature, ({c})::DOUBLE AS v FROM ({current})")
     names = ", ".join(f"({i}, '{n}')" for i, n in enumerate([*features, *texts]))
-    shares = ", ".join(f"{k / 10}" for k in range(11))
+    shares = ", ".join(f"{k / 10}::DOUBLE" for k in range(11))
+    place = "((len(s) - 1)::DOUBLE * p)"
+    a, b = f"s[floor({place})::BIGINT + 1]", f"s[least(floor({place})::BIGINT + 2, len(s))]"
+    part = f"({place} - floor({place}))"
+    # interpolation in doubles as NumPy does it; quantile_cont may differ in the last bit, which can move a row
+    interpolated = f"CASE WHEN {part} < 0.5 THEN {a} + ({b} - {a}) * {part} ELSE {b} - ({b} - {a}) * (1 - {part}) END"
     return f"""
 x AS ({" UNION ALL ".join(parts)}),
 names(position, feature) AS (VALUES {names}),
-cuts AS (
-  SELECT feature, list_sort(list_distinct(quantile_cont(v, [{shares}]))) AS b FROM x WHERE side = 0 GROUP BY feature
-),
+ordered AS (SELECT feature, list_sort(list(v)) AS s FROM x WHERE side = 0 GROUP BY feature),
+cuts AS (SELECT feature, list_sort(list_distinct(list_transform([{shares}], lambda p: {interpolated}))) AS b FROM ordered),
 edges AS (SELECT feature, b[2:len(b) - 1] AS inner_edges FROM cuts WHERE len(b) >= 3),
 binned AS (
   SELECT x.feature, side, len(list_filter(inner_edges, lambda q: q < v)) AS bin FROM x JOIN edges USING (feature)
