@@ -112,25 +112,28 @@ def with_drift_context(explanations: DataFrame, drift_report: DataFrame | None,
     if drift_report is None:
         return explanations.withColumn("drift_context", none)
     folded = drift_report.agg(F.map_from_entries(F.collect_list(F.struct("feature", "status"))).alias("statuses"))
-    top = F.slice("top_contributors", 1, top_k)
-
-    def status(item: Column) -> Column:
-        return F.coalesce(F.element_at("statuses", item["feature"]), F.lit("no_drift"))
-
-    drifting = F.transform(
-        F.filter(top, lambda item: status(item) != "no_drift"),
+    marked = F.transform(
+        F.slice("top_contributors", 1, top_k),
         lambda item: F.struct(
-            item["feature"].alias("feature"), item["impact"].alias("impact"), status(item).alias("drift_status")
+            item["feature"].alias("feature"),
+            item["impact"].alias("impact"),
+            F.coalesce(F.element_at("statuses", item["feature"]), F.lit("no_drift")).alias("drift_status"),
         ),
     )
-    stable = F.transform(F.filter(top, lambda item: status(item) == "no_drift"), lambda item: item["feature"])
+    drifting = F.filter("_marked", lambda item: item["drift_status"] != "no_drift")
+    stable = F.transform(F.filter("_marked", lambda item: item["drift_status"] == "no_drift"), lambda item: item["feature"])
     context = F.struct(
-        drifting.alias("drifting_features"),
+        "drifting_features",
         stable.alias("stable_features"),
-        F.when(F.size(drifting) > 0, DRIFTING).otherwise(STABLE).alias("note"),
+        F.when(F.size("drifting_features") > 0, DRIFTING).otherwise(STABLE).alias("note"),
+    )
+    return (
+        explanations.withColumn("statuses", folded.scalar())
+        .withColumn("_marked", marked)
+        .withColumn("drifting_features", drifting)
+        .withColumn("drift_context", F.when(F.size("statuses") > 0, context).otherwise(none))
+        .drop("statuses", "_marked", "drifting_features")
     )
-    joined = explanations.withColumn("statuses", folded.scalar())
-    return joined.withColumn("drift_context", F.when(F.size("statuses") > 0, context).otherwise(none)).drop("statuses")
 
 
 def global_importance(

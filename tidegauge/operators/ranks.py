@@ -141,14 +141,13 @@ def _margin(sample: int) -> float:
 
 
 def _around_share(sample: np.ndarray, share: float, low: float, high: float) -> tuple[float, float, float]:
-    """Ends of a gap inside (low, high) that should hold the value at ``share``, and the share of rows in it."""
+    """Ends of a gap inside (low, high) that should hold the value at ``share``, and a high guess of its rows' share."""
     size, margin = len(sample), _margin(len(sample))
     first, last = math.floor((share - margin) * size), math.ceil((share + margin) * size)
-    return (
-        float(sample[first]) if first >= 0 and size else low,
-        float(sample[last]) if last < size else high,
-        min(1.0, share + margin) - max(0.0, share - margin),
-    )
+    low = float(sample[first]) if first >= 0 and size else low
+    high = float(sample[last]) if last < size else high
+    inside = max(0, np.searchsorted(sample, high, side="left") - np.searchsorted(sample, low, side="right"))
+    return low, high, min(1.0, (inside + 4 * math.sqrt(inside) + 4) / size) if size else 1.0
 
 
 def _propose(table, names, wanted, rows):
