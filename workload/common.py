@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,19 +54,19 @@ def lineitem_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return lineitem.where(F.col("l_shipdate") < split), lineitem.where(F.col("l_shipdate") >= split)
 
 
-@lru_cache(maxsize=8)
-def _frozen(sf_dir: str, features: tuple[str, ...]) -> BaselineProfile:
-    baseline, _ = lineitem_sides(SparkSession.getActiveSession(), sf_dir)
-    return fit_profile(baseline, features)
+_FROZEN: dict[tuple, BaselineProfile] = {}
 
 
 def lineitem_profile(spark: SparkSession, sf_dir: str, features: list[str] | None = None) -> BaselineProfile:
     """Frozen baseline of lineitem; fitted once per data folder, as in production."""
-    return _frozen(sf_dir, tuple(features or DRIFT_FEATURES))
+    key = (sf_dir, *(features or DRIFT_FEATURES))
+    if key not in _FROZEN:
+        _FROZEN[key] = fit_profile(lineitem_sides(spark, sf_dir)[0], key[1:])
+    return _FROZEN[key]
 
 
 def forget_profiles() -> None:
-    _frozen.cache_clear()
+    _FROZEN.clear()
 
 
 def shifted_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
