@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, exact_dedup, packing, warc
+from tidegauge.llm import bpe, exact_dedup, language_id, packing, simhash, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,25 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.col("group").alias("component_id"))
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the rows that are not held out; every row is predicted."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(F.coalesce(~held_out(), F.lit(True)) & F.col("lang").isNotNull()))
+    found = language_id.predict(docs, model)
+    return found.select(
+        F.col("key").alias("doc_id"), F.col("language").alias("lang_pred"), "score", "ambiguous"
+    ).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -72,10 +91,36 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("key").alias("vec_id"), "n_links", F.col("group").alias("component_id"), F.col("key").eqNullSafe(F.col("group")).alias("kept")
+    )
+
+
+OP8_SQL = """
+WITH RECURSIVE n AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM n
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+  WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.95
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), degrees AS (SELECT a, count(*) AS n_links FROM links GROUP BY a), lows AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN degrees ON degrees.a = vec_id LEFT JOIN lows ON lows.a = vec_id"""
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_simhash": op3_simhash,
+    "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
+    "op8_vectors": op8_vectors,
 }
-ORACLE = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL}
+ORACLE = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_vectors": OP8_SQL}
