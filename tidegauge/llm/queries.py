@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, exact_dedup, language_id, packing, simhash, vectors, warc
+from tidegauge.llm import bpe, exact_dedup, language_id, packing, simhash, suffixes, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +114,13 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_
        vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
 FROM embeddings LEFT JOIN degrees ON degrees.a = vec_id LEFT JOIN lows ON lows.a = vec_id"""
 
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_simhash": op3_simhash,
@@ -122,5 +129,6 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_vectors": op8_vectors,
+    "op9_repeats": op9_repeats,
 }
 ORACLE = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_vectors": OP8_SQL}

@@ -10,8 +10,8 @@ limit, the hardest ones. Every vector is indexed and every vector is a query. Ve
 so a hot cell is many small products; a block reports link counts per vector and a star per group of linked vectors,
 never the pairs. A pair found from either side counts on both.
 
-Defined cases: null vectors, vectors with null or non-finite components, zero vectors, and vectors of another length
-than most link with nothing; equal vectors link with each other; an empty table gives an empty result.
+Defined cases: null vectors, vectors with null or non-finite components, zero vectors, vectors of another length
+than most, and vectors with a null key link with nothing; repeated keys are rows of their own; equal vectors link with each other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,11 +104,12 @@ def fit(sample: np.ndarray, limit: float = LIMIT, recall: float = RECALL, center
 
 
 def representatives(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """Usable vectors, equal ones once: rep, copies, v (array<double>)."""
+    """Usable vectors, equal ones once: rep, key (the smallest), copies, v (array<double>)."""
     usable = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where(
-        "v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x != 0)"
+        "key is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x != 0)"
     )
-    return usable.groupBy("v").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
+    grouped = usable.groupBy("v").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
+    return saved(grouped, "vectors").withColumn("rep", F.monotonically_increasing_id())
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -148,7 +149,7 @@ def near_links(reps: DataFrame, limit: float = LIMIT, recall: float = RECALL, ce
     widths = reps.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
     width = widths["width"] if widths else 1
     reps = reps.where(F.size("v") == width)
-    picked = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    picked = reps.orderBy(F.xxhash64("key", "v"), "rep").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     index = fit(_matrix(picked, width), limit, recall, centers) if len(picked) else MultiIndex(np.zeros((1, 0)), np.zeros((1, width)), 1)
     shared = spark.sparkContext.broadcast(index)  # 2 x CENTERS half vectors
 
@@ -205,13 +206,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     met = saved(near_links(reps, limit, recall, centers), "vector-links")
     degrees = met.where("a is null").groupBy("rep").agg(F.sum("n").alias("n"))
     parts = components(met.where("a is not null").select("a", "b"))
-    parts = parts.select(F.col("node").alias("rep"), "root")
-    known = reps.join(degrees, "rep", "left").join(parts, "rep", "left")
+    parts = saved(parts.select(F.col("node").alias("rep"), "root"), "vector-parts")
+    lows = reps.join(parts, "rep").groupBy("root").agg(F.min("key").alias("low"))
+    known = reps.join(degrees, "rep", "left").join(parts.join(lows, "root"), "rep", "left")
     known = saved(
-        known.select("v", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("group")),
+        known.select("v", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("low", "key").alias("group")),
         "vector-groups",
     )
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    found = F.col("key").isNotNull()
     return rows.join(known, "v", "left").select(
-        "key", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("group", "key").alias("group")
+        "key", F.coalesce(F.when(found, F.col("n_links")), F.lit(0).cast("long")).alias("n_links"), F.coalesce(F.when(found, F.col("group")), "key").alias("group")
     )
