@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, exact_dedup, language_id, packing, simhash, suffixes, vectors, warc
+from tidegauge.llm import bpe, exact_dedup, language_id, packing, passages, simhash, suffixes, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,6 +121,14 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.fuzzy_passages(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"), "start", "stop", F.col("other").alias("other_id"), "other_start", "other_stop", "similarity"
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_simhash": op3_simhash,
@@ -130,5 +138,6 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_vectors": op8_vectors,
     "op9_repeats": op9_repeats,
+    "op10_passages": op10_passages,
 }
 ORACLE = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_vectors": OP8_SQL}
