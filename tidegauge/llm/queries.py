@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, exact_dedup, language_id, packing, passages, simhash, suffixes, vectors, warc
+from tidegauge.llm import bpe, exact_dedup, language_id, packing, passages, simhash, suffixes, tool_calls, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,91 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOOLS = [
+    ("look_up", "limit", "integer", True),
+    ("look_up", "query", "string", True),
+    ("rewrite", "query", "string", True),
+    ("rewrite", "strict", "boolean", False),
+    ("translate", "query", "string", True),
+    ("translate", "target", "string", True),
+]
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tool use: a user's turn calls a tool, the assistant's turn after it is the result.
+
+    A call needs the user's turn before it and, in every fourth turn, the first; which tool, and which arguments are
+    wrong, follows from turn and text. Turns of other roles stay messages without a call.
+    """
+    turns = table(spark, sf_dir, "conversations").withColumn("size", F.length("text"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("look_up", "rewrite", "translate")]), (F.pmod("size", F.lit(3)) + 1).cast("int"))
+    arguments = F.struct(
+        F.when(F.pmod("size", F.lit(7)) != 0, F.col("text")).alias("query"),
+        F.when(kind == "translate", F.lit("fr")).alias("target"),
+        F.when(kind == "look_up", F.pmod("size", F.lit(10))).alias("limit"),
+        F.when(kind == "rewrite", F.when(F.pmod("size", F.lit(2)) == 0, "true").otherwise("yes")).alias("strict"),
+    )
+    before = F.when(F.col("turn") >= 2, F.concat(F.lit("c"), F.col("turn") - 2))
+    start = F.when((F.col("turn") > 2) & (F.pmod("turn", F.lit(4)) == 0), F.lit("c0"))
+    calls = turns.where("role = 'user'").select(
+        F.col("conv_id").alias("conv"),
+        F.concat(F.lit("c"), "turn").alias("call"),
+        F.col("turn").alias("position"),
+        kind.alias("name"),
+        F.to_json(arguments).alias("arguments"),
+        F.filter(F.array(before, start), lambda x: x.isNotNull()).alias("needs"),
+    )
+    results = turns.where("role = 'assistant'").select(
+        F.col("conv_id").alias("conv"), F.concat(F.lit("c"), F.col("turn") - 1).alias("call"), F.col("turn").alias("position"), F.col("text").alias("content")
+    )
+    schemas = spark.createDataFrame(TOOLS, "tool string, field string, type string, required boolean")
+    linked = tool_calls.link(calls, results, schemas)
+    rest = turns.where("role is null or role not in ('user', 'assistant')").select(
+        F.col("conv_id").alias("conv"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call"), F.col("turn").alias("position"),
+        F.lit(None).cast("long").alias("step"), F.lit("plain").alias("status"), F.array().cast("array<string>").alias("errors"),
+        F.to_json(F.struct(F.col("text").alias("content"), "role", F.lit("message").alias("type"))).alias("message"),
+    )
+    return linked.unionByName(rest).select(F.col("conv").alias("conv_id"), "kind", "call", "position", "step", "status", F.array_join("errors", ",").alias("errors"), "message")
+
+
+OP2_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, role, text, ['look_up', 'rewrite', 'translate'][length(text) % 3 + 1] AS name FROM conversations
+), calls AS (SELECT *, 'c' || turn AS call FROM t WHERE role = 'user'
+), results AS (SELECT *, 'c' || (turn - 1) AS call FROM t WHERE role = 'assistant'
+), needs AS (
+  SELECT conv_id, call, 'c' || (turn - 2) AS need FROM calls WHERE turn >= 2
+  UNION SELECT conv_id, call, 'c0' FROM calls WHERE turn > 2 AND turn % 4 = 0
+), known AS (SELECT needs.* FROM needs JOIN calls ON needs.conv_id = calls.conv_id AND needs.need = calls.call
+), lost AS (
+  SELECT conv_id, call, list_sort(list('needs:' || need)) AS lost FROM needs ANTI JOIN calls ON needs.conv_id = calls.conv_id AND needs.need = calls.call
+  GROUP BY ALL
+), walk AS (
+  SELECT conv_id, call, 0 AS level FROM calls
+  UNION SELECT known.conv_id, known.call, level + 1 FROM walk JOIN known ON walk.conv_id = known.conv_id AND walk.call = known.need
+), depth AS (SELECT conv_id, call, max(level) AS level FROM walk GROUP BY ALL
+), shown AS (
+  SELECT c.conv_id, 'call' AS kind, c.call, c.turn AS position, (2 * level)::BIGINT AS step, CASE WHEN r.call IS NULL THEN 'pending' ELSE 'linked' END AS status,
+         array_to_string(list_concat(
+           CASE WHEN length(c.text) % 7 = 0 THEN ['missing:query'] ELSE []::VARCHAR[] END,
+           CASE WHEN c.name = 'rewrite' THEN ['type:strict'] ELSE []::VARCHAR[] END,
+           coalesce(lost, []::VARCHAR[])), ',') AS errors,
+         '{"arguments":{' || array_to_string(list_filter([
+           CASE WHEN c.name = 'look_up' THEN '"limit":' || length(c.text) % 10 END,
+           CASE WHEN length(c.text) % 7 <> 0 THEN '"query":' || to_json(c.text) END,
+           CASE WHEN c.name = 'rewrite' THEN '"strict":' || CASE WHEN length(c.text) % 2 = 0 THEN '"true"' ELSE '"yes"' END END,
+           CASE WHEN c.name = 'translate' THEN '"target":"fr"' END], lambda x: x IS NOT NULL), ',')
+         || '},"id":"' || c.call || '","name":"' || c.name || '","type":"call"}' AS message
+  FROM calls c JOIN depth USING (conv_id, call) LEFT JOIN lost USING (conv_id, call) LEFT JOIN results r USING (conv_id, call)
+)
+SELECT * FROM shown
+UNION ALL SELECT r.conv_id, 'result', r.call, r.turn, 2 * level + 1, CASE WHEN level IS NULL THEN 'orphan' ELSE 'linked' END, '',
+       '{"content":' || to_json(r.text) || ',"id":"' || r.call || '","type":"result"}'
+FROM results r LEFT JOIN depth USING (conv_id, call)
+UNION ALL SELECT conv_id, 'message', NULL, turn, NULL, 'plain', '', '{"content":' || to_json(text) || ',"role":' || to_json(role) || ',"type":"message"}'
+FROM t WHERE role IS NULL OR role NOT IN ('user', 'assistant')"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.col("group").alias("component_id"))
@@ -131,6 +216,7 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_tool_calls": op2_tool_calls,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
@@ -140,4 +226,4 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op10_passages": op10_passages,
 }
-ORACLE = {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_vectors": OP8_SQL}
+ORACLE = {"op2_tool_calls": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_vectors": OP8_SQL}
