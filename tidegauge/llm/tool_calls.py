@@ -5,7 +5,7 @@ dependencies, arguments are validated against the tools' schemas, and every mess
 (keys sorted, no white space, numbers and strings in one form).
 
 Levels are found by path doubling: an edge to a call that has one dependency left is replaced by an edge to that
-dependency, so a chain of n calls takes log2(n) rounds. Identifiers, not conversations, are the keys of every shuffle:
+dependency, so a chain of n calls takes log2(n) rounds; a round touches only calls whose level is still open. Identifiers, not conversations, are the keys of every shuffle:
 a conversation with a third of all calls is spread like any other, and no group is gathered in a row or a task.
 
 Defined cases: null identifiers link with nothing; of calls with one identifier the first by position (then by JSON) is
@@ -16,6 +16,8 @@ of the call and does not order it; arguments that are no JSON object are an erro
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +44,13 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     ``calls``: distinct (conv, call); ``needs``: distinct (conv, call, need) between them.
     """
     most = calls.count()
-    depth = saved(calls.select("conv", "call", F.lit(0).cast("long").alias("level"), F.lit(False).alias("cyclic")), "levels")
     edges = saved(needs.select("conv", "call", "need", F.lit(1).cast("long").alias("w")), "needs")
+    start = calls.select("conv", "call", F.lit(0).cast("long").alias("level"), F.lit(False).alias("cyclic"))
+    open_, done = _split(start, edges)
+    settled = [done]
     while not edges.isEmpty():
         left = edges.groupBy("conv", "call").agg(F.count("*").alias("n"), F.min("need").alias("next"), F.min("w").alias("more"))
-        state = depth.join(left, ["conv", "call"], "left").select(
+        state = open_.join(left, ["conv", "call"], "left").select(
             "conv", F.col("call").alias("need"), "level", "cyclic", F.coalesce("n", F.lit(0)).alias("n"), "next", "more"
         )
         met = saved(edges.join(state, ["conv", "need"]), "met")
@@ -63,12 +67,20 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
             news = kept.select("conv", "call", F.lit(0).cast("long").alias("up"), F.lit(True).alias("bad"))
             kept = kept.where("false")
         news = news.groupBy("conv", "call").agg(F.max("up").alias("up"), F.max("bad").alias("bad"))
-        depth = depth.join(news, ["conv", "call"], "left").select(
+        risen = open_.join(news, ["conv", "call"], "left").select(
             "conv", "call", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), (F.col("cyclic") | F.coalesce("bad", F.lit(False))).alias("cyclic")
         )
-        depth = saved(depth, "levels")
         edges = saved(kept.where("not wrong").select("conv", "call", "need", "w"), "needs")
-    return depth
+        open_, done = _split(risen, edges)
+        settled.append(done)
+    return reduce(DataFrame.unionByName, settled)
+
+
+def _split(depth: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The calls that the remaining edges touch, and the others, whose level is final."""
+    ends = edges.select("conv", "call").union(edges.select("conv", F.col("need").alias("call"))).distinct()
+    marked = saved(depth.join(ends.withColumn("touched", F.lit(True)), ["conv", "call"], "left"), "levels")
+    return marked.where("touched").drop("touched"), marked.where("touched is null").drop("touched")
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
