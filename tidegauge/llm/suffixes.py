@@ -179,7 +179,7 @@ def settled(found: DataFrame) -> DataFrame:
 
 
 def suffix_order(text: bytes, starts: np.ndarray, length: int) -> list[int]:
-    """The starts in the order of the ``length`` bytes that follow them.
+    """The starts, each with ``length`` bytes after it at least, in the order of these bytes.
 
     First stage: suffixes smaller than their successor are sorted directly. Second stage: scanning the order from the
     left, each suffix places its predecessor, if that is the larger one, at the front of its bucket of first bytes.
