@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from tidegauge.llm.common import Memo, lists, mapped, slabs, texts
 
 #: Pieces of text, matches in them, and token pairs remembered per Python worker.
-PIECES_KEPT, WORDS_KEPT, PAIRS_KEPT = 300_000, 150_000, 500_000
+PIECES_KEPT, WORDS_KEPT, PAIRS_KEPT = 150_000, 100_000, 100_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
-SLAB_BYTES = 4_000_000
+SLAB_BYTES = 2_000_000
 BLANK_LEFT = re.compile(r" \s").search
 
 

@@ -28,7 +28,7 @@ from tidegauge.llm.common import joined_bytes, mapped, saved, slabs, small, tall
 
 LENGTH = 400
 GRAM = 48
-WIDE = 2_000
+WIDE = 50_000
 #: Bytes of text worked on at once: for anchors, and for one suffix array.
 CHUNK, ARRAY = 1 << 21, 1 << 18
 
