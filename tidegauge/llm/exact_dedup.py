@@ -13,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import saved
+from tidegauge.llm.common import saved, small
 
 WHITE = " \t\n\x0b\x0c\r"
 #: Digests above this share of the rows are certainly found; at most 1 / SUPPORT digests are broadcast.
 SUPPORT = 0.001
+#: Bytes of a dropped row's key and digest, for the check before a broadcast.
+ROW_BYTES = 64
 
 
 def normalised(text: str = "text") -> Column:
@@ -74,12 +76,13 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", suppor
     groups = saved(exact_groups(docs, key, text, support), "groups")
     marked = docs.withColumn("__digest", F.unhex(F.sha2(normalised(text).cast("binary"), 256)))
     ids = groups.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.max("kept").alias("stays"))
-    odd = saved(ids.where("copies > 1 or not stays"), "odd").select(
-        F.col("key").alias("__key"), F.col("digest").alias("__other"), "stays"
-    )
+    odd = ids.where("copies > 1 or not stays").select(F.col("key").alias("__key"), F.col("digest").alias("__other"), "stays")
+    odd = saved(odd, "odd")
     same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__digest") == F.col("__other"))
-    plain = marked.join(odd, same, "left_anti")
+    kept = marked.join(small(odd, ROW_BYTES), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if odd.where("stays").isEmpty():
+        return kept
     points = F.length(F.coalesce(F.col(text), F.lit("")))
     whole = F.struct(points.alias("__points"), *[F.col(f"`{c}`") for c in docs.columns])
-    repeated = marked.join(odd.where("stays"), same, "left_semi").groupBy(key, "__digest").agg(F.max_by(whole, points).alias("whole"))
-    return plain.select(*[F.col(f"`{c}`") for c in docs.columns]).union(repeated.select(*[F.col(f"whole.`{c}`") for c in docs.columns]))
+    repeated = marked.join(small(odd.where("stays"), ROW_BYTES), same, "left_semi").groupBy(key, "__digest").agg(F.max_by(whole, points).alias("whole"))
+    return kept.union(repeated.select(*[F.col(f"whole.`{c}`") for c in docs.columns]))
