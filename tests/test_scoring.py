@@ -243,3 +243,43 @@ def test_balanced_training_uses_weights(separable):
         for m in (plain, balanced)
     ]
     assert recall[1] >= recall[0]
+
+
+def test_null_classes_are_in_the_grid(spark):
+    from tidegauge.operators import evaluation
+
+    scored = spark.createDataFrame([("a", "a"), ("a", None), (None, "b"), (None, None)], "label string, prediction string")
+    counts = evaluation.confusion_counts(scored)
+    grid = evaluation.confusion_matrix(counts).collect()
+    assert len(grid) == 9 and sum(r["n"] for r in grid) == 4
+
+
+def test_null_split_keys_and_deep_trees_are_errors(spark):
+    from tidegauge.errors import SplitKeyError
+    from tidegauge.operators import models, sampling
+
+    rows = spark.createDataFrame([(1, "a"), (None, "a")], "k long, label string")
+    with pytest.raises(SplitKeyError):
+        sampling.stratified_split(rows, "label", "k")
+    with pytest.raises(SplitKeyError):
+        sampling.stratified_folds(rows, "label", "k")
+    with pytest.raises(ValueError, match="50"):
+        models.random_forest(depth=50)
+
+
+def test_large_keys_keep_their_place(spark):
+    from tidegauge.operators import mapping
+
+    rows = spark.createDataFrame([(2**53 + k,) for k in range(4)], "k long")
+    assert [r.k - 2**53 for p in range(4) for r in mapping.row_at(rows, "k", p).collect()] == [0, 1, 2, 3]
+
+
+def test_merged_files_of_other_types(spark, tmp_path):
+    from pyspark.sql import types as T
+    from tidegauge.sources import readers
+
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    (tmp_path / "b.csv").write_text("x\n1.5\n")
+    a, b = (str(tmp_path / n) for n in ("a.csv", "b.csv"))
+    kinds = {a: T.StructType([T.StructField("x", T.IntegerType())]), b: T.StructType([T.StructField("x", T.DoubleType())])}
+    assert sorted(r.x for r in readers.merge_csv(spark, [a, b], kinds).collect()) == [1.0, 1.5]

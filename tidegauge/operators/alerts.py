@@ -39,10 +39,13 @@ def unknown_alerts(alerts: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def latest_states(events: DataFrame, key: str = "alert_id", order: str = "updated_at") -> DataFrame:
-    """The newest event per id. Each task sends one row per id it saw, so busy ids do not pile up."""
+    """The newest event per id; of equally new ones the largest in the other columns, NULL being smallest.
+
+    Each task sends one row per id it saw, so busy ids do not pile up.
+    """
     columns = [c for c in events.columns if c != key]
-    newest = F.max_by(F.struct(*columns), F.col(order)).alias("newest")
-    return events.groupBy(key).agg(newest).select(key, "newest.*")
+    newest = F.max(F.struct(order, *[c for c in columns if c != order])).alias("newest")
+    return events.groupBy(key).agg(newest).select(key, *[F.col("newest")[c].alias(c) for c in columns])
 
 
 def alerts_in_state(current: DataFrame, state: str | None = None) -> DataFrame:

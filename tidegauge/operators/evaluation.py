@@ -27,15 +27,16 @@ def confusion_counts(
 
 
 def confusion_matrix(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """All (label, prediction) cells, empty ones as 0."""
-    cells = counts.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.struct("label", "prediction"), "n"))).alias("cells"),
-        F.array_union(F.collect_set("label"), F.collect_set("prediction")).alias("classes"),
-    )
-    rows = cells.select(*by, "cells", "classes", F.explode("classes").alias("label"))
-    grid = rows.select(*by, "cells", "label", F.explode("classes").alias("prediction"))
-    n = F.element_at("cells", F.struct("label", "prediction"))
-    return grid.select(*by, "label", "prediction", F.coalesce(n, F.lit(0).cast("bigint")).alias("n"))
+    """All (label, prediction) cells, empty ones as 0; NULL is a class like any other."""
+    one = lambda c: F.collect_set(F.struct(quoted(c).alias("c")))  # noqa: E731 - a struct keeps NULL
+    classes = counts.groupBy(*by).agg(F.array_union(one("label"), one("prediction")).alias("classes"))
+    rows = classes.select(*by, "classes", F.explode("classes").alias("row"))
+    grid = rows.select(*by, F.col("row.c").alias("label"), F.explode("classes").alias("column"))
+    grid = grid.select(*by, "label", F.col("column.c").alias("prediction")).alias("grid")
+    keys = [*by, "label", "prediction"]
+    same = [F.col(f"grid.`{k}`").eqNullSafe(F.col(f"counts.`{k}`")) for k in keys]
+    joined = grid.join(counts.alias("counts"), same, "left")
+    return joined.select(*[F.col(f"grid.`{k}`") for k in keys], F.coalesce("counts.n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def normalized_confusion(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

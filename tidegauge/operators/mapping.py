@@ -16,6 +16,7 @@ from tidegauge.operators.ranks import order_statistics
 
 LABEL = "label"
 UNKNOWN = "unknown"
+EXACT_DOUBLE = 2**53
 
 
 def binary_label(label: Column, contract: Contract) -> Column:
@@ -119,7 +120,12 @@ def row_at(df: DataFrame, key: str, position: int) -> DataFrame:
     """The row at a position (from 0) in the order of a unique numeric key; the table is not sorted for it."""
     found = order_statistics(df, {key: quoted(key)}, lambda _name, count: [position] if position < count else [])
     value = found[key].values.get(position)
-    return df.where(F.lit(False)) if value is None else df.where(quoted(key) == F.lit(value))
+    if value is None:
+        return df.where(F.lit(False))
+    if abs(value) < EXACT_DOUBLE:
+        return df.where(quoted(key) == F.lit(value))
+    same = df.where(quoted(key).cast("double") == F.lit(value))  # larger keys share a double with their neighbours
+    return same.orderBy(quoted(key)).offset(position - found[key].below[position]).limit(1)
 
 
 def row_by_key(df: DataFrame, key: str, value) -> DataFrame:

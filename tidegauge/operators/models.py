@@ -31,10 +31,12 @@ def logistic_regression(rows: int, max_iter: int = 500, label: str = "label") ->
     )
 
 
-def random_forest(trees: int = 200, depth: int = 15, weight: str | None = None, label: str = "label") -> RandomForestClassifier:
-    """Bagged trees; ``depth`` None grows as deep as MLlib allows."""
+def random_forest(trees: int = 200, depth: int | None = 15, weight: str | None = None, label: str = "label") -> RandomForestClassifier:
+    """Bagged trees; ``depth`` None grows as deep as MLlib allows, a larger one is an error."""
+    if depth is not None and depth > MAX_DEPTH:
+        raise ValueError(f"depth {depth} is above {MAX_DEPTH}, the deepest tree there is")
     forest = RandomForestClassifier(
-        labelCol=label, numTrees=trees, maxDepth=min(depth or MAX_DEPTH, MAX_DEPTH), seed=SEED
+        labelCol=label, numTrees=trees, maxDepth=MAX_DEPTH if depth is None else depth, seed=SEED
     )
     return forest.setWeightCol(weight) if weight else forest
 

@@ -85,12 +85,18 @@ def _shared(df, label, key, label_value, hashed, value, first) -> Boundary:
     return Boundary(value, keys[first - 1])
 
 
+def _require_keys(df: DataFrame, key: str) -> None:
+    if not df.where(quoted(key).isNull()).isEmpty():
+        raise SplitKeyError(f"'{key}' has NULL values, such rows cannot be assigned")
+
+
 def stratified_split(
     df: DataFrame, label: str, key: str, test_size: float = TEST_SIZE, seed: int = SEED, exact: bool = True
 ) -> DataFrame:
     """Adds ``part`` (train or test). Exact class quotas, or independent draws per row in a single lazy pass."""
     if not exact:
         return df.withColumn("part", F.when(unit_hash(quoted(key), seed) < test_size, "test").otherwise("train"))
+    _require_keys(df, key)
     sizes = class_sizes(df, label)
     quotas = test_quotas(sizes, test_size)
     found = class_boundaries(df, label, key, {c: [q] for c, q in quotas.items() if q}, sizes, seed)
@@ -102,6 +108,7 @@ def stratified_split(
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = FOLDS, seed: int = SEED) -> DataFrame:
     """Adds ``fold`` (0 to k-1); within a class, fold sizes differ by at most one row."""
+    _require_keys(df, key)
     sizes = class_sizes(df, label)
     ends = {c: [((i * (n // k)) + min(i, n % k)) for i in range(1, k)] for c, n in sizes.items()}
     usable = {c: [e for e in cuts if 0 < e < sizes[c]] for c, cuts in ends.items()}

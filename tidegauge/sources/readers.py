@@ -43,7 +43,8 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 def numbered_files(spark: SparkSession, folder: str, prefix: str = "data_", pattern: str = "*.csv") -> DataFrame:
     """(number, path, name) of ``<prefix><number>`` files or table folders in number order, without name files."""
-    inside = F.expr("substring(path, instr(path, :root) + length(:root))".replace(":root", f"'{folder.rstrip('/')}'"))
+    root = folder.rstrip("/")
+    inside = F.col("path").substr(F.locate(root, F.col("path")) + len(root), F.length("path"))
     number = F.regexp_extract(inside, rf"/{prefix}(\d+)\.", 1)
     return (
         list_files(spark, folder, pattern)
@@ -57,12 +58,14 @@ def numbered_files(spark: SparkSession, folder: str, prefix: str = "data_", patt
 def merge_csv(spark: SparkSession, paths: Sequence[str], schemas: Mapping[str, T.StructType] | None = None) -> DataFrame:
     """Union of CSV files by column name; columns a file lacks are NULL.
 
-    Files with equal headers are read by one scan. Headers are looked up only for paths without a given schema.
+    Files with equal headers and types are read by one scan; types that differ are widened by the union. Headers are
+    looked up only for paths without a given schema.
     """
     schemas = schemas or {}
-    groups: dict[tuple[str, ...], list[str]] = {}
+    groups: dict[tuple, list[str]] = {}
     for path in paths:
-        header = tuple((schemas.get(path) or spark.read.option("header", True).csv(path).schema).fieldNames())
+        schema = schemas.get(path) or spark.read.option("header", True).csv(path).schema
+        header = (path in schemas, *[(f.name, f.dataType.simpleString()) for f in schema])
         groups.setdefault(header, []).append(path)
     merged = None
     for header, members in groups.items():

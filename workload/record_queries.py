@@ -284,6 +284,17 @@ STATES_SQL = """states AS (SELECT user_id::VARCHAR AS alert_id, event_id, ts,
     latest AS (SELECT alert_id, state, event_id FROM states QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY event_id DESC) = 1)"""
 
 
+@query("""
+SELECT user_id, day::VARCHAR AS day, event_type, event_id FROM (
+  SELECT *, ts::DATE AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts::DATE DESC, event_type DESC, event_id DESC) AS place FROM events
+) WHERE place = 1
+""")
+def latest_with_ties(spark, sf_dir):
+    """The newest event of every user by day; ties are settled by the other columns."""
+    events = c.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").cast("string").alias("day"), "event_type", "event_id")
+    return alerts.latest_states(events, "user_id", "day")
+
+
 @query(f"WITH {STATES_SQL} SELECT alert_id, state, event_id FROM latest")
 def alert_latest_state(spark, sf_dir):
     return alerts.latest_states(state_events(spark, sf_dir), order="event_id").select("alert_id", "state", "event_id")

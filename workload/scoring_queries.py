@@ -66,6 +66,15 @@ def row_by_key(spark, sf_dir):
     return row.select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
+@query("""
+SELECT o_orderkey + 9007199254740992 AS large_key, o_orderstatus FROM orders ORDER BY 1 LIMIT 1 OFFSET 101
+""")
+def row_at_large_key(spark, sf_dir):
+    """Keys above 2^53, where neighbours share a double."""
+    orders = c.table(spark, sf_dir, "orders").select((F.col("o_orderkey") + F.lit(2**53)).alias("large_key"), "o_orderstatus")
+    return mapping.row_at(orders, "large_key", 101)
+
+
 @query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 100")
 def row_at_position(spark, sf_dir):
     row = mapping.row_at(c.table(spark, sf_dir, "orders"), "o_orderkey", 100)
