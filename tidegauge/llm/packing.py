@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from tidegauge.llm.bpe import LONG_PIECE, PIECES_KEPT, cut
-from tidegauge.llm.common import Memo, mapped, slabs, texts
+from tidegauge.llm.common import mapped, slabs, texts
 
 CAPACITY = 1024
 END_ID = 0
@@ -50,7 +50,8 @@ class PieceMemo:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, rank in vocabulary.items():
             self.sizes[rank] = len(token)  # one character stands for one byte
-        self.known = Memo(None, PIECES_KEPT)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # all but recently used ones are forgotten when known is full
 
     def _together(self, pieces: list[str]) -> list[bytes]:
         ends = np.cumsum([len(p.encode()) for p in pieces])
@@ -66,20 +67,24 @@ class PieceMemo:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         cuts = [None if any(s in t for s in self.special) else cut(t) for t in batch]
-        here = {p: self.known.get(p) for p in {p for pieces in cuts if pieces for p in pieces}}
-        new = []
-        for piece in [p for p, ids in here.items() if ids is None]:
-            here[piece] = self.known.older.get(piece)
-            if here[piece] is None:
-                if piece[:1] == " " and not piece[1:2].isspace():
-                    new.append(piece)
-                else:
-                    here[piece] = self._alone(piece)
-        here.update(zip(new, self._together(new) if new else []))
-        for piece, ids in here.items():
-            if len(piece) <= LONG_PIECE and piece not in self.known:
-                self.known.keep(piece, ids)
-        return [self._alone(t) if c is None else b"".join(map(here.__getitem__, c)) for t, c in zip(batch, cuts)]
+        if len(self.known) > PIECES_KEPT:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        missing = set().union(*filter(None, cuts)).difference(known)
+        for piece in missing:
+            ids = older.get(piece)
+            if ids is not None:
+                known[piece] = ids
+            elif piece[:1] == " " and not piece[1:2].isspace():
+                new.append(piece)
+            else:
+                known[piece] = self._alone(piece)
+        known.update(zip(new, self._together(new) if new else []))
+        encoded = [self._alone(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(batch, cuts)]
+        for piece in missing:
+            if len(piece) > LONG_PIECE:
+                del known[piece]
+        return encoded
 
 
 @lru_cache(maxsize=2)
