@@ -31,11 +31,10 @@ def wide(spark):
 
 
 @pytest.mark.parametrize("read_limit,sample", [(10**6, 10**5), (30_000, 5_000), (3_000, 2_000)])
-def test_equals_numpy(wide, monkeypatch, read_limit, sample):
+def test_equals_numpy(wide, read_limit, sample):
     frame, table = wide
-    monkeypatch.setattr(ranks, "READ_LIMIT", read_limit)
-    monkeypatch.setattr(ranks, "SAMPLE_ROWS", sample)
-    found = ranks.exact_quantiles(table, {k: F.col(k) for k in KINDS}, SHARES)
+    budget = ranks.Budget(sample_rows=sample, read=read_limit)
+    found = ranks.exact_quantiles(table, {k: F.col(k) for k in KINDS}, SHARES, budget=budget)
     for kind in KINDS:
         count, quantiles = found[kind]
         assert count == len(frame)
@@ -55,11 +54,9 @@ def test_nulls_and_empty_columns(spark):
 def test_misleading_sample_is_corrected(spark, monkeypatch):
     """Cuts proposed from a useless sample still lead to the exact value."""
     table = spark.range(5000).select(F.col("id").cast("double").alias("v")).repartition(4)
-    monkeypatch.setattr(ranks, "READ_LIMIT", 500)
-    monkeypatch.setattr(
-        ranks, "_propose", lambda *_: ({0: ranks.Cuts.around([(10.0, 20.0)])}, 10.0)
-    )
-    found = ranks.order_statistics(table, {"v": F.col("v")}, lambda _n, _c: [0, 2500, 4999])
+    monkeypatch.setattr(ranks, "_propose", lambda *_: {0: ranks.Cuts.around([(10.0, 20.0)])})
+    budget = ranks.Budget(sample_values=700, read=500)
+    found = ranks.order_statistics(table, {"v": F.col("v")}, lambda _n, _c: [0, 2500, 4999], budget=budget)
     assert found["v"].values == {0: 0.0, 2500: 2500.0, 4999: 4999.0}
 
 
@@ -67,3 +64,24 @@ def test_many_columns_are_spread_over_scans(spark):
     table = spark.range(50).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(95)])
     found = ranks.exact_quantiles(table, {c: F.col(c) for c in table.columns}, [0.5])
     assert [found[f"c{i}"][1][0].value for i in range(95)] == [24.5 * (i + 1) for i in range(95)]
+
+
+@pytest.mark.parametrize("read", [1, 50, 400])
+def test_read_bound_holds_for_sparse_columns(spark, monkeypatch, read):
+    """A column that the sample misses is narrowed like any other; no read holds more rows than the budget says."""
+    table = spark.range(20_000).repartition(4).select(
+        F.when(F.col("id") % 40 == 0, F.col("id").cast("double")).alias("sparse"), F.col("id").cast("double").alias("full")
+    )
+    sizes, read_gaps = [], ranks._read
+
+    def watched(*args):
+        found = read_gaps(*args)
+        sizes.append(sum(int(through[-1]) for _, through in found.values()))
+        return found
+
+    monkeypatch.setattr(ranks, "_read", watched)
+    budget = ranks.Budget(sample_rows=20, sample_values=200, read=read)
+    found = ranks.exact_quantiles(table, {c: F.col(c) for c in table.columns}, [0.25, 0.5], budget=budget)
+    assert [q.value for q in found["sparse"][1]] == [4990.0, 9980.0] and found["sparse"][0] == 500
+    assert [q.value for q in found["full"][1]] == [4999.75, 9999.5]
+    assert all(size <= read for size in sizes)

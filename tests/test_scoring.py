@@ -36,13 +36,12 @@ def test_exact_split(labelled):
     assert sampling.stratified_split(labelled.repartition(7), "label", "key").exceptAll(parts).isEmpty()
 
 
-def test_split_narrows_without_reading_a_class(labelled, monkeypatch):
-    from tidegauge.operators import ranks
+def test_split_narrows_without_reading_a_class(labelled):
+    from tidegauge.operators.ranks import Budget
 
     whole = sampling.stratified_split(labelled, "label", "key")
-    monkeypatch.setattr(ranks, "READ_LIMIT", 60)
-    monkeypatch.setattr(ranks, "SAMPLE_ROWS", 400)
-    assert sampling.stratified_split(labelled, "label", "key").exceptAll(whole).isEmpty()
+    budget = Budget(sample_rows=400, read=60)
+    assert sampling.stratified_split(labelled, "label", "key", budget=budget).exceptAll(whole).isEmpty()
 
 
 def test_folds_are_balanced(labelled):

@@ -1,9 +1,10 @@
-"""Exact order statistics of many columns at any table size.
+"""Exact order statistics of many columns, by the same steps at any table size.
 
 ``percentile`` keeps every distinct value of a column in one task and ``percentile_approx`` is approximate.
-Here a bounded sample only proposes cut points around the wanted ranks, as a range partitioner does; counting jobs,
-whose shuffles hold one row per distinct value between neighbouring cuts, decide. Gaps that hold too many values are
-narrowed by further rounds, so the result is exact and no task or driver ever holds a whole column.
+Here a bounded sample only proposes cut points around the wanted ranks, as a range partitioner does. A counting job with
+a map side then says exactly where every rank lies: at a cut, which settles it, or in the gap between two cuts. Gaps are
+read once their counted rows are within the budget and are narrowed by further rounds before, so the result is exact and
+neither a task nor the driver ever holds a whole column.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import count as numbers_from
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,14 +21,23 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import bisected, quoted, sql_double
 
-SAMPLE_VALUES = 1_000_000  # sampled values read to propose cuts, over all columns
-SAMPLE_ROWS = 100_000
-READ_LIMIT = 1_000_000  # distinct values read back in the last step, over all columns
 COLUMNS_PER_SCAN = 40  # keeps generated code small; every scan reads only its own columns
 
 Wanted = Callable[[str, int], Iterable[int]]
 
 
+@dataclass(frozen=True)
+class Budget:
+    """What the driver may hold: rows and values of a sample, and the rows of the gaps that are read in the end.
+
+    Results do not depend on it; a smaller one takes more rounds.
+    """
+
+    sample_rows: int = 100_000
+    sample_values: int = 1_000_000
+    read: int = 1_000_000
+
+
 @dataclass(frozen=True)
 class RankedColumn:
     """Values at the wanted ranks (0-based), with the number of values below and up to each."""
@@ -36,6 +47,9 @@ class RankedColumn:
     below: dict[int, int]
     through: dict[int, int]
 
+    def settle(self, rank: int, value: float, below: int, through: int) -> None:
+        self.values[rank], self.below[rank], self.through[rank] = value, below, through
+
 
 def long_rows(df: DataFrame, keep: Sequence[str], columns: Sequence[str], value: str) -> DataFrame:
     """One row per input row and column, as (kept columns, number of the column, value).
@@ -58,6 +72,7 @@ def order_statistics(
     columns: Mapping[str, Column],
     wanted: Wanted,
     rows: int | None = None,
+    budget: Budget = Budget(),
 ) -> dict[str, RankedColumn]:
     """Values at the ranks ``wanted(name, count)`` of every column. NULLs do not count; values must be finite."""
     names = list(columns)
@@ -65,17 +80,36 @@ def order_statistics(
         return {}
     table = df.select(*[columns[name].cast("double").alias(f"c{i}") for i, name in enumerate(names)])
     rows = df.count() if rows is None else rows
-    if rows * len(names) <= READ_LIMIT:
-        open_, expected = {i: Cuts([], {0}) for i in range(len(names))}, 0.0
-    else:
-        open_, expected = _propose(table, names, wanted, rows)
-    found: dict[int, RankedColumn] = {}
-    while open_:
-        while expected > READ_LIMIT:
-            open_, expected = _narrow(table, open_, expected, wanted, names)
-        solved, open_, expected = _read(table, open_, wanted, names)
-        found.update(solved)
-    return {name: found[i] for i, name in enumerate(names)}
+    cuts = _propose(table, names, wanted, max(rows, 1), budget)
+    found = {name: RankedColumn(0, {}, {}, {}) for name in names}
+    for round_ in numbers_from(2):
+        starts = _cell_starts(table, cuts)
+        places = {}
+        for i, cut in cuts.items():
+            size, name = int(starts[i][-1]), names[i]
+            if not found[name].count:
+                found[name] = RankedColumn(size, {}, {}, {})
+            for rank in set(wanted(name, size)) - set(found[name].values):
+                cell = int(np.searchsorted(starts[i], rank, side="right")) - 1
+                if cell % 2:
+                    found[name].settle(rank, cut.points[cell // 2], int(starts[i][cell]), int(starts[i][cell + 1]))
+                else:
+                    places.setdefault((i, cell), []).append(rank)
+        if not places:
+            return found
+        sizes = {(i, cell): int(starts[i][cell + 1] - starts[i][cell]) for i, cell in places}
+        gaps = {(i, cell): cuts[i].bounds(cell // 2) for i, cell in places}
+        open_ = {i: Cuts.around([g for (k, _), g in gaps.items() if k == i]) for i, _ in places}
+        live = sum(sizes.values())
+        if live <= budget.read:
+            for (i, cell), (value, through) in _read(table, open_, gaps).items():
+                for rank in places[i, cell]:
+                    start = int(starts[i][cell])
+                    at = bisect_left(through, rank - start + 1)
+                    below = int(through[at - 1]) if at else 0
+                    found[names[i]].settle(rank, float(value[at]), start + below, start + int(through[at]))
+            return found
+        cuts = _narrow(table, open_, gaps, sizes, places, starts, min(1.0, budget.sample_values / live), round_)
 
 
 @dataclass(frozen=True)
@@ -93,22 +127,6 @@ class Cuts:
         tests = [f"{name} {test} {sql_double(p)}" for p in self.points for test in ("<", "<=")]
         return F.expr(f"IF({name} IS NULL, NULL, {bisected(tests, [str(k) for k in range(len(tests) + 1)])})")
 
-    def folded(self, name: str) -> Column:
-        """The values, with each gap that is not live folded into one point inside that gap."""
-        tests, results, kept_before = [], [], False
-        for cell in range(2 * len(self.points) + 1):
-            low, high = self.bounds(cell // 2)
-            kept = cell % 2 == 1 or cell // 2 in self.live
-            if kept and kept_before:
-                tests.pop()  # neighbouring kept cells need no test between them
-            else:
-                inside = low if math.isinf(low) else high if math.isinf(high) else low + (high - low) / 2
-                results.append(name if kept else sql_double(inside))
-            if cell < 2 * len(self.points):
-                tests.append(f"{name} {'<=' if cell % 2 else '<'} {sql_double(self.points[cell // 2])}")
-            kept_before = kept
-        return F.expr(f"IF({name} IS NULL, NULL, {bisected(tests, results)})")
-
     def only_live(self, name: str) -> Column:
         """The values inside live gaps, else NULL."""
         inside = [
@@ -135,115 +153,85 @@ class Cuts:
         return Cuts(points, live)
 
 
-def _margin(sample: int) -> float:
-    """Four standard errors of a share that is estimated from a sample."""
-    return 4 * 0.5 / math.sqrt(sample) if sample else 1.0
+def _around(sample: np.ndarray, fraction: float, share: float, low: float, high: float) -> tuple[float, float]:
+    """Ends of a gap inside (low, high) that should hold the value at ``share``: four standard errors to either side.
 
+    The error of a sample without replacement vanishes as the sample becomes the whole; then both ends are the value.
+    """
+    size = len(sample)
+    if not size:
+        return low, high
+    position, slack = share * size, 2 * math.sqrt(size * (1 - fraction))
+    first, last = math.floor(position - slack + 1e-6), math.ceil(position + slack - 1e-6)
+    return float(sample[min(first, size - 1)]) if first >= 0 else low, float(sample[last]) if last < size else high
 
-def _around_share(sample: np.ndarray, share: float, low: float, high: float) -> tuple[float, float, float]:
-    """Ends of a gap inside (low, high) that should hold the value at ``share``, and a high guess of its rows' share."""
-    size, margin = len(sample), _margin(len(sample))
-    first, last = math.floor((share - margin) * size), math.ceil((share + margin) * size)
-    low = float(sample[first]) if first >= 0 and size else low
-    high = float(sample[last]) if last < size else high
-    inside = max(0, np.searchsorted(sample, high, side="left") - np.searchsorted(sample, low, side="right"))
-    return low, high, min(1.0, (inside + 4 * math.sqrt(inside) + 4) / size) if size else 1.0
 
+def _cut(gaps: Iterable[tuple[float, float]]) -> Cuts:
+    """Cuts at the ends of the gaps; a gap whose ends meet is a cut."""
+    gaps = set(gaps)
+    return Cuts.around([g for g in gaps if g[0] != g[1]], [low for low, high in gaps if low == high])
 
-def _propose(table, names, wanted, rows):
+
+def _propose(table, names, wanted, rows, budget) -> dict[int, Cuts]:
     """First cuts, from a sample of the whole table."""
-    fraction = min(1.0, SAMPLE_ROWS / rows, SAMPLE_VALUES / (rows * len(names)))
+    fraction = min(1.0, budget.sample_rows / rows, budget.sample_values / (rows * len(names)))
     sample = table.sample(fraction=fraction, seed=1).toArrow()
-    proposed, expected = {}, 0.0
+    proposed = {}
     for i, name in enumerate(names):
         values = np.sort(sample[f"c{i}"].drop_null().to_numpy())
         estimate = max(1, round(len(values) / fraction))
-        gaps, solved = {}, set()
-        for rank in wanted(name, estimate):
-            low, high, share = _around_share(values, rank / estimate, -math.inf, math.inf)
-            if low == high:
-                solved.add(low)
-            else:
-                gaps[low, high] = share * estimate
-        proposed[i] = Cuts.around(gaps or [(-math.inf, math.inf)], solved)
-        expected += sum(gaps.values())
-    return proposed, expected
-
-
-def _narrow(table, open_, expected, wanted, names):
-    """Count all cells, then cut the live gaps around the wanted ranks, guided by a sample of their values."""
-    numbers = list(open_)
-    counts = (
-        long_rows(table.select(*[open_[i].cell(f"c{i}").alias(f"c{i}") for i in numbers]), [], [f"c{i}" for i in numbers], "cell")
-        .where(F.col("cell").isNotNull())
-        .groupBy("number", "cell")
-        .count()
-        .collect()
-    )
-    sizes_by_cell = {(numbers[int(r["number"])], r["cell"]): r["count"] for r in counts}
-    live = table.sample(fraction=min(1.0, SAMPLE_VALUES / expected), seed=2).select(
-        *[open_[i].only_live(f"c{i}").alias(f"c{i}") for i in numbers]
-    )
-    read = long_rows(live, [], [f"c{i}" for i in numbers], "value").where(F.col("value").isNotNull()).toArrow()
+        proposed[i] = _cut(_around(values, fraction, rank / estimate, -math.inf, math.inf) for rank in wanted(name, estimate))
+    return proposed
+
+
+def _cell_starts(table, cuts: dict[int, Cuts]) -> dict[int, np.ndarray]:
+    """For every column the number of values before each cell, and of all values last."""
+    numbers = list(cuts)
+    cells = table.select(*[cuts[i].cell(f"c{i}").alias(f"c{i}") for i in numbers])
+    cells = long_rows(cells, [], [f"c{i}" for i in numbers], "cell").where(F.col("cell").isNotNull())
+    sizes = {i: np.zeros(2 * len(cuts[i].points) + 1, np.int64) for i in numbers}
+    for r in cells.groupBy("number", "cell").count().collect():
+        sizes[numbers[int(r["number"])]][r["cell"]] = r["count"]
+    return {i: np.concatenate([[0], np.cumsum(s)]) for i, s in sizes.items()}
+
+
+def _live_values(table, open_: dict[int, Cuts]) -> DataFrame:
+    """(place of the column in ``open_``, value) of the values in live gaps."""
+    live = table.select(*[cut.only_live(f"c{i}").alias(f"c{i}") for i, cut in open_.items()])
+    return long_rows(live, [], [f"c{i}" for i in open_], "value").where(F.col("value").isNotNull())
+
+
+def _inside(values: np.ndarray, gap: tuple[float, float]) -> slice:
+    return slice(np.searchsorted(values, gap[0], side="right"), np.searchsorted(values, gap[1], side="left"))
+
+
+def _narrow(table, open_, gaps, sizes, places, starts, fraction, seed) -> dict[int, Cuts]:
+    """Cut the open gaps around their ranks, guided by a sample of their values."""
+    read = _live_values(table.sample(fraction=fraction, seed=seed), open_).toArrow()
     number, value = read["number"].to_numpy(zero_copy_only=False).astype(int), read["value"].to_numpy()
-    narrowed, expected = {}, 0.0
-    for k, i in enumerate(numbers):
-        cuts, own = open_[i], np.sort(value[number == k])
-        sizes = [sizes_by_cell.get((i, c), 0) for c in range(2 * len(cuts.points) + 1)]
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        gaps, solved = {}, set()
-        for rank in wanted(names[i], int(starts[-1])):
-            cell = int(np.searchsorted(starts, rank, side="right")) - 1
-            if cell % 2 == 1:
-                solved.add(cuts.points[cell // 2])
-                continue
-            low, high = cuts.bounds(cell // 2)
-            sample = own[np.searchsorted(own, low, side="right") : np.searchsorted(own, high, side="left")]
-            low, high, share = _around_share(sample, (rank - starts[cell]) / sizes[cell], low, high)
-            if low == high:
-                solved.add(low)
-            else:
-                gaps[low, high] = share * sizes[cell]
-        narrowed[i] = Cuts.around(gaps, solved)
-        expected += sum(gaps.values())
-    return narrowed, expected
-
-
-def _read(table, open_, wanted, names):
-    """Count the distinct values of live gaps, read the counts, and look the wanted ranks up."""
-    numbers = list(open_)
-    folded = table.select(*[open_[i].folded(f"c{i}").alias(f"c{i}") for i in numbers])
-    read = (
-        long_rows(folded, [], [f"c{i}" for i in numbers], "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("number", "value")
-        .agg(F.count("*").alias("n"))
-        .toArrow()
-    )
+    own = {i: np.sort(value[number == k]) for k, i in enumerate(open_)}
+    found = {i: [] for i in open_}
+    for (i, cell), ranks in places.items():
+        low, high = gaps[i, cell]
+        sample = own[i][_inside(own[i], (low, high))]
+        for rank in ranks:
+            found[i].append(_around(sample, fraction, (rank - int(starts[i][cell])) / sizes[i, cell], low, high))
+    return {i: Cuts.around([], set(open_[i].points) | set(_cut(narrow).points)) for i, narrow in found.items()}
+
+
+def _read(table, open_, gaps) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """For every gap its distinct values in order, and the number of its rows up to each."""
+    read = _live_values(table, open_).groupBy("number", "value").agg(F.count("*").alias("n")).toArrow()
     number, value = read["number"].to_numpy(zero_copy_only=False).astype(int), read["value"].to_numpy()
-    size = read["n"].to_numpy()
-    solved, missed, expected = {}, {}, 0.0
-    for k, i in enumerate(numbers):
-        cuts = open_[i]
+    n, found = read["n"].to_numpy(), {}
+    for k, i in enumerate(open_):
         own = np.flatnonzero(number == k)
         own = own[np.argsort(value[own])]
-        through = np.cumsum(size[own])
-        count = int(through[-1]) if len(own) else 0
-        values, below, upto, gaps = {}, {}, {}, {}
-        for rank in wanted(names[i], count):
-            at = bisect_left(through, rank + 1)
-            found = float(value[own[at]])
-            gap = bisect_left(cuts.points, found)
-            if gap not in cuts.live and found not in cuts.points[gap : gap + 1]:
-                gaps[cuts.bounds(gap)] = float(size[own[at]])  # the proposed cuts missed this rank
-                continue
-            values[rank], below[rank], upto[rank] = found, int(through[at] - size[own[at]]), int(through[at])
-        if gaps:
-            missed[i] = Cuts.around(gaps, values.values())
-            expected += sum(gaps.values())
-        else:
-            solved[i] = RankedColumn(count, values, below, upto)
-    return solved, missed, expected
+        for (column, cell), gap in gaps.items():
+            if column == i:
+                part = own[_inside(value[own], gap)]
+                found[i, cell] = value[part], np.cumsum(n[part])
+    return found
 
 
 # --- linear-interpolated quantiles --------------------------------------------------------------------------------
@@ -280,10 +268,10 @@ def interpolate(ranked: RankedColumn, share: float) -> Quantile:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Mapping[str, Column], shares: Sequence[float], rows: int | None = None
+    df: DataFrame, columns: Mapping[str, Column], shares: Sequence[float], rows: int | None = None, budget: Budget = Budget()
 ) -> dict[str, tuple[int, list[Quantile]]]:
     """(number of values, quantiles) of every column."""
-    found = order_statistics(df, columns, lambda _name, count: quantile_ranks(count, shares), rows)
+    found = order_statistics(df, columns, lambda _name, count: quantile_ranks(count, shares), rows, budget)
     return {
         name: (ranked.count, [interpolate(ranked, share) for share in shares] if ranked.count else [])
         for name, ranked in found.items()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidegauge.config import BACKGROUND_ROWS, FOLDS, SEED, TEST_SIZE
 from tidegauge.errors import ClassLimitError, SplitKeyError
 from tidegauge.functions.columns import key_hash, quoted, unit_hash
-from tidegauge.operators.ranks import order_statistics
+from tidegauge.operators.ranks import Budget, order_statistics
 
 CLASS_LIMIT = 1_000  # a label with more values is not a class label
 TIES_READ = 10_000  # rows with one hash value; more means that the key repeats
@@ -56,14 +56,20 @@ def test_quotas(sizes: Mapping[Any, int], test_size: float) -> dict[Any, int]:
 
 
 def class_boundaries(
-    df: DataFrame, label: str, key: str, ends: Mapping[Any, Sequence[int]], sizes: Mapping[Any, int], seed: int
+    df: DataFrame,
+    label: str,
+    key: str,
+    ends: Mapping[Any, Sequence[int]],
+    sizes: Mapping[Any, int],
+    seed: int,
+    budget: Budget = Budget(),
 ) -> dict[Any, list[Boundary]]:
     """For every class the boundaries after the given numbers of rows, each between 1 and the class size."""
     classes = [c for c in ends if ends[c]]
     hashed = key_hash(quoted(key), seed)
     columns = {str(i): F.when(quoted(label).eqNullSafe(F.lit(c)), hashed) for i, c in enumerate(classes)}
     found = order_statistics(
-        df, columns, lambda name, _count: [end - 1 for end in ends[classes[int(name)]]], sum(sizes.values())
+        df, columns, lambda name, _count: [end - 1 for end in ends[classes[int(name)]]], sum(sizes.values()), budget
     )
     result = {}
     for i, c in enumerate(classes):
@@ -91,7 +97,13 @@ def _require_keys(df: DataFrame, key: str) -> None:
 
 
 def stratified_split(
-    df: DataFrame, label: str, key: str, test_size: float = TEST_SIZE, seed: int = SEED, exact: bool = True
+    df: DataFrame,
+    label: str,
+    key: str,
+    test_size: float = TEST_SIZE,
+    seed: int = SEED,
+    exact: bool = True,
+    budget: Budget = Budget(),
 ) -> DataFrame:
     """Adds ``part`` (train or test). Exact class quotas, or independent draws per row in a single lazy pass."""
     if not exact:
@@ -99,20 +111,22 @@ def stratified_split(
     _require_keys(df, key)
     sizes = class_sizes(df, label)
     quotas = test_quotas(sizes, test_size)
-    found = class_boundaries(df, label, key, {c: [q] for c, q in quotas.items() if q}, sizes, seed)
+    found = class_boundaries(df, label, key, {c: [q] for c, q in quotas.items() if q}, sizes, seed, budget)
     hashed, part = key_hash(quoted(key), seed), F.lit(False)
     for c, boundaries in found.items():
         part = part | (quoted(label).eqNullSafe(F.lit(c)) & boundaries[0].covers(hashed, quoted(key)))
     return df.withColumn("part", F.when(part, "test").otherwise("train"))
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, k: int = FOLDS, seed: int = SEED) -> DataFrame:
+def stratified_folds(
+    df: DataFrame, label: str, key: str, k: int = FOLDS, seed: int = SEED, budget: Budget = Budget()
+) -> DataFrame:
     """Adds ``fold`` (0 to k-1); within a class, fold sizes differ by at most one row."""
     _require_keys(df, key)
     sizes = class_sizes(df, label)
     ends = {c: [((i * (n // k)) + min(i, n % k)) for i in range(1, k)] for c, n in sizes.items()}
     usable = {c: [e for e in cuts if 0 < e < sizes[c]] for c, cuts in ends.items()}
-    found = class_boundaries(df, label, key, usable, sizes, seed)
+    found = class_boundaries(df, label, key, usable, sizes, seed, budget)
     hashed, fold = key_hash(quoted(key), seed), None
     for c, cuts in ends.items():
         known = dict(zip(usable[c], found.get(c, [])))
