@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.config import PROCESSED_LIMITS
-from tidegauge.operators import drift, policy
+from tidegauge.operators import drift, policy, ranks
 from tidegauge.operators.preprocessing import FlowPreprocessor
 from tidegauge.operators.sampling import stratified_split
 from tidegauge.operators.versioning import RunVersion
@@ -70,6 +70,30 @@ def drift_edges(spark, sf_dir):
     )
 
 
+QUANTILE_COLUMNS = {
+    "price": "l_extendedprice",
+    "quantity": "l_quantity",
+    "sparse": "CASE WHEN l_orderkey % 97 = 0 THEN l_extendedprice END",
+}
+SHARES = (0.0, 0.1, 0.5, 0.9, 1.0)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, {s}::DOUBLE AS share, round(quantile_cont(({sql})::DOUBLE, {s}), 6) AS value FROM lineitem"
+        for n, sql in QUANTILE_COLUMNS.items()
+        for s in SHARES
+    )
+)
+def quantiles_in_rounds(spark, sf_dir):
+    """Exact quantiles, one of a sparse column, when little may be read at once."""
+    columns = {n: F.expr(sql).cast("double") for n, sql in QUANTILE_COLUMNS.items()}
+    budget = ranks.Budget(sample_rows=500, sample_values=2_000, read=300)
+    found = ranks.exact_quantiles(c.table(spark, sf_dir, "lineitem"), columns, SHARES, budget=budget)
+    rows = [(n, share, q.value) for n, (_, quantiles) in found.items() for share, q in zip(SHARES, quantiles)]
+    return spark.createDataFrame(rows, "feature string, share double, value double").withColumn("value", F.round("value", 6))
+
+
 @query(f"WITH {c.SHIFTED_DRIFT_SQL} SELECT feature, bin, expected_rows, actual_rows FROM counts")
 def drift_bin_freq(spark, sf_dir):
     profile = c.lineitem_profile(spark, sf_dir)

@@ -54,11 +54,12 @@ NAMED = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
 
 
 def _numbered_csv(spark, sf_dir):
-    """Orders as data_<n>.csv tables without header, one per priority, next to a file of column names."""
+    """Orders as data_<n>.csv tables without header, one per first digit of the priority (0: none), next to a file of column names."""
     folder = scratch_path(spark, "numbered")
     orders = c.table(spark, sf_dir, "orders").select(*NAMED)
-    for number in range(1, 6):
-        orders.where(F.col("o_orderpriority").startswith(str(number))).write.csv(f"{folder}/data_{number}.csv")
+    number = F.coalesce(F.substring("o_orderpriority", 1, 1).try_cast("int"), F.lit(0))
+    for n in range(10):
+        orders.where(number == n).write.csv(f"{folder}/data_{n}.csv")
     names = readers.small_names(spark, NAMED)
     names.coalesce(1).write.text(f"{folder}/data_names_fixed.csv")
     return folder
@@ -72,7 +73,7 @@ def headerless_csv(spark, sf_dir):
     return readers.read_headerless(spark, paths, names)
 
 
-@query("SELECT substr(o_orderpriority, 1, 1)::INTEGER AS number, count(*) AS rows FROM orders GROUP BY 1")
+@query("SELECT coalesce(try_cast(substr(o_orderpriority, 1, 1) AS INTEGER), 0) AS number, count(*) AS rows FROM orders GROUP BY 1")
 def numbered_files(spark, sf_dir):
     folder = _numbered_csv(spark, sf_dir)
     files = readers.numbered_files(spark, folder).collect()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import evaluation, mapping, models, sampling
 from tidegauge.operators.preprocessing import FlowPreprocessor
+from tidegauge.operators.ranks import Budget
 from workload import common as c
 from workload.drift_queries import SPLIT_SQL
 
@@ -32,6 +33,14 @@ def stratified_split(spark, sf_dir):
     return parts.select("o_orderkey", "o_orderstatus", "part")
 
 
+@query(ORACLE["stratified_split"])
+def split_in_rounds(spark, sf_dir):
+    """The same split when little may be read at once, so that the boundaries are narrowed in several rounds."""
+    budget = Budget(sample_rows=400, sample_values=400, read=50)
+    parts = sampling.stratified_split(c.table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey", budget=budget)
+    return parts.select("o_orderkey", "o_orderstatus", "part")
+
+
 @query(
     f"SELECT o_orderkey, CASE WHEN {c.hash_sql('o_orderkey')} / 4503599627370496 < 0.2 THEN 'test' ELSE 'train' END AS part FROM orders"
 )
@@ -292,37 +301,45 @@ def preprocessor_state(spark, sf_dir):
     return rounded(state.select("feature", "median", "mean", "scale"), "median", "mean", "scale")
 
 
-# --- models: rows only; sizes are smaller than the presets' defaults --------------------------------------------------
+# --- models: rows only -----------------------------------------------------------------------------------------------
 
 
 def order_vectors(spark, sf_dir):
-    """(key, label, features): is the order expensive, from its customer, month, priority and noisy price."""
-    rows = c.order_features(spark, sf_dir).withColumn("label", F.col("prediction").cast("double"))
+    """(key, label, features): is the order finished, from its customer, month, priority and price."""
+    rows = c.order_features(spark, sf_dir)
     model = FlowPreprocessor([], c.ORDER_FEATURES, ["o_orderkey", "label"]).fit(rows)
     return model.with_vector(rows)
 
 
-def metrics_of(model, vectors):
-    counts = evaluation.confusion_counts(models.score(model, vectors, ["label"]))
+def order_parts(spark, sf_dir):
+    """(train, test) vectors; the preprocessor knows the training rows only."""
+    parts = sampling.stratified_split(c.order_features(spark, sf_dir), "label", "o_orderkey")
+    train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
+    model = FlowPreprocessor([], c.ORDER_FEATURES, ["o_orderkey", "label"]).fit(train)
+    return model.with_vector(train), model.with_vector(test)
+
+
+def held_out_metrics(estimator, parts, balanced=False):
+    """Metrics on rows that the fitted model has not seen."""
+    train, test = parts
+    counts = evaluation.confusion_counts(models.score(models.train(estimator, train, balanced=balanced), test, ["label"]))
     return evaluation.summary_metrics(counts)
 
 
 @query()
 def train_lr(spark, sf_dir):
-    vectors = order_vectors(spark, sf_dir)
-    return metrics_of(models.train(models.logistic_regression(vectors.count()), vectors), vectors)
+    parts = order_parts(spark, sf_dir)
+    return held_out_metrics(models.logistic_regression(parts[0].count()), parts)
 
 
 @query()
 def train_rf(spark, sf_dir):
-    vectors = order_vectors(spark, sf_dir)
-    return metrics_of(models.train(models.random_forest(20, 6), vectors, balanced=True), vectors)
+    return held_out_metrics(models.random_forest(20, 6), order_parts(spark, sf_dir), balanced=True)
 
 
 @query()
 def train_gbt(spark, sf_dir):
-    vectors = order_vectors(spark, sf_dir)
-    return metrics_of(models.train(models.boosted_trees(10), vectors), vectors)
+    return held_out_metrics(models.boosted_trees(10), order_parts(spark, sf_dir))
 
 
 @query()
@@ -334,20 +351,20 @@ def score_batch(spark, sf_dir):
 
 @query()
 def train_many(spark, sf_dir):
-    vectors = order_vectors(spark, sf_dir)
-    chosen = {"logistic_regression": models.logistic_regression(vectors.count()), "random_forest": models.random_forest(10, 5)}
-    scored = models.score_many(models.train_many(chosen, vectors, "orders"), vectors)
+    train, test = order_parts(spark, sf_dir)
+    chosen = {"logistic_regression": models.logistic_regression(train.count()), "random_forest": models.random_forest(10, 5)}
+    scored = models.score_many(models.train_many(chosen, train, "orders"), test)
     return evaluation.summary_metrics(evaluation.confusion_counts(scored, by=["model"]), ["model"])
 
 
 @query()
 def evaluate_model(spark, sf_dir):
-    vectors = order_vectors(spark, sf_dir)
-    return models.evaluate(models.train(models.random_forest(10, 5), vectors), vectors)[1]
+    train, test = order_parts(spark, sf_dir)
+    return models.evaluate(models.train(models.random_forest(10, 5), train), test)[1]
 
 
 @query()
 def cross_validate_model(spark, sf_dir):
-    folded = sampling.stratified_folds(order_vectors(spark, sf_dir), "label", "o_orderkey", 3)
-    scored = models.cross_validate(models.logistic_regression(folded.count(), 50), folded)
+    folded = sampling.stratified_folds(order_vectors(spark, sf_dir), "label", "o_orderkey")
+    scored = models.cross_validate(models.logistic_regression(folded.count()), folded)
     return evaluation.cross_validation_summary(scored, "label", "prediction")
