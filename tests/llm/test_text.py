@@ -338,6 +338,77 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert mine.equals(theirs)
 
 
+def windows(text, size):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}
+
+
+def test_pipeline_decisions_equal_brute_force(spark, sf_dir):
+    import corpus_pipeline
+
+    stages, frame = dict(corpus_pipeline.STAGES), queries.table(spark, sf_dir, "documents")
+
+    def after(name):
+        found = corpus_pipeline.saved(stages[name](spark, frame, sf_dir), f"brute-{name}")
+        return found, {r.doc_id: r.text for r in found.collect()}
+
+    model = language_id.train(frame.where("lang is not null"))
+    known = {r.key for r in language_id.predict(frame, model).collect() if not r.ambiguous and r.language != language_id.UNKNOWN}
+    frame, texts = after("language")
+    assert set(texts) == known
+
+    groups = {}
+    for key, text in texts.items():
+        groups.setdefault(plain(text), []).append((-len(text or ""), key))
+    frame, texts = after("exact_dedup")
+    assert set(texts) == {min(g)[1] for g in groups.values()}
+
+    prints = {key: slow_print(text) for key, text in texts.items()}
+    group = {key: key for key in prints}
+    for a in sorted(prints):
+        for b in sorted(prints):
+            if group[a] != group[b] and (prints[a] ^ prints[b]).bit_count() <= 3:
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    frame, texts = after("simhash")
+    assert set(texts) == {key for key, low in group.items() if key == low}
+
+    seeds = Counter(w for text in texts.values() for w in windows(text, passages.SEED_WORDS))
+    apart = {key: text for key, text in texts.items() if all(seeds[w] == 1 for w in windows(text, passages.SEED_WORDS))}
+    frame, texts = after("passages")
+    assert apart and all(texts[key] == text for key, text in apart.items())
+    runs = Counter(w for text in texts.values() for w in windows(text, passages.MIN_WORDS))
+    assert not [w for w, n in runs.items() if n > 1]
+
+    tokenizer, pieces = Tokenizer.from_file(JSON), {}
+    for r in stages["packing"](spark, frame, sf_dir).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    assert set(pieces) == set(texts)
+    for key, parts in pieces.items():
+        ids = np.array([*tokenizer.encode(texts[key] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert sum(length for _, length, _ in parts) == len(ids)
+        assert all(zlib.crc32(ids[start : start + length].tobytes()) == crc for start, length, crc in parts)
+
+
+CLASHING = ["key", "t", "u", "h", "h1", "low", "n", "print", "group", "root", "node", "digest", "words", "start", "stop", "cuts", "language"]
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, corpus, empty, sf_dir):
+    """Nulls, repeated rows, empty tables and extra columns with names that the operators use themselves."""
+    import corpus_pipeline
+
+    extra = docs.withColumns({c: F.lit("x") for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, sf_dir).count() == 0
+        found = stage(spark, extra, sf_dir)
+        assert found.columns == extra.columns
+        rows = found.collect()
+        assert 0 < len(rows) <= len(corpus) and all(r["key"] == "x" for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, sf_dir).count() == 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, extra, sf_dir).collect()
+    assert {r.doc_id for r in pieces} == {r[0] for r in corpus}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
