@@ -101,8 +101,10 @@ def failures(df: DataFrame, contract: Contract, label: str = LABEL, allow_empty:
     if not checks["missing"]["passed"]:
         reasons.append(f"missing value ratio too high: {checks['missing']['value']:.2f}")
     if not checks["labels"]["passed"]:
-        found = label_violations(df, contract, label).orderBy(F.desc("rows")).limit(OFFENDERS_SHOWN).collect()
-        reasons.append(f"invalid label values found: {[r['label'] for r in found]}")
+        found = label_violations(df, contract, label)
+        shown = [r["label"] for r in found.orderBy(F.desc("rows"), "label").limit(OFFENDERS_SHOWN).collect()]
+        more = found.count() - len(shown)
+        reasons.append(f"invalid label values found: {shown}" + (f" and {more} more, see label_violations" if more > 0 else ""))
     if not checks["columns"]["passed"]:
         reasons.append(f"missing required columns: {missing_columns(df, contract)}")
     if not checks["rows"]["passed"] and not allow_empty:

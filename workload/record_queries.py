@@ -85,6 +85,15 @@ def numbered_files(spark, sf_dir):
 # --- tables and models -----------------------------------------------------------------------------------------------
 
 
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS rows, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY 1, 2")
+def written_table(spark, sf_dir):
+    """Orders written as a table partitioned by status, and read back."""
+    path = scratch_path(spark, "table")
+    sinks.write_table(c.table(spark, sf_dir, "orders"), path, ("o_orderstatus",))
+    table = readers.read_parquet(spark, path).groupBy("o_orderstatus", "o_orderpriority")
+    return table.agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+
+
 @query("SELECT l_returnflag, count(*) AS rows, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1")
 def compact_parts(spark, sf_dir):
     parts, whole = scratch_path(spark, "parts"), scratch_path(spark, "whole")
@@ -326,6 +335,19 @@ def unknown_alerts(spark, sf_dir):
     return alerts.unknown_alerts(known, changes).select(F.col("key").alias("alert_id"), "state")
 
 
+@query(
+    """SELECT CAST(o_custkey AS VARCHAR) AS alert_id, o_orderstatus AS state, CAST(o_orderdate AS TIMESTAMP) AS updated_at FROM orders
+    WHERE o_custkey IN (SELECT user_id FROM events)"""
+)
+def state_changes(spark, sf_dir):
+    """Changes of alerts that exist become events; orders of customers without events are left out."""
+    known = c.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("alert_id"))
+    changes = c.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("alert_id"), F.col("o_orderstatus").alias("state"), F.col("o_orderdate").cast("timestamp_ntz").alias("updated_at")
+    )
+    return alerts.state_changes(known, changes, check=False)
+
+
 @query(
     """SELECT event_id, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS healthy,
     CASE WHEN event_type = 'purchase' THEN 'Retrain Scheduled' ELSE event_type END AS reason FROM events"""
