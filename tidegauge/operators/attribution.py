@@ -190,8 +190,8 @@ def tree_attribution(
 ) -> tuple[DataFrame, float]:
     """(kept columns with an array (feature, impact), base value). Impacts and base add up to the model's probability.
 
-    Rows stay where they are: each Arrow batch is attributed against the forest, which is broadcast in blocks of
-    bounded size that a task holds one at a time.
+    Rows stay where they are: each Arrow batch is attributed against the forest, which is broadcast in blocks. A Python
+    worker keeps the blocks it has read, so in the end all of them: the model has to fit (``NODE_LIMIT``).
     """
     spark = df.sparkSession
     paths = leaf_paths(read_nodes(spark, model), positive)

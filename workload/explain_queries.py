@@ -169,8 +169,8 @@ def drift_context_without_report(spark, sf_dir):
 
 
 def order_table(spark, sf_dir):
-    rows = c.order_features(spark, sf_dir)
-    return rows.withColumn("label", F.col("prediction").cast("double")).drop("prediction", "confidence")
+    """Orders with the label finished or not, which no feature holds."""
+    return c.order_features(spark, sf_dir).drop("prediction", "confidence")
 
 
 def order_forest(spark, sf_dir):
@@ -214,7 +214,7 @@ def explain_batch(spark, sf_dir):
 @query()
 def explain_linear_model(spark, sf_dir):
     rows = order_table(spark, sf_dir)
-    model = models.train(models.logistic_regression(rows.count(), 50), models.assemble(rows, c.ORDER_FEATURES, ["label"]))
+    model = models.train(models.logistic_regression(rows.count()), models.assemble(rows, c.ORDER_FEATURES, ["label"]))
     version = RunVersion(c.MODEL, "orders_v1", c.RUN, c.NOON)
     explained = explain_rows(rows, model, c.ORDER_FEATURES, "o_orderkey", "orders", version)
     return explained.select("o_orderkey", "alert_id", "prediction", "confidence", "summary")
