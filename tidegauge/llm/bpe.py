@@ -14,7 +14,6 @@ import base64
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidegauge.llm.common import Memo, lists, mapped, slabs, texts
+from tidegauge.llm.common import Memo, kept, lists, mapped, slabs, texts
 
 #: Pieces of text, matches in them, and token pairs remembered per Python worker.
 PIECES_KEPT, WORDS_KEPT, PAIRS_KEPT = 150_000, 100_000, 100_000
@@ -175,7 +174,7 @@ def cut(text: str) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=2)
+@kept
 def coder(path: str, pattern: str) -> ByteBPE:
     """One coder per vocabulary and Python worker."""
     return ByteBPE(read_ranks(path), pattern)

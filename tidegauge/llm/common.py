@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -18,6 +20,8 @@ from tidegauge.session import scratch_path
 
 #: Bytes up to which a written table may be broadcast; its rows are counted first.
 BROADCAST_BYTES = 16_000_000
+#: Bytes of an Arrow batch where the session has no setting of its own; Spark's 64 MB are held in the JVM and in Python.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
 
 _SHIPPED: set[str] = set()
 
@@ -38,9 +42,46 @@ def ship(spark: SparkSession) -> None:
 
 
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package on the executors."""
+    """``mapInArrow`` with the package on the executors, in batches of bounded bytes however long the texts are."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    if BATCH_SETTING not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(function.__module__)
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+_KEPT: dict[str, list] = {}
+
+
+def kept(function):
+    """``lru_cache`` of a Python worker, emptied as soon as the worker runs another module's tasks."""
+    cached = lru_cache(maxsize=2)(function)
+    _KEPT.setdefault(function.__module__, []).append(cached)
+    return cached
+
+
+def forget_others(module: str) -> None:
+    """Empty the caches of other modules, as a worker lives through many stages."""
+    for owner, caches in _KEPT.items():
+        if owner != module:
+            for cached in caches:
+                cached.cache_clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker without a task keeps what it has for a minute."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from tidegauge.llm.bpe import LONG_PIECE, PIECES_KEPT, cut
-from tidegauge.llm.common import mapped, slabs, texts
+from tidegauge.llm.common import kept, mapped, slabs, texts
 
 CAPACITY = 1024
 END_ID = 0
@@ -87,7 +86,7 @@ class PieceMemo:
         return encoded
 
 
-@lru_cache(maxsize=2)
+@kept
 def memo(path: str) -> PieceMemo:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
     return PieceMemo(path)
