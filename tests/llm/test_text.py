@@ -318,6 +318,50 @@ def test_fuzzy_match_survives_edits(spark, words):
     assert row.similarity >= 0.9 and row.stop - row.start >= 180
 
 
+def fresh(rnd: random.Random, n: int) -> list[str]:
+    return [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_a_passage_is_found_whose_parts_stand_in_other_texts(spark, apart):
+    """A and D hold P and Q, B only P, C only Q; in the order of text hashes A comes first and D last."""
+    rnd, rows = random.Random(12), []
+    for case in range(12):
+        p, q = fresh(rnd, 30), fresh(rnd, 30)
+        while True:
+            texts = [" ".join(fresh(rnd, 40) + part + fresh(rnd, 40)) for part in (p + q, p, q, p + q)]
+            a, b, c, d = (np.int64(np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).view(np.int64)) for x in texts)
+            if a < min(b, c) and d > max(b, c):
+                break
+        rows += [(4 * case + k, x) for k, x in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame = frame.repartition(48, "doc_id") if apart else frame.coalesce(1)
+    found = passages.fuzzy_passages(frame).collect()
+    pairs = {(r.key, r.other): r for r in found}
+    assert set(pairs) == {(4 * case + 3, 4 * case) for case in range(12)}
+    assert all((r.start, r.stop, r.other_start, r.other_stop, r.similarity) == (40, 100, 40, 100, 1) for r in found)
+    kept = {r.doc_id: r.text.split() for r in passages.remove_passages(frame).collect()}
+    assert all(len(kept[4 * case]) == 140 and len(kept[4 * case + 3]) == 80 for case in range(12))
+
+
+def test_runs_link_to_the_first_text_that_has_them_as_brute_force_does(spark):
+    """Over few words, so that runs repeat within texts too: every repeated run of a later text lies in its passages."""
+    rnd, pool = random.Random(3), [[f"{chr(97 + k)}{n}" for n in range(30)] for k in range(6)]
+    texts = [" ".join(w for _ in range(6) for w in rnd.choice(pool)) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    covered = {}
+    for r in passages.fuzzy_passages(frame).collect():
+        covered.setdefault(r.key, set()).update(range(r.start, r.stop))
+    key = {k: np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).view(np.int64) for k, x in enumerate(texts)}
+    seen = {}
+    for k in sorted(key, key=key.get):
+        words = texts[k].split()
+        for s in range(len(words) - passages.MIN_WORDS + 1):
+            run = tuple(words[s : s + passages.MIN_WORDS])
+            if seen.setdefault(run, k) != k:
+                assert covered[k] >= set(range(s, s + passages.MIN_WORDS))
+
+
 def test_chains_ascend_in_both_texts():
     rnd = np.random.default_rng(4)
     p, q = np.sort(rnd.integers(0, 300, 200)), rnd.integers(0, 300, 200)
