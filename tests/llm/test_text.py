@@ -362,6 +362,24 @@ def test_runs_link_to_the_first_text_that_has_them_as_brute_force_does(spark):
                 assert covered[k] >= set(range(s, s + passages.MIN_WORDS))
 
 
+def test_no_passage_with_an_edit_every_few_words_is_lost(spark):
+    """60 words with one changed word in 6, 7 or 8, among other words, against the equal words counted directly."""
+    rnd, rows, similar = random.Random(5), [], set()
+    for every in (6, 7, 8):
+        for _ in range(40):
+            passage = fresh(rnd, 60)
+            edited = [w if (k + 1) % every else "edit" + w for k, w in enumerate(passage)]
+            equal = [k for k in range(60) if passage[k] == edited[k]]
+            size = equal[-1] - equal[0] + 1
+            assert size >= passages.MIN_WORDS and len(equal) / size >= passages.SIMILARITY
+            similar.add((len(rows), len(rows) + 1))
+            rows += [(len(rows) + k, " ".join(fresh(rnd, 50) + x + fresh(rnd, 50))) for k, x in enumerate((passage, edited))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.fuzzy_passages(frame).collect()
+    assert {tuple(sorted((r.key, r.other))) for r in found} == similar
+    assert all(r.start == 50 and r.stop >= 100 and r.similarity >= passages.SIMILARITY for r in found)
+
+
 def test_chains_ascend_in_both_texts():
     rnd = np.random.default_rng(4)
     p, q = np.sort(rnd.integers(0, 300, 200)), rnd.integers(0, 300, 200)
