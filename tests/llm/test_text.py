@@ -276,6 +276,18 @@ def test_suffix_order_is_sorted():
         assert sorted(order) == starts.tolist() and keys == sorted(keys)
 
 
+def test_similar_texts_are_told_apart_by_text_where_ids_repeat(spark):
+    """Ids repeat with other texts: only the near copy under the id goes, and near texts under one id are one."""
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    one, other, third = (" ".join(fresh(rnd, 300)) for _ in range(3))
+    rows = [(1, one), (2, one + " "), (2, other), (3, third), (3, third + " "), (None, one + "  ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text.rstrip(" ")) for r in corpus_pipeline.one_of_similar(spark, frame, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, one), (2, other), (3, third), (None, one)], key=str)
+
+
 # --- fuzzy passages
 
 
