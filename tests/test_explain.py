@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
-from tidegauge.errors import ModelSizeError, UnsupportedModelError
+from tidegauge.errors import UnsupportedModelError
 from tidegauge.operators import attribution, explanation, models
 from tidegauge.operators.versioning import RunVersion
 from tidegauge.plans.explain_run import explain_rows, score_rows
@@ -59,17 +59,17 @@ def enumerated(trees, row):
 
 
 def test_tree_shapley_equals_enumeration(spark, flows, forest):
-    nodes = attribution.read_nodes(spark, forest)
+    nodes = attribution.tree_nodes(spark, forest).toPandas()
     trees = [t.set_index("id") for _, t in nodes.groupby("tree")]
     rows = flows.orderBy("key").limit(6).toPandas()[FEATURES].to_numpy()
-    mine = sum(attribution.tree_shapley(rows, paths) for paths in attribution.leaf_paths(nodes))
+    files = [f.removeprefix("file://") for f in attribution.leaf_table(spark, forest).leaves.inputFiles()]
+    mine = sum(attribution.tree_shapley(rows, paths) for paths in attribution.leaf_blocks(files))
     for row, values in zip(rows, mine):
         assert values == pytest.approx(enumerated(trees, row), abs=1e-12)
 
 
 def test_tree_shapley_adds_up_to_the_probability(flows, forest, monkeypatch):
-    monkeypatch.setattr(attribution, "BLOCK_VALUES", 20)  # several broadcast blocks
-    monkeypatch.setattr(attribution, "WORK_VALUES", 500)  # several slices per batch
+    monkeypatch.setattr(attribution, "LEAVES_PER_FILE", 7)  # several files
     scored = models.score(forest, models.assemble(flows, FEATURES, ["key", *FEATURES]), ["key", *FEATURES])
     impacts, base = attribution.tree_attribution(scored, forest, FEATURES, ["key", "probability"])
     total = F.aggregate("impacts", F.lit(base), lambda t, i: t + i["impact"])
@@ -87,13 +87,43 @@ def test_linear_shapley_adds_up(flows):
     assert impacts.select(F.max(F.abs(total - direct))).first()[0] < 1e-12
 
 
-def test_unsupported_models(spark, flows, forest, monkeypatch):
+def test_unsupported_models(flows):
     boosted = GBTClassifier(maxIter=2).fit(models.assemble(flows, FEATURES, ["label"]))
     with pytest.raises(UnsupportedModelError):
         attribution.attribution(flows, boosted, FEATURES)
-    monkeypatch.setattr(attribution, "NODE_LIMIT", 1)
-    with pytest.raises(ModelSizeError):
-        attribution.attribution(flows, forest, FEATURES)
+
+
+def test_small_blocks_and_slabs_give_the_same_impacts(spark, flows, forest, monkeypatch):
+    files = [f.removeprefix("file://") for f in attribution.leaf_table(spark, forest).leaves.inputFiles()]
+    rows = flows.toPandas()[FEATURES].to_numpy()
+    whole = sum(attribution.tree_shapley(rows, paths) for paths in attribution.leaf_blocks(files))
+    monkeypatch.setattr(attribution, "LEAVES_PER_BLOCK", 3)
+    monkeypatch.setattr(attribution, "WORK_VALUES", 500)
+    blocks = list(attribution.leaf_blocks(files))
+    assert len(blocks) > 3
+    assert sum(attribution.tree_shapley(rows, paths) for paths in blocks) == pytest.approx(whole, abs=1e-12)
+    frames = [pd.DataFrame({"x": range(i, i + 4)}) for i in range(0, 20, 4)]
+    assert [len(f) for f in attribution._slabs(iter(frames), 7)] == [8, 8, 4]
+
+
+def test_each_class_adds_up_to_its_probability(flows):
+    """Three classes: impacts of the predicted class, for trees and for the linear model's margins."""
+    kinds = flows.withColumn("label", F.when(F.col("a") > 0.5, 2.0).when(F.col("b") > 0, 1.0).otherwise(0.0))
+    vectors = models.assemble(kinds, FEATURES, ["key", "label", *FEATURES])
+    forest = models.train(models.random_forest(4, 5), vectors)
+    scored = models.score(forest, vectors, ["key", *FEATURES])
+    impacts, base = attribution.tree_attribution(scored, forest, FEATURES, ["key", "prediction", "probability"], target="prediction")
+    index = F.col("prediction").cast("int")
+    total = F.aggregate("impacts", F.get(F.array(*map(F.lit, base)), index), lambda t, i: t + i["impact"])
+    assert len(base) == 3 and sum(base) == pytest.approx(1)
+    assert impacts.select(F.max(F.abs(total - F.get("probability", index)))).first()[0] < 1e-9
+    assert impacts.select("prediction").distinct().count() == 3
+    linear = models.train(models.logistic_regression(400, 50), vectors)
+    found = attribution.attribution(models.score(linear, vectors, ["key", *FEATURES]), linear, FEATURES, ["key", "prediction", *FEATURES], background=flows, target="prediction").toPandas()
+    means, weights = flows.toPandas()[FEATURES].mean(), linear.coefficientMatrix.toArray()
+    for row in found.head(20).itertuples():
+        want = weights[int(row.prediction)] * (np.array([getattr(row, f) for f in FEATURES]) - means.to_numpy())
+        assert [i["impact"] for i in row.impacts] == pytest.approx(list(want))
 
 
 def impacts_table(spark, *values):

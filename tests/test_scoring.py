@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tidegauge.contract import UniversalSchema
-from tidegauge.errors import CategoryLimitError, ClassLimitError, NotFittedError, SplitKeyError
+from tidegauge.errors import CategoryLimitError, NotFittedError, SplitKeyError
 from tidegauge.operators import evaluation, models, preprocessing, sampling
 from tidegauge.sources import sinks
 
@@ -21,27 +21,44 @@ def sizes(df, *columns):
     return {tuple(r[:-1]): r[-1] for r in df.groupBy(*columns).count().collect()}
 
 
-def test_quotas_follow_largest_remainder():
-    assert sampling.test_quotas({"a": 7, "b": 2, "c": 1}, 0.2) == {"a": 2, "b": 0, "c": 0}
-    assert sampling.test_quotas({"a": 70, "b": 20, "c": 11}, 0.2) == {"a": 15, "b": 4, "c": 2}
+def quotas_of(spark, totals, test_size=0.2):
+    counts = spark.createDataFrame(list(totals.items()), "class string, rows long")
+    return {r["class"]: r["quota"] for r in sampling.class_quotas(counts, test_size).collect()}
+
+
+def test_quotas_follow_largest_remainder(spark):
+    assert quotas_of(spark, {"a": 7, "b": 2, "c": 1}) == {"a": 2, "b": 0, "c": 0}
+    assert quotas_of(spark, {"a": 70, "b": 20, "c": 11}) == {"a": 15, "b": 4, "c": 2}
+    assert quotas_of(spark, {"a": 10**11 + 1, None: 10**11}) == {"a": 2 * 10**10 + 1, None: 2 * 10**10}
 
 
 def test_exact_split(labelled):
     parts = sampling.stratified_split(labelled, "label", "key").persist()
     found = sizes(parts, "label", "part")
     totals = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    quotas = sampling.test_quotas(totals, 0.2)
+    quotas = quotas_of(labelled.sparkSession, totals)
     assert {c: found[c, "test"] for c in quotas} == quotas
     assert sum(quotas.values()) == 201 and parts.count() == 1003
     assert sampling.stratified_split(labelled.repartition(7), "label", "key").exceptAll(parts).isEmpty()
 
 
-def test_split_narrows_without_reading_a_class(labelled):
-    from tidegauge.operators.ranks import Budget
-
+def test_split_does_not_depend_on_the_buckets(labelled):
     whole = sampling.stratified_split(labelled, "label", "key")
-    budget = Budget(sample_rows=400, read=60)
-    assert sampling.stratified_split(labelled, "label", "key", budget=budget).exceptAll(whole).isEmpty()
+    for bits in (0, 3, 30):
+        assert sampling.stratified_split(labelled, "label", "key", bits=bits).exceptAll(whole).isEmpty()
+
+
+def test_many_classes_and_clashing_columns(spark):
+    rows = spark.range(6000).select(F.col("id").alias("class"), (F.col("id") % 2500).alias("cuts"), F.lit("x").alias("cuts_of_part"), F.lit(1).alias("key"))
+    parts = sampling.stratified_split(rows, "cuts", "class")
+    assert parts.columns == ["class", "cuts", "cuts_of_part", "key", "part"] and sizes(parts, "part") == {("test",): 1200, ("train",): 4800}
+    folds = sizes(sampling.stratified_folds(rows, "cuts", "class", 2), "cuts", "fold")
+    assert all(folds[k, 0] - folds.get((k, 1), 0) == (3 if k < 1000 else 2) % 2 for k in range(2500))
+
+
+def test_splits_of_nothing(spark):
+    empty = spark.createDataFrame([], "key long, label string")
+    assert sampling.stratified_split(empty, "label", "key").count() == sampling.stratified_folds(empty, "label", "key").count() == 0
 
 
 def test_folds_are_balanced(labelled):
@@ -58,8 +75,6 @@ def test_repeated_keys_cannot_be_split(spark):
     same = spark.range(100).select(F.lit(1).alias("key"), F.lit("a").alias("label"))
     with pytest.raises(SplitKeyError):
         sampling.stratified_split(same, "label", "key")
-    with pytest.raises(ClassLimitError):
-        sampling.stratified_split(spark.range(2000), "id", "id")
 
 
 def test_shared_hash_values_are_split_by_key(spark, monkeypatch):

@@ -29,10 +29,6 @@ class CategoryLimitError(TidegaugeError):
     """A category column has more values than can become one column each."""
 
 
-class ClassLimitError(TidegaugeError):
-    """A label has too many values to be a class label."""
-
-
 class SplitKeyError(TidegaugeError):
     """The split key is not unique enough for an exact split."""
 
@@ -49,9 +45,5 @@ class UnsupportedModelError(TidegaugeError, ValueError):
     """No attribution method exists for the given model type."""
 
 
-class ModelSizeError(TidegaugeError):
-    """A model has more nodes than the stated limit."""
-
-
 class SharedFolderError(TidegaugeError):
     """A cluster session names no shared folder in spark.checkpoint.dir."""

@@ -3,15 +3,22 @@
 Linear models need one expression per feature. Trees use the path-dependent definition: the Shapley sum over feature
 subsets of one leaf equals the integral over t of a product with one factor per feature on the leaf's path (Owen's
 multilinear extension). The integrand is a polynomial, so a short Gauss-Legendre rule gives the exact value.
+
+A forest is a table of leaf paths, derived from its nodes by tree in executors. Leaves add up independently, so workers
+read the table block by block from the executor's own disk: neither the driver nor a worker holds the forest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
@@ -22,13 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.errors import ModelSizeError, UnsupportedModelError
+from tidegauge.errors import UnsupportedModelError
 from tidegauge.functions.columns import quoted
 from tidegauge.session import scratch_path
 
-NODE_LIMIT = 20_000_000
-BLOCK_VALUES = 4_000_000  # path slots per broadcast block
-WORK_VALUES = 4_000_000  # doubles per intermediate array in a task
+LEAVES_PER_FILE = 200_000
+LEAVES_PER_BLOCK = 10_000  # leaves that a worker holds at a time
+SLAB_VALUES = 2_000_000  # feature values of the rows that meet the blocks together
+WORK_VALUES = 1_000_000  # doubles per intermediate array in a task
 
 
 # --- linear ----------------------------------------------------------------------------------------------------------
@@ -41,32 +49,52 @@ def background_means(background: DataFrame, features: Sequence[str]) -> dict[str
 
 def linear_attribution(
     df: DataFrame,
-    weights: Mapping[str, float],
+    weights: Mapping[str, float | Sequence[float]],
     background: Mapping[str, float],
     keep: Sequence[str] = (),
     output: str = "impacts",
+    target: str | None = None,
 ) -> DataFrame:
-    """Adds an array (feature, impact) in feature order, impact = weight * (value - background mean)."""
+    """Adds an array (feature, impact) in feature order, impact = weight * (value - background mean).
+
+    With a ``target`` column of class indexes, weights are lists by class and each row gets those of its class.
+    """
+
+    def weight(w) -> Column:
+        return F.lit(float(w)) if target is None else F.get(F.array(*[F.lit(float(x)) for x in w]), quoted(target).cast("int"))
+
     terms = [
-        F.struct(F.lit(f).alias("feature"), (F.lit(float(w)) * (quoted(f).cast("double") - F.lit(background[f]))).alias("impact"))
+        F.struct(F.lit(f).alias("feature"), (weight(w) * (quoted(f).cast("double") - F.lit(background[f]))).alias("impact"))
         for f, w in weights.items()
     ]
     return df.select(*map(quoted, keep), F.array(*terms).alias(output))
 
 
 def linear_weights(model: LogisticRegressionModel, features: Sequence[str]) -> dict[str, float]:
+    """Weights of the positive class of a binary model."""
     return dict(zip(features, map(float, model.coefficients)))
 
 
+def linear_class_weights(model: LogisticRegressionModel, features: Sequence[str]) -> dict[str, list[float]]:
+    """Weights by class; those of a binary model are half the positive class's, with both signs."""
+    rows = model.coefficientMatrix.toArray()
+    if len(rows) == 1:
+        rows = np.concatenate([-rows / 2, rows / 2])
+    return {f: [float(x) for x in rows[:, i]] for i, f in enumerate(features)}
+
+
 # --- trees -----------------------------------------------------------------------------------------------------------
 
+LEAF_SCHEMA = "tree int, feature array<int>, low array<double>, high array<double>, share array<double>, value array<double>"
+
 
 @dataclass(frozen=True)
 class LeafPaths:
-    """Root-to-leaf paths of some trees, padded with neutral slots.
+    """Root-to-leaf paths, padded with neutral slots.
 
     A slot is one distinct feature on the path: the row passes it when low < value <= high (low is NaN when there is no
-    lower bound), and ``share`` is the fraction of training rows that follow the path at the feature's splits.
+    lower bound), and ``share`` is the fraction of training rows that follow the path at the feature's splits. ``value``
+    (leaves x classes) holds the class shares in the leaf, divided by the number of trees.
     """
 
     feature: np.ndarray
@@ -75,19 +103,46 @@ class LeafPaths:
     share: np.ndarray
     value: np.ndarray
 
-    @property
-    def base(self) -> float:
-        return float((self.value * self.share.prod(axis=1)).sum())
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> LeafPaths:
+        """Leaves as stored: one list of slots per leaf."""
+        lists = {name: batch.column(name) for name in ("feature", "low", "high", "share", "value")}
+        lengths = np.diff(lists["feature"].offsets.to_numpy())
+        width = max(1, int(lengths.max()))
+        here = np.arange(width) < lengths[:, None]
+
+        def padded(name: str, empty, dtype) -> np.ndarray:
+            table = np.full((len(lengths), width), empty, dtype)
+            table[here] = lists[name].flatten().to_numpy(zero_copy_only=False)
+            return table
+
+        values = lists["value"].flatten().to_numpy(zero_copy_only=False).reshape(len(lengths), -1)
+        return LeafPaths(padded("feature", 0, np.int32), padded("low", np.nan, float), padded("high", np.inf, float), padded("share", 1.0, float), values)
+
+
+@dataclass(frozen=True)
+class LeafTable:
+    """Written leaf paths of a model, its expected value by class, and the files that executors fetch."""
 
+    leaves: DataFrame
+    base: tuple[float, ...]
 
-def read_nodes(spark: SparkSession, model: Model) -> pd.DataFrame:
-    """Node table of a tree model: tree, id, left, right, feature, threshold, class counts."""
+    def files(self) -> list[str]:
+        """Names of the table's files, registered so that each executor fetches them once to its own disk."""
+        paths = self.leaves.inputFiles()
+        for path in paths:
+            self.leaves.sparkSession.sparkContext.addFile(path)
+        return [path.rsplit("/", 1)[-1] for path in paths]
+
+
+def tree_nodes(spark: SparkSession, model: Model) -> DataFrame:
+    """Node table of a tree model: tree, id, left, right, feature, categories, threshold, class counts."""
     path = scratch_path(spark, "tree-nodes")
     model.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
     node = "nodeData." if "nodeData" in data.columns else ""
     tree = F.col("treeID") if "treeID" in data.columns else F.lit(0)
-    nodes = data.select(
+    return data.select(
         tree.alias("tree"),
         F.col(f"{node}id").alias("id"),
         F.col(f"{node}leftChild").alias("left"),
@@ -97,52 +152,57 @@ def read_nodes(spark: SparkSession, model: Model) -> pd.DataFrame:
         F.get(F.col(f"{node}split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"),
         F.col(f"{node}impurityStats").alias("stats"),
     )
-    size = model.totalNumNodes if hasattr(model, "totalNumNodes") else model.numNodes
-    if size > NODE_LIMIT:
-        raise ModelSizeError(f"the model has {size} nodes, more than {NODE_LIMIT}")
-    return nodes.orderBy("tree", "id").toPandas()
 
 
-def leaf_paths(nodes: pd.DataFrame, positive: int = 1) -> list[LeafPaths]:
-    """Paths of every tree; leaf values are the positive class's share, divided by the number of trees."""
-    trees = [t.set_index("id") for _, t in nodes.groupby("tree")]
-    return [_tree_paths(tree, positive, len(trees)) for tree in trees]
+def leaf_table(spark: SparkSession, model: Model) -> LeafTable:
+    """Leaf paths of all trees, each tree walked in one task and the leaves written in files of bounded size."""
+    nodes = tree_nodes(spark, model)
+    if not nodes.where("categories > 0").isEmpty():
+        raise UnsupportedModelError("attribution of trees with categorical splits is not supported")
+    trees = model.getNumTrees if hasattr(model, "getNumTrees") else 1
+
+    def walk(tree: pd.DataFrame) -> pd.DataFrame:
+        return tree_leaves(tree, trees)
+
+    path = scratch_path(spark, "leaf-paths")
+    nodes.groupBy("tree").applyInPandas(walk, LEAF_SCHEMA).write.option("maxRecordsPerFile", LEAVES_PER_FILE).parquet(path)
+    leaves = spark.read.schema(LEAF_SCHEMA).parquet(path)
+    reached = F.aggregate("share", F.lit(1.0), lambda product, share: product * share)
+    base = leaves.agg(*[F.sum(reached * F.get("value", F.lit(k))) for k in range(model.numClasses)]).first()
+    return LeafTable(leaves, tuple(base))
 
 
-def _tree_paths(tree: pd.DataFrame, positive: int, trees: int) -> LeafPaths:
+def tree_leaves(tree: pd.DataFrame, trees: int) -> pd.DataFrame:
+    """Rows of ``LEAF_SCHEMA`` for one tree's nodes; leaf values are the class shares, divided by the number of trees."""
+    tree = tree.set_index("id")
     stats = {i: np.asarray(s, dtype=float) for i, s in tree["stats"].items()}
+    size = {i: s.sum() for i, s in stats.items()}
     left, right = tree["left"].to_dict(), tree["right"].to_dict()
     feature, threshold = tree["feature"].to_dict(), tree["threshold"].to_dict()
-    if (tree["categories"] > 0).any():
-        raise UnsupportedModelError("attribution of trees with categorical splits is not supported")
-    paths, values = [], []
-    pending = [(0, {})]
+    leaves, pending = [], [(0, {})]
     while pending:
         node, slots = pending.pop()
         if left[node] < 0:
-            paths.append(slots)
-            values.append(stats[node][positive] / stats[node].sum() / trees)
+            low, high, share = zip(*slots.values()) if slots else ((), (), ())
+            leaves.append((int(tree["tree"].iat[0]), list(slots), list(low), list(high), list(share), list(stats[node] / size[node] / trees)))
             continue
-        for child, is_left in ((left[node], True), (right[node], False)):
-            low, high, share = slots.get(feature[node], (np.nan, np.inf, 1.0))
-            part = share * stats[child].sum() / stats[node].sum()
-            cut = threshold[node]
-            bounds = (low, min(high, cut), part) if is_left else (np.fmax(low, cut), high, part)
-            pending.append((child, {**slots, feature[node]: bounds}))
-    width = max(1, max(map(len, paths)))
-    shape = (len(paths), width)
-    result = LeafPaths(
-        np.zeros(shape, dtype=np.int32), np.full(shape, np.nan), np.full(shape, np.inf), np.ones(shape), np.array(values)
-    )
-    for row, slots in enumerate(paths):
-        for column, (index, (low, high, share)) in enumerate(slots.items()):
-            result.feature[row, column], result.share[row, column] = index, share
-            result.low[row, column], result.high[row, column] = low, high
-    return result
+        low, high, share = slots.get(feature[node], (np.nan, np.inf, 1.0))
+        cut = threshold[node]
+        for child, bounds in ((left[node], (low, min(high, cut))), (right[node], (np.fmax(low, cut), high))):
+            pending.append((child, {**slots, feature[node]: (*bounds, share * size[child] / size[node])}))
+    return pd.DataFrame(leaves, columns=["tree", "feature", "low", "high", "share", "value"])
+
 
+def leaf_blocks(paths: Sequence[str]) -> Iterator[LeafPaths]:
+    """The leaves of local files, a bounded number at a time."""
+    for path in paths:
+        with pq.ParquetFile(path) as file:
+            for batch in file.iter_batches(LEAVES_PER_BLOCK):
+                yield LeafPaths.of(batch)
 
-def tree_shapley(rows: np.ndarray, paths: LeafPaths) -> np.ndarray:
-    """Shapley values (rows x features) of one tree.
+
+def tree_shapley(rows: np.ndarray, paths: LeafPaths, target: int = 1) -> np.ndarray:
+    """Shapley values (rows x features) of some leaves for one class.
 
     At a point t of the rule a passed slot contributes the factor share * (1 - t) + t, a failed one share * (1 - t).
     Logarithms turn the product over the slots of a leaf into a matrix product with the passed slots.
@@ -154,7 +214,7 @@ def tree_shapley(rows: np.ndarray, paths: LeafPaths) -> np.ndarray:
     failed = paths.share[:, :, None] * (1 - points)
     gain = (np.log(failed + points) - np.log(failed)).transpose(0, 2, 1)
     start = np.log(failed).sum(axis=1) + np.log(weights)
-    value = paths.value[:, None, None]
+    value = paths.value[:, target, None, None]
     if_passed = value * (1 - paths.share[:, :, None]) / (failed + points)
     if_failed = -value * paths.share[:, :, None] / failed
     low, high = paths.low[:, :, None], paths.high[:, :, None]
@@ -169,15 +229,17 @@ def tree_shapley(rows: np.ndarray, paths: LeafPaths) -> np.ndarray:
     return result
 
 
-def _blocks(paths: list[LeafPaths]) -> list[list[LeafPaths]]:
-    blocks, size = [[]], 0
-    for tree in paths:
-        if blocks[-1] and size + tree.feature.size > BLOCK_VALUES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(tree)
-        size += tree.feature.size
-    return blocks
+def _slabs(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The batches joined to frames of about ``rows`` rows, so that a block is read once for many rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if size:
+        yield pd.concat(held, ignore_index=True)
 
 
 def tree_attribution(
@@ -187,33 +249,36 @@ def tree_attribution(
     keep: Sequence[str] = (),
     positive: int = 1,
     output: str = "impacts",
-) -> tuple[DataFrame, float]:
+    target: str | None = None,
+) -> tuple[DataFrame, float | tuple[float, ...]]:
     """(kept columns with an array (feature, impact), base value). Impacts and base add up to the model's probability.
 
-    Rows stay where they are: each Arrow batch is attributed against the forest, which is broadcast in blocks. A Python
-    worker keeps the blocks it has read, so in the end all of them: the model has to fit (``NODE_LIMIT``).
+    Explained is the class ``positive``, or the class index in the column ``target``; the base values of all classes are
+    returned then. Rows stay where they are and meet the forest a block of leaves at a time.
     """
-    spark = df.sparkSession
-    paths = leaf_paths(read_nodes(spark, model), positive)
-    base = sum(tree.base for tree in paths)
-    blocks = [spark.sparkContext.broadcast(block) for block in _blocks(paths)]
+    table = leaf_table(df.sparkSession, model)
+    files = table.files()
     names, kept = list(features), list(keep)
     inputs = [f"x{i}" for i in range(len(names))]
+    rows_at_once = max(1, SLAB_VALUES // max(1, len(names)))
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = batch[inputs].to_numpy(dtype=float)
-            impact = np.zeros(rows.shape)
-            for block in blocks:
-                for tree in block.value:
-                    impact += tree_shapley(rows, tree)
-            yield batch[kept].assign(_impact=list(impact))
-
-    table = df.select(*map(quoted, kept), *[quoted(n).cast("double").alias(x) for n, x in zip(names, inputs)])
-    schema = T.StructType([*[table.schema[k] for k in kept], T.StructField("_impact", T.ArrayType(T.DoubleType()))])
+        paths = [SparkFiles.get(name) for name in files]
+        for slab in _slabs(batches, rows_at_once):
+            rows, impact = slab[inputs].to_numpy(dtype=float), np.zeros((len(slab), len(inputs)))
+            classes = slab["_target"].to_numpy() if target else np.fromiter(repeat(positive, len(slab)), int)
+            members = {int(k): np.flatnonzero(classes == k) for k in np.unique(classes)}
+            for block in leaf_blocks(paths):
+                for k, at in members.items():
+                    impact[at] += tree_shapley(rows[at], block, k)
+            yield slab[kept].assign(_impact=list(impact))
+
+    chosen = [quoted(target).cast("int").alias("_target")] if target else []
+    rows = df.select(*map(quoted, kept), *chosen, *[quoted(n).cast("double").alias(x) for n, x in zip(names, inputs)])
+    schema = T.StructType([*[rows.schema[k] for k in kept], T.StructField("_impact", T.ArrayType(T.DoubleType()))])
     named = [F.struct(F.lit(n).alias("feature"), F.col("_impact")[i].alias("impact")) for i, n in enumerate(names)]
-    attributed = table.mapInPandas(attribute, schema)
-    return attributed.select(*map(quoted, kept), F.array(*named).alias(output)), base
+    attributed = rows.mapInPandas(attribute, schema)
+    return attributed.select(*map(quoted, kept), F.array(*named).alias(output)), table.base if target else table.base[positive]
 
 
 def attribution(
@@ -222,13 +287,18 @@ def attribution(
     features: Sequence[str],
     keep: Sequence[str] = (),
     background: DataFrame | None = None,
+    target: str | None = None,
 ) -> DataFrame:
-    """Kept columns and impacts for a logistic regression (needs a background table) or a tree classifier."""
+    """Kept columns and impacts for a logistic regression (needs a background table) or a tree classifier.
+
+    Explained is the positive class, or the class whose index the column ``target`` holds.
+    """
     if isinstance(model, LogisticRegressionModel):
         means = background_means(df if background is None else background, features)
-        return linear_attribution(df, linear_weights(model, features), means, keep)
+        weights = linear_class_weights(model, features) if target else linear_weights(model, features)
+        return linear_attribution(df, weights, means, keep, target=target)
     if isinstance(model, (RandomForestClassificationModel, DecisionTreeClassificationModel)):
-        return tree_attribution(df, model, features, keep)[0]
+        return tree_attribution(df, model, features, keep, target=target)[0]
     raise UnsupportedModelError(f"unsupported model type: {type(model).__name__}")
 
 

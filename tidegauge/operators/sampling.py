@@ -1,99 +1,89 @@
 """Repeatable samples, hold-out splits and folds, drawn by a hash of the row key.
 
-Exact quotas need the hash at a few ranks of every class. Those come from ``order_statistics``; the split itself is
-then a comparison with literals. No class is ever sorted or collected in one task.
+Exact quotas need, per class, the rows at a few ranks in (hash, key) order. The leading bits of the hash deal a class
+into buckets of equal chance; counting (class, bucket) with a map side says which bucket holds a rank, and only such
+buckets are read and ordered, each in a task of its own. The rows found are the boundaries, a table that is joined by
+class (Spark broadcasts it by the size of its files). There may be any number of classes, and no class is ever sorted or
+collected as a whole.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
-from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import BACKGROUND_ROWS, FOLDS, SEED, TEST_SIZE
-from tidegauge.errors import ClassLimitError, SplitKeyError
-from tidegauge.functions.columns import key_hash, quoted, unit_hash
-from tidegauge.operators.ranks import Budget, order_statistics
+from tidegauge.errors import SplitKeyError
+from tidegauge.functions.columns import HASH_RANGE, key_hash, quoted, unit_hash
+from tidegauge.session import written
 
-CLASS_LIMIT = 1_000  # a label with more values is not a class label
-TIES_READ = 10_000  # rows with one hash value; more means that the key repeats
+#: Leading bits of the hash that number a class's buckets: a bucket holds one in 65,536 of the class's rows.
+BUCKET_BITS = 16
 
 
-@dataclass(frozen=True)
-class Boundary:
-    """End of the first rows of a class in (hash, key) order; ``last_key`` is set when a hash value is shared."""
-
-    hash: float
-    last_key: Any = None
-
-    def covers(self, hashed: Column, key: Column) -> Column:
-        if self.last_key is None:
-            return hashed <= F.lit(self.hash)
-        return (hashed < F.lit(self.hash)) | ((hashed == F.lit(self.hash)) & (key <= F.lit(self.last_key)))
-
-
-def class_sizes(df: DataFrame, label: str) -> dict[Any, int]:
-    """Rows per class, in class order with NULL first."""
-    rows = df.groupBy(quoted(label).alias("label")).count().limit(CLASS_LIMIT + 1).collect()
-    if len(rows) > CLASS_LIMIT:
-        raise ClassLimitError(f"'{label}' has more than {CLASS_LIMIT} values")
-    return {r["label"]: r["count"] for r in sorted(rows, key=lambda r: (r["label"] is not None, r["label"]))}
+def bucket_counts(df: DataFrame, label: str, key: str, seed: int, bits: int = BUCKET_BITS) -> DataFrame:
+    """(class, bucket, rows, before) from a written count; ``before`` are the class's rows in earlier buckets."""
+    bucket = F.floor(key_hash(quoted(key), seed) / F.lit(HASH_RANGE / 2**bits))
+    counts = df.groupBy(quoted(label).alias("class"), bucket.alias("bucket")).agg(F.count("*").alias("rows"))
+    counts = written(counts, "class-buckets")
+    if not counts.where("bucket is null").isEmpty():
+        raise SplitKeyError(f"'{key}' has NULL values, such rows cannot be assigned")
+    earlier = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
 
 
-def test_quotas(sizes: Mapping[Any, int], test_size: float) -> dict[Any, int]:
-    """Test rows per class: ceil(share of all rows), spread in proportion, by largest remainder (then class order)."""
-    rows = sum(sizes.values())
+def class_quotas(counts: DataFrame, test_size: float) -> DataFrame:
+    """(class, size, quota): ceil(share of all rows), spread in proportion, by largest remainder, then class order, NULL first."""
+    sizes = written(counts.groupBy("class").agg(F.sum("rows").alias("size")), "class-sizes")
+    rows = sizes.agg(F.sum("size")).first()[0] or 0
     target = math.ceil(rows * test_size)
-    whole = {c: n * target // rows for c, n in sizes.items()}
-    order = sorted(enumerate(sizes.items()), key=lambda item: (-(item[1][1] * target % rows), item[0]))
-    for _, (c, _) in order[: target - sum(whole.values())]:
-        whole[c] += 1
-    return whole
-
-
-def class_boundaries(
-    df: DataFrame,
-    label: str,
-    key: str,
-    ends: Mapping[Any, Sequence[int]],
-    sizes: Mapping[Any, int],
-    seed: int,
-    budget: Budget = Budget(),
-) -> dict[Any, list[Boundary]]:
-    """For every class the boundaries after the given numbers of rows, each between 1 and the class size."""
-    classes = [c for c in ends if ends[c]]
+    product = f"(CAST(size AS DECIMAL(18,0)) * {target}BD)"
+    whole, rest = F.expr(f"CAST({product} div {max(rows, 1)}BD AS BIGINT)"), F.expr(f"{product} % {max(rows, 1)}BD")
+    shares = sizes.select("class", "size", whole.alias("whole"), rest.alias("rest"))
+    spare = target - (shares.agg(F.sum("whole")).first()[0] or 0)
+    more = shares.orderBy(F.desc("rest"), F.asc_nulls_first("class")).limit(spare).select(F.col("class").alias("more"), F.lit(1).alias("one"))
+    joined = shares.join(more, F.col("class").eqNullSafe(F.col("more")), "left")
+    return joined.select("class", "size", (F.col("whole") + F.coalesce("one", F.lit(0))).alias("quota"))
+
+
+def class_boundaries(df: DataFrame, label: str, key: str, counts: DataFrame, ends: DataFrame, seed: int, bits: int = BUCKET_BITS) -> DataFrame:
+    """Written: (class, cuts), the (hash, key) of the last row of each group of first rows, ascending.
+
+    ``ends`` (class, end) says after how many rows of the class a group ends, from 1 to the class size.
+    """
+    here = F.col("class").eqNullSafe(F.col("end_class")) & (F.col("before") < F.col("end")) & (F.col("end") <= F.col("before") + F.col("rows"))
+    places = counts.join(ends.withColumnRenamed("class", "end_class"), here)
+    places = written(places.select("class", "bucket", (F.col("end") - F.col("before")).alias("place")), "class-places")
+    wanted = places.select(F.col("class").alias("w_class"), F.col("bucket").alias("w_bucket"))
     hashed = key_hash(quoted(key), seed)
-    columns = {str(i): F.when(quoted(label).eqNullSafe(F.lit(c)), hashed) for i, c in enumerate(classes)}
-    found = order_statistics(
-        df, columns, lambda name, _count: [end - 1 for end in ends[classes[int(name)]]], sum(sizes.values()), budget
-    )
-    result = {}
-    for i, c in enumerate(classes):
-        ranked = found[str(i)]
-        result[c] = [
-            Boundary(ranked.values[end - 1])
-            if ranked.through[end - 1] == end
-            else _shared(df, label, key, c, hashed, ranked.values[end - 1], end - ranked.below[end - 1])
-            for end in ends[c]
-        ]
-    return result
-
-
-def _shared(df, label, key, label_value, hashed, value, first) -> Boundary:
-    same = df.where(quoted(label).eqNullSafe(F.lit(label_value)) & (hashed == F.lit(value)))
-    keys = [r[0] for r in same.select(quoted(key)).orderBy(quoted(key)).limit(TIES_READ + 1).collect()]
-    if len(keys) > TIES_READ or (first < len(keys) and keys[first - 1] == keys[first]):
+    rows = df.select(quoted(label).alias("class"), hashed.alias("hash"), quoted(key).alias("key"))
+    rows = rows.withColumn("bucket", F.floor(F.col("hash") / F.lit(HASH_RANGE / 2**bits)))
+    same = F.col("class").eqNullSafe(F.col("w_class")) & (F.col("bucket") == F.col("w_bucket"))
+    near = rows.join(wanted, same, "left_semi")
+    line = Window.partitionBy("class", "bucket").orderBy("hash", "key")
+    near = near.withColumn("rank", F.row_number().over(line)).withColumn("shared", F.coalesce(F.lead("key").over(line) == F.col("key"), F.lit(False)))
+    near = near.select(F.col("class").alias("n_class"), F.col("bucket").alias("n_bucket"), "rank", "hash", "key", "shared")
+    at = F.col("class").eqNullSafe(F.col("n_class")) & (F.col("bucket") == F.col("n_bucket")) & (F.col("place") == F.col("rank"))
+    cuts = F.array_sort(F.collect_list(F.struct("hash", "key")))
+    found = places.join(near, at).groupBy("class").agg(cuts.alias("cuts"), F.max("shared").alias("shared"))
+    found = written(found, "class-boundaries")
+    if not found.where("shared").isEmpty():
         raise SplitKeyError(f"'{key}' is not unique, rows with the same key cannot be split")
-    return Boundary(value, keys[first - 1])
+    return found.drop("shared")
 
 
-def _require_keys(df: DataFrame, key: str) -> None:
-    if not df.where(quoted(key).isNull()).isEmpty():
-        raise SplitKeyError(f"'{key}' has NULL values, such rows cannot be assigned")
+def passed_cuts(df: DataFrame, label: str, key: str, boundaries: DataFrame, seed: int, output: str) -> DataFrame:
+    """``df`` with the number of its class's cuts that lie before each row."""
+    names = {c: f"{c}_of_{output}" for c in ("class", "cuts")}
+    while set(names.values()) & set(df.columns):
+        names = {c: f"{n}_" for c, n in names.items()}
+    table = boundaries.select(*[F.col(c).alias(n) for c, n in names.items()])
+    me = F.struct(key_hash(quoted(key), seed).alias("hash"), quoted(key).alias("key"))
+    passed = F.coalesce(F.size(F.filter(quoted(names["cuts"]), lambda cut: me > cut)), F.lit(0))
+    joined = df.join(table, quoted(label).eqNullSafe(quoted(names["class"])), "left")
+    return joined.withColumn(output, F.when(quoted(names["cuts"]).isNull(), -1).otherwise(passed)).drop(*names.values())
 
 
 def stratified_split(
@@ -103,43 +93,26 @@ def stratified_split(
     test_size: float = TEST_SIZE,
     seed: int = SEED,
     exact: bool = True,
-    budget: Budget = Budget(),
+    bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """Adds ``part`` (train or test). Exact class quotas, or independent draws per row in a single lazy pass."""
     if not exact:
         return df.withColumn("part", F.when(unit_hash(quoted(key), seed) < test_size, "test").otherwise("train"))
-    _require_keys(df, key)
-    sizes = class_sizes(df, label)
-    quotas = test_quotas(sizes, test_size)
-    found = class_boundaries(df, label, key, {c: [q] for c, q in quotas.items() if q}, sizes, seed, budget)
-    hashed, part = key_hash(quoted(key), seed), F.lit(False)
-    for c, boundaries in found.items():
-        part = part | (quoted(label).eqNullSafe(F.lit(c)) & boundaries[0].covers(hashed, quoted(key)))
-    return df.withColumn("part", F.when(part, "test").otherwise("train"))
-
-
-def stratified_folds(
-    df: DataFrame, label: str, key: str, k: int = FOLDS, seed: int = SEED, budget: Budget = Budget()
-) -> DataFrame:
+    counts = bucket_counts(df, label, key, seed, bits)
+    ends = class_quotas(counts, test_size).where("quota > 0").select("class", F.col("quota").alias("end"))
+    marked = passed_cuts(df, label, key, class_boundaries(df, label, key, counts, ends, seed, bits), seed, "part")
+    return marked.withColumn("part", F.when(F.col("part") == 0, "test").otherwise("train"))
+
+
+def stratified_folds(df: DataFrame, label: str, key: str, k: int = FOLDS, seed: int = SEED, bits: int = BUCKET_BITS) -> DataFrame:
     """Adds ``fold`` (0 to k-1); within a class, fold sizes differ by at most one row."""
-    _require_keys(df, key)
-    sizes = class_sizes(df, label)
-    ends = {c: [((i * (n // k)) + min(i, n % k)) for i in range(1, k)] for c, n in sizes.items()}
-    usable = {c: [e for e in cuts if 0 < e < sizes[c]] for c, cuts in ends.items()}
-    found = class_boundaries(df, label, key, usable, sizes, seed, budget)
-    hashed, fold = key_hash(quoted(key), seed), None
-    for c, cuts in ends.items():
-        known = dict(zip(usable[c], found.get(c, [])))
-        chain = None
-        for i, end in enumerate(cuts):
-            if end in known:
-                covered = known[end].covers(hashed, quoted(key))
-                chain = F.when(covered, i) if chain is None else chain.when(covered, i)
-        last = max((i for i in range(k) if (cuts[i - 1] if i else 0) < sizes[c]), default=0)
-        inner = F.lit(last) if chain is None else chain.otherwise(last)
-        here = quoted(label).eqNullSafe(F.lit(c))
-        fold = F.when(here, inner) if fold is None else fold.when(here, inner)
-    return df.withColumn("fold", (F.lit(0) if fold is None else fold).cast("int"))
+    counts = bucket_counts(df, label, key, seed, bits)
+    sizes = counts.groupBy("class").agg(F.sum("rows").alias("size"))
+    even, rest = F.expr(f"size div {k}"), F.col("size") % k
+    cuts = F.array(*[F.lit(i) * even + F.least(F.lit(i), rest) for i in range(1, k)]) if k > 1 else F.array().cast("array<bigint>")
+    ends = sizes.select("class", "size", F.explode(cuts).alias("end")).where("end < size").select("class", "end").distinct()
+    marked = passed_cuts(df, label, key, class_boundaries(df, label, key, counts, ends, seed, bits), seed, "fold")
+    return marked.withColumn("fold", F.greatest(F.col("fold"), F.lit(0)).cast("int"))
 
 
 def fraction_sample(df: DataFrame, fraction: float, key: str | None = None, seed: int = SEED) -> DataFrame:
@@ -155,6 +128,6 @@ def fixed_sample(df: DataFrame, rows: int = BACKGROUND_ROWS, key: str | None = N
     return df.orderBy(*order).limit(rows)
 
 
-def newest(df: DataFrame, rows: int, time: str = "timestamp", *ties: str) -> DataFrame:
-    """The latest rows, newest first."""
-    return df.orderBy(F.desc(time), *ties).limit(rows)
+def newest(df: DataFrame, rows: int, tie: str, *ties: str, time: str = "timestamp") -> DataFrame:
+    """The latest rows, newest first, rows without a time last; of equal times the smallest ``tie`` first, NULL before all."""
+    return df.orderBy(F.desc_nulls_last(time), *[quoted(t).asc_nulls_first() for t in (tie, *ties)]).limit(rows)

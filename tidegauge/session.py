@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegauge.errors import SharedFolderError
 
@@ -49,3 +50,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def small_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
     """Metadata rows as a local relation (no scan job, size known to the optimizer)."""
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it again, so that it is computed once and survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes up to which a counted table is broadcast.
+BROADCAST_BYTES = 16_000_000
+
+
+def broadcast_if_small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, marked for broadcast when its counted rows are small; else Spark joins by shuffling."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from tidegauge.config import HISTORY_LIMIT
 from tidegauge.functions.columns import without_record_ids
 from tidegauge.operators.mapping import project_record
+from tidegauge.operators.sampling import newest
 
 TEXT, NUMBER, TIME = T.StringType(), T.DoubleType(), T.TimestampType()
 
@@ -39,14 +41,18 @@ RECORDS = {"drift": DRIFT_RECORD, "performance": HEALTH_RECORD, "alerts": ALERT_
 RETRAINING = "retrain_scheduled"
 
 
-def newest_first(records: DataFrame, limit: int = HISTORY_LIMIT, time: str = "timestamp", *ties: str) -> DataFrame:
-    """The latest records without store ids; tasks keep only their own top rows."""
-    return without_record_ids(records).orderBy(F.desc(time), *ties).limit(limit)
+#: Columns that tell records of one time apart.
+TIES = {"drift": ("dataset", "psi"), "performance": ("model", "status"), "alerts": ("alert_id", "state")}
+
+
+def newest_first(records: DataFrame, ties: Sequence[str], limit: int = HISTORY_LIMIT, time: str = "timestamp") -> DataFrame:
+    """The latest records without store ids, of equal times in order of ``ties``; tasks keep only their own top rows."""
+    return newest(without_record_ids(records), limit, *ties, time=time)
 
 
 def retraining(alerts: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     """The latest alerts that scheduled a retraining."""
-    return newest_first(alerts.where(F.col("state") == RETRAINING), limit, "created_at")
+    return newest_first(alerts.where(F.col("state") == RETRAINING), TIES["alerts"], limit, "created_at")
 
 
 def envelope(rows: DataFrame) -> DataFrame:
@@ -69,4 +75,4 @@ class HistoryStore:
         return self.spark.read.schema(RECORDS[kind]).parquet(f"{self.path}/{kind}")
 
     def latest(self, kind: str, limit: int = HISTORY_LIMIT) -> DataFrame:
-        return newest_first(self.read(kind), limit, "created_at" if kind == "alerts" else "timestamp")
+        return newest_first(self.read(kind), TIES[kind], limit, "created_at" if kind == "alerts" else "timestamp")

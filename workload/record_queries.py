@@ -238,7 +238,7 @@ FLAT_SQL = "SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, dat
 
 @query(f"{FLAT_SQL} FROM ({DRIFT_RECORDS_SQL} ORDER BY ts DESC LIMIT 20)")
 def history_latest(spark, sf_dir):
-    return flat(history.newest_first(drift_records(spark, sf_dir)))
+    return flat(history.newest_first(drift_records(spark, sf_dir), history.TIES["drift"]))
 
 
 @query(f"{FLAT_SQL} FROM ({DRIFT_RECORDS_SQL} ORDER BY ts DESC LIMIT 50)")
@@ -256,7 +256,7 @@ def history_store(spark, sf_dir):
     FROM ({DRIFT_RECORDS_SQL} ORDER BY ts DESC LIMIT 20)"""
 )
 def history_envelope(spark, sf_dir):
-    body = history.envelope(history.newest_first(drift_records(spark, sf_dir)))
+    body = history.envelope(history.newest_first(drift_records(spark, sf_dir), history.TIES["drift"]))
     return body.select("count", F.array_join(F.reverse(F.array_sort("data"))["dataset"], ",").alias("datasets"))
 
 

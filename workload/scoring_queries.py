@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import evaluation, mapping, models, sampling
 from tidegauge.operators.preprocessing import FlowPreprocessor
-from tidegauge.operators.ranks import Budget
 from workload import common as c
 from workload.drift_queries import SPLIT_SQL
 
@@ -35,12 +34,35 @@ def stratified_split(spark, sf_dir):
 
 @query(ORACLE["stratified_split"])
 def split_in_rounds(spark, sf_dir):
-    """The same split when little may be read at once, so that the boundaries are narrowed in several rounds."""
-    budget = Budget(sample_rows=400, sample_values=400, read=50)
-    parts = sampling.stratified_split(c.table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey", budget=budget)
+    """The same split from fewer, larger buckets."""
+    parts = sampling.stratified_split(c.table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey", bits=3)
     return parts.select("o_orderkey", "o_orderstatus", "part")
 
 
+MANY_CLASSES = 1_500
+MANY_SQL = f"SELECT o_orderkey AS key, o_orderkey % {MANY_CLASSES} AS class FROM orders"
+
+
+def many_classes(spark, sf_dir):
+    """Orders in 1,500 classes."""
+    return c.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % MANY_CLASSES).alias("class"))
+
+
+@query(f"""WITH rows AS ({MANY_SQL}),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {c.hash_sql('key')}, key) AS rn FROM rows),
+    sizes AS (SELECT class, count(*) AS n FROM rows GROUP BY 1),
+    whole AS (SELECT class, n * t // total AS w, n * t % total AS rest, t FROM sizes, (SELECT ceil(sum(n) * 0.2)::BIGINT AS t, sum(n)::BIGINT AS total FROM sizes)),
+    quota AS (SELECT class, w + CASE WHEN row_number() OVER (ORDER BY rest DESC, class) <= t - sum(w) OVER () THEN 1 ELSE 0 END AS q FROM whole)
+    SELECT key, class, CASE WHEN rn <= q THEN 'test' ELSE 'train' END AS part FROM ranked JOIN quota USING (class)""")
+def split_many_classes(spark, sf_dir):
+    return sampling.stratified_split(many_classes(spark, sf_dir), "class", "key")
+
+
+@query(f"SELECT key, class, (ntile(5) OVER (PARTITION BY class ORDER BY {c.hash_sql('key')}, key) - 1)::INTEGER AS fold FROM ({MANY_SQL})")
+def folds_many_classes(spark, sf_dir):
+    return sampling.stratified_folds(many_classes(spark, sf_dir), "class", "key")
+
+
 @query(
     f"SELECT o_orderkey, CASE WHEN {c.hash_sql('o_orderkey')} / 4503599627370496 < 0.2 THEN 'test' ELSE 'train' END AS part FROM orders"
 )
