@@ -132,12 +132,25 @@ def test_report_order(spark):
     assert lines[2]["f1"] == 0.5 and lines[3]["recall"] == 0.5
 
 
-def test_balanced_weights(spark, monkeypatch):
+def test_balanced_weights(spark):
     rows = scored(spark, [(0, 0)] * 6 + [(1, 0)] * 2)
     weighted = evaluation.with_class_weights(rows, "label")
     assert {r["label"]: r["weight"] for r in weighted.collect()} == {0: 8 / 12, 1: 2.0}
-    monkeypatch.setattr(evaluation, "CLASS_LITERALS", 1)
-    assert evaluation.with_class_weights(rows, "label").exceptAll(weighted).isEmpty()
+    odd = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4)], "label string, _class int")
+    found = evaluation.with_class_weights(odd, "label")
+    assert found.columns == ["label", "_class", "weight"] and {r["label"]: r["weight"] for r in found.collect()} == {None: 4 / 6, "a": 4 / 3, "b": 4 / 3}
+
+
+def test_reports_and_grids_of_many_classes(spark):
+    """1,500 classes in two runs, hand-counted."""
+    rows = spark.range(6000).select((F.col("id") % 2).alias("run"), (F.col("id") % 1500).alias("label"), F.when(F.col("id") < 3000, F.col("id") % 1500).otherwise(0).alias("prediction"))
+    counts = evaluation.confusion_counts(rows, by=["run"])
+    grid = evaluation.confusion_matrix(counts, ["run"])
+    assert grid.groupBy("run").agg(F.count("*").alias("cells"), F.sum("n").alias("rows")).orderBy("run").collect() == [(0, 750 * 750, 3000), (1, 751 * 751, 3000)]
+    report = evaluation.classification_report(counts, ["run"]).collect()
+    assert len(report) == 750 + 3 + 751 + 3 and [r["class"] for r in report[750:753]] == ["accuracy", "macro avg", "weighted avg"]
+    assert report[750]["f1"] == pytest.approx((1500 + 2) / 3000) and report[750]["support"] == 3000
+    assert evaluation.with_class_weights(rows, "label").select("weight").distinct().count() == 1
 
 
 # --- preprocessing ---------------------------------------------------------------------------------------------------
@@ -171,15 +184,53 @@ def test_transform(spark, gaps):
 
 def test_state_round_trip(spark, gaps, tmp_path):
     model = preprocessing.FlowPreprocessor(["c"], ["x"], ["same"]).fit(gaps)
-    model.save(spark, str(tmp_path / "state"))
-    loaded = preprocessing.FlowPreprocessorModel.load(spark, str(tmp_path / "state"))
-    assert (loaded.categories, loaded.numbers, loaded.keep) == (model.categories, model.numbers, model.keep)
+    model.save(str(tmp_path / "state"))
+    loaded = preprocessing.FlowPreprocessorModel.load(str(tmp_path / "state"))
+    assert (loaded.categories, loaded.numbers, loaded.keep, loaded.uid) == (model.categories, model.numbers, model.keep, model.uid)
 
 
-def test_too_many_categories(spark, monkeypatch):
+def test_too_many_categories_for_columns(spark, monkeypatch):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 != 1, F.col("id").cast("string")).alias("c"), F.lit(1.5).alias("x"))
+    other = rows.union(spark.createDataFrame([(-1, "never seen", 0.0)], rows.schema))
+    dense = {r["id"]: list(r["features"]) for r in preprocessing.FlowPreprocessor(["c"], ["x"], ["id"]).fit(rows).with_vector(other).select("id", vector_to_array("features").alias("features")).collect()}
     monkeypatch.setattr(preprocessing, "CATEGORY_LIMIT", 10)
+    monkeypatch.setattr(preprocessing, "HEAVY", 5)  # the hot value only
+    model = preprocessing.FlowPreprocessor(["c"], ["x"], ["id"]).fit(rows)
     with pytest.raises(CategoryLimitError):
-        preprocessing.FlowPreprocessor(["c"], []).fit(spark.range(50).select(F.col("id").cast("string").alias("c")))
+        model.transform(rows)
+    assert model.categories[0].mode == "hot" and model.imputed()
+    found = model.with_vector(other)
+    assert {r["id"]: list(r["features"]) for r in found.select("id", vector_to_array("features").alias("features")).collect()} == dense
+    assert found.first()["features"].__class__.__name__ == "SparseVector" and sum(dense[-1][:-1]) == 0 and sum(dense[1][:-1]) == 1
+
+
+def test_infinite_numbers_are_refused(spark):
+    from tidegauge.errors import InfiniteValueError
+
+    rows = spark.createDataFrame([(1.0,), (float("inf"),), (3.0,)], "x double")
+    with pytest.raises(InfiniteValueError, match="1 infinite"):
+        preprocessing.FlowPreprocessor([], ["x"]).fit(rows)
+    with pytest.raises(Exception, match="infinite values"):
+        preprocessing.FlowPreprocessor([], ["x"]).fit(rows.where("x < 5")).transform(rows).collect()
+    lenient = preprocessing.FlowPreprocessor([], ["x"], infinite="missing").fit(rows)
+    assert [r.x for r in lenient.transform(rows).collect()] == pytest.approx([-(1.5**0.5), 0.0, 1.5**0.5])
+
+
+def test_preprocessor_and_model_are_saved_as_one(spark, tmp_path, monkeypatch):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    monkeypatch.setattr(preprocessing, "CATEGORY_LIMIT", 3)
+    rows = spark.range(200).select("id", (F.col("id") % 7).cast("string").alias("c"), (F.col("id") * 1.0).alias("x"), (F.col("id") % 7 > 3).cast("double").alias("label"))
+    pipeline = Pipeline(stages=[preprocessing.FlowPreprocessor(["c"], ["x"], vector="features"), models.logistic_regression(200, 50)])
+    pipeline.write().overwrite().save(str(tmp_path / "unfitted"))
+    model = Pipeline.load(str(tmp_path / "unfitted")).fit(rows)
+    model.write().overwrite().save(str(tmp_path / "fitted"))
+    loaded = PipelineModel.load(str(tmp_path / "fitted"))
+    shown = ["id", "c", "x", "features", "prediction"]
+    assert [tuple(r) for r in loaded.transform(rows.drop("label")).orderBy("id").select(*shown).collect()] == [tuple(r) for r in model.transform(rows).orderBy("id").select(*shown).collect()]
+    assert model.transform(rows).where("prediction = label").count() == 200
 
 
 def test_sparse_encoding_equals_columns(spark, gaps):

@@ -29,6 +29,10 @@ class CategoryLimitError(TidegaugeError):
     """A category column has more values than can become one column each."""
 
 
+class InfiniteValueError(TidegaugeError, ValueError):
+    """A number column holds infinite values, which cannot be scaled."""
+
+
 class SplitKeyError(TidegaugeError):
     """The split key is not unique enough for an exact split."""
 

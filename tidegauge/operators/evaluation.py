@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import quoted, ratio
+from tidegauge.session import broadcast_if_small, written
 
-CLASS_LITERALS = 200
+CLASS_BYTES = 200  # of a class and its weight, for the check before a broadcast
 METRICS = ("accuracy", "precision", "recall", "f1")
 
 
@@ -28,15 +29,19 @@ def confusion_counts(
 
 def confusion_matrix(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All (label, prediction) cells, empty ones as 0; NULL is a class like any other."""
-    one = lambda c: F.collect_set(F.struct(quoted(c).alias("c")))  # noqa: E731 - a struct keeps NULL
-    classes = counts.groupBy(*by).agg(F.array_union(one("label"), one("prediction")).alias("classes"))
-    rows = classes.select(*by, "classes", F.explode("classes").alias("row"))
-    grid = rows.select(*by, F.col("row.c").alias("label"), F.explode("classes").alias("column"))
-    grid = grid.select(*by, "label", F.col("column.c").alias("prediction")).alias("grid")
-    keys = [*by, "label", "prediction"]
-    same = [F.col(f"grid.`{k}`").eqNullSafe(F.col(f"counts.`{k}`")) for k in keys]
-    joined = grid.join(counts.alias("counts"), same, "left")
-    return joined.select(*[F.col(f"grid.`{k}`") for k in keys], F.coalesce("counts.n", F.lit(0).cast("bigint")).alias("n"))
+    part = lambda c: counts.select(*by, quoted(c).alias("class"))
+    classes = part("label").union(part("prediction")).distinct()
+    keys, names = [*by, "label", "prediction"], [f"_cell{i}" for i in range(len(by) + 2)]
+    rows = classes.select(*[quoted(k).alias(n) for k, n in zip(by, names)], F.col("class").alias(names[-2]), F.lit(0).alias("_one"))
+    others = classes.select(*[quoted(k).alias(f"{n}_") for k, n in zip(by, names)], F.col("class").alias(names[-1]), F.lit(0).alias("_other"))
+    # the grid itself is the result; its rows are joined by the run, or by a constant where there is one run only
+    run = F.col("_one") == F.col("_other")
+    for n in names[: len(by)]:
+        run &= F.col(n).eqNullSafe(F.col(f"{n}_"))
+    grid = rows.join(others, run)
+    same = [quoted(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    joined = grid.join(counts.select(*keys, "n"), same, "left")
+    return joined.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def normalized_confusion(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -104,35 +109,26 @@ def binary_f1(counts: DataFrame, positive=1, by: Sequence[str] = ()) -> DataFram
 
 def classification_report(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, class, precision, recall, f1, support): one row per class, then accuracy, macro avg and weighted avg."""
-    per_class = F.struct(F.col("class").cast("string").alias("class"), "precision", "recall", "f1", "support")
-    none = F.lit(None).cast("double")
-    folded = (
-        class_metrics(counts, by)
-        .groupBy(*by)
-        .agg(
-            F.collect_list(per_class).alias("classes"),
-            F.sum("support").alias("rows"),
-            ratio(F.sum("hits"), F.sum("support")).alias("accuracy"),
-            F.struct(*[F.avg(m).alias(m) for m in METRICS[1:]]).alias("macro"),
-            F.struct(*[_weighted(m) for m in METRICS[1:]]).alias("weighted"),
-        )
+    metrics = class_metrics(counts, by)
+    totals = metrics.groupBy(*by).agg(
+        F.sum("support").alias("rows"),
+        ratio(F.sum("hits"), F.sum("support")).alias("accuracy"),
+        F.struct(*[F.avg(m).alias(m) for m in METRICS[1:]]).alias("macro"),
+        F.struct(*[_weighted(m) for m in METRICS[1:]]).alias("weighted"),
     )
+    none = F.lit(None).cast("double")
 
-    def line(name: str, precision: Column, recall: Column, f1: Column) -> Column:
-        return F.struct(
-            F.lit(name).alias("class"),
-            precision.alias("precision"),
-            recall.alias("recall"),
-            f1.alias("f1"),
-            F.col("rows").alias("support"),
-        )
+    def line(place: int, name: str, *values: Column) -> Column:
+        shown = [v.alias(m) for v, m in zip(values, METRICS[1:])]
+        return F.struct(F.lit(place).alias("_place"), F.lit(name).alias("class"), *shown, F.col("rows").alias("support"))
 
-    totals = F.array(
-        line("accuracy", none, none, F.col("accuracy")),
-        line("macro avg", *[F.col(f"macro.{m}") for m in METRICS[1:]]),
-        line("weighted avg", *[F.col(f"weighted.{m}") for m in METRICS[1:]]),
+    lines = F.array(
+        line(1, "accuracy", none, none, F.col("accuracy")),
+        line(2, "macro avg", *[F.col(f"macro.{m}") for m in METRICS[1:]]),
+        line(3, "weighted avg", *[F.col(f"weighted.{m}") for m in METRICS[1:]]),
     )
-    return folded.select(*by, F.inline(F.concat(F.array_sort("classes"), totals)))
+    named = metrics.select(*by, F.lit(0).alias("_place"), F.col("class").cast("string").alias("class"), *METRICS[1:], "support")
+    return named.union(totals.select(*by, F.inline(lines))).orderBy(*by, "_place", "class").drop("_place")
 
 
 def cross_validation_summary(scored: DataFrame, label: str, prediction: str, fold: str = "fold", by: Sequence[str] = ()) -> DataFrame:
@@ -156,25 +152,21 @@ def compare_models(scored: DataFrame, label: str, predictions: dict[str, str]) -
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, rows, weight) with the balanced weight rows / (classes * rows of the class)."""
     sizes = df.groupBy(quoted(label).alias("label")).agg(F.count("*").alias("rows"))
-    folded = sizes.agg(
-        F.collect_list(F.struct("label", "rows")).alias("classes"), F.sum("rows").alias("total"), F.count("*").alias("k")
-    )
-    return folded.select("total", "k", F.inline("classes")).select(
-        "label", "rows", (F.col("total") / (F.col("k") * F.col("rows"))).alias("weight")
-    )
+    sizes = written(sizes, "class-sizes")
+    total, classes = sizes.agg(F.sum("rows"), F.count("*")).first()
+    return sizes.select("label", "rows", (F.lit(total) / (F.lit(classes) * F.col("rows"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
-    """Adds the balanced weight of each row's class. Few classes become literals; many are joined."""
-    weights = class_weights(df, label)
-    known = weights.limit(CLASS_LITERALS + 1).collect()
-    if len(known) <= CLASS_LITERALS:
-        chain = F.when(F.lit(False), F.lit(None).cast("double"))
-        for row in known:
-            chain = chain.when(quoted(label).eqNullSafe(F.lit(row["label"])), F.lit(row["weight"]))
-        return df.withColumn(weight, chain)
-    named = weights.select(F.col("label").alias("_class"), F.col("weight").alias(weight))
-    return df.join(named, quoted(label).eqNullSafe(F.col("_class"))).drop("_class")
+    """Adds the balanced weight of each row's class, joined from a small table.
+
+    Above the size of a broadcast classes are joined by a shuffle, in which Spark splits hot ones.
+    """
+    name = "_class"
+    while name in df.columns:
+        name += "_"
+    weights = class_weights(df, label).select(F.col("label").alias(name), F.col("weight").alias(weight))
+    return df.join(broadcast_if_small(weights, CLASS_BYTES), quoted(label).eqNullSafe(F.col(name))).drop(name)
 
 
 def confidence(probability: Column) -> Column:

@@ -16,10 +16,11 @@ from dataclasses import dataclass
 from itertools import count as numbers_from
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import bisected, quoted, sql_double
+from tidegauge.session import written
 
 COLUMNS_PER_SCAN = 40  # keeps generated code small; every scan reads only its own columns
 
@@ -276,3 +277,22 @@ def exact_quantiles(
         name: (ranked.count, [interpolate(ranked, share) for share in shares] if ranked.count else [])
         for name, ranked in found.items()
     }
+
+
+PLACE_BITS = 33  # bits of ``monotonically_increasing_id`` below the number of the partition
+
+
+def numbered(df: DataFrame, order: str, output: str = "position") -> DataFrame:
+    """``df`` with its rows' places from 0 in ``order`` (distinct values, NULL first), without sorting in one task.
+
+    A range sort writes the place in each partition; the counts of the partitions, one row each, say where it starts.
+    """
+    by = quoted(order).asc_nulls_first()
+    dealt = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_place", F.monotonically_increasing_id())
+    dealt = written(dealt, "numbered")
+    task = F.shiftright("_place", PLACE_BITS)
+    sizes = dealt.groupBy(task.alias("_task")).agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_task", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    place = F.col("_place").bitwiseAND(F.lit(2**PLACE_BITS - 1)) + F.col("_start")
+    return dealt.join(starts, task == F.col("_task")).withColumn(output, place).drop("_place", "_task", "_start")

@@ -120,8 +120,8 @@ def profile_store(spark, sf_dir):
 @query(SCORING_ORACLE["feature_matrix"])
 def preprocessor_store(spark, sf_dir):
     path = scratch_path(spark, "preprocessor")
-    fitted(spark, sf_dir).save(spark, path)
-    matrix = FlowPreprocessorModel.load(spark, path).transform(holed(spark, sf_dir))
+    fitted(spark, sf_dir).save(path)
+    matrix = FlowPreprocessorModel.load(path).transform(holed(spark, sf_dir))
     return matrix.select(*[(F.round(n, 6) + 0.0).alias(n) for n in matrix.columns])
 
 
