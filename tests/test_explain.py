@@ -97,6 +97,8 @@ def test_small_blocks_and_slabs_give_the_same_impacts(spark, flows, forest, monk
     files = [f.removeprefix("file://") for f in attribution.leaf_table(spark, forest).leaves.inputFiles()]
     rows = flows.toPandas()[FEATURES].to_numpy()
     whole = sum(attribution.tree_shapley(rows, paths) for paths in attribution.leaf_blocks(files))
+    monkeypatch.setattr(attribution, "PATTERN_SLOTS", 0)  # row by row
+    assert sum(attribution.tree_shapley(rows, paths) for paths in attribution.leaf_blocks(files)) == pytest.approx(whole, abs=1e-12)
     monkeypatch.setattr(attribution, "LEAVES_PER_BLOCK", 3)
     monkeypatch.setattr(attribution, "WORK_VALUES", 500)
     blocks = list(attribution.leaf_blocks(files))

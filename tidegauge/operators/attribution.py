@@ -37,6 +37,7 @@ LEAVES_PER_FILE = 200_000
 LEAVES_PER_BLOCK = 10_000  # leaves that a worker holds at a time
 SLAB_VALUES = 2_000_000  # feature values of the rows that meet the blocks together
 WORK_VALUES = 1_000_000  # doubles per intermediate array in a task
+PATTERN_SLOTS = 6  # slots of leaves that are evaluated once per pattern, 64 at most
 
 
 # --- linear ----------------------------------------------------------------------------------------------------------
@@ -204,12 +205,44 @@ def leaf_blocks(paths: Sequence[str]) -> Iterator[LeafPaths]:
 def tree_shapley(rows: np.ndarray, paths: LeafPaths, target: int = 1) -> np.ndarray:
     """Shapley values (rows x features) of some leaves for one class.
 
-    At a point t of the rule a passed slot contributes the factor share * (1 - t) + t, a failed one share * (1 - t).
-    Logarithms turn the product over the slots of a leaf into a matrix product with the passed slots.
+    A leaf treats rows alike that pass the same slots. Narrow leaves are evaluated once per pattern of passed slots, and
+    rows look their pattern up; wide ones are evaluated for each row.
     """
     result = np.zeros(rows.shape)
     leaves, width = paths.feature.shape
-    points, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
+    columns = np.ascontiguousarray(rows.T)
+    step = max(1, WORK_VALUES // (leaves * width))
+    if width <= PATTERN_SLOTS:
+        patterns = (np.arange(2**width) >> np.arange(width)[:, None]) & 1 == 1
+        terms = _terms(paths, np.broadcast_to(patterns, (leaves, *patterns.shape)), target)
+        used = np.unique(paths.feature)
+        # by feature: what a leaf gives to it under each pattern
+        table = np.stack([np.where((paths.feature == f)[:, :, None], terms, 0.0).sum(axis=1) for f in used])
+        first = np.arange(leaves)[:, None] * 2**width
+        for begin in range(0, len(rows), step):
+            code = np.zeros((leaves, min(step, len(rows) - begin)), np.int64)
+            for slot in range(width):
+                x = columns[:, begin : begin + step][paths.feature[:, slot]]
+                code |= (~(x <= paths.low[:, slot, None]) & (x <= paths.high[:, slot, None])).astype(np.int64) << slot
+            code += first
+            for f, gives in zip(used, table):
+                result[begin : begin + step, f] += gives.ravel()[code].sum(axis=0)
+        return result
+    for begin in range(0, len(rows), step):
+        x = columns[:, begin : begin + step][paths.feature]
+        terms = _terms(paths, ~(x <= paths.low[:, :, None]) & (x <= paths.high[:, :, None]), target)
+        for index in np.unique(paths.feature):
+            result[begin : begin + step, index] += terms[paths.feature == index].sum(axis=0)
+    return result
+
+
+def _terms(paths: LeafPaths, passed: np.ndarray, target: int) -> np.ndarray:
+    """What each slot of each leaf gives its feature, for columns of passed slots (leaves x slots x columns).
+
+    At a point t of the rule a passed slot contributes the factor share * (1 - t) + t, a failed one share * (1 - t).
+    Logarithms turn the product over the slots of a leaf into a matrix product with the passed slots.
+    """
+    points, weights = np.polynomial.legendre.leggauss((paths.feature.shape[1] + 1) // 2)
     points, weights = (points + 1) / 2, weights / 2
     failed = paths.share[:, :, None] * (1 - points)
     gain = (np.log(failed + points) - np.log(failed)).transpose(0, 2, 1)
@@ -217,16 +250,8 @@ def tree_shapley(rows: np.ndarray, paths: LeafPaths, target: int = 1) -> np.ndar
     value = paths.value[:, target, None, None]
     if_passed = value * (1 - paths.share[:, :, None]) / (failed + points)
     if_failed = -value * paths.share[:, :, None] / failed
-    low, high = paths.low[:, :, None], paths.high[:, :, None]
-    step = max(1, WORK_VALUES // (leaves * width))
-    for begin in range(0, len(rows), step):
-        x = rows[begin : begin + step].T[paths.feature]
-        passed = ~(x <= low) & (x <= high)
-        product = np.exp(start[:, :, None] + gain @ passed.astype(float))
-        terms = np.where(passed, if_passed @ product, if_failed @ product)
-        for index in np.unique(paths.feature):
-            result[begin : begin + step, index] += terms[paths.feature == index].sum(axis=0)
-    return result
+    product = np.exp(start[:, :, None] + gain @ passed.astype(float))
+    return np.where(passed, if_passed @ product, if_failed @ product)
 
 
 def _slabs(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:

@@ -3,25 +3,71 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.config import SEED
+from tidegauge.errors import UnsupportedModelError
+from tidegauge.functions.columns import quoted
 from tidegauge.operators.evaluation import (
     binary_f1,
     classification_report,
     confidence,
     confusion_counts,
+    summary_metrics,
     with_class_weights,
 )
 from tidegauge.operators.mapping import align_features
 
 MAX_DEPTH = 30  # deepest tree MLlib grows
+MAX_CLASSES = 100  # classes that MLlib tells apart
+FOREST_MEMORY_MB = 1024  # for the statistics of a pass; more nodes of deep forests are split per pass
+
+
+@dataclass(frozen=True)
+class LabelDictionary:
+    """Classes of a text label in order; their places are the numbers that models learn.
+
+    NULL is no class: such rows have no number and teach nothing. Labels that were not seen have none either.
+    """
+
+    names: tuple[str, ...]
+
+    @staticmethod
+    def fit(df: DataFrame, label: str) -> LabelDictionary:
+        values = df.select(quoted(label).cast("string").alias("name")).where("name is not null").distinct()
+        names = sorted(r["name"] for r in values.limit(MAX_CLASSES + 1).collect())
+        if len(names) > MAX_CLASSES:
+            raise UnsupportedModelError(f"'{label}' has more than {MAX_CLASSES} classes, models tell no more apart")
+        return LabelDictionary(tuple(names))
+
+    def encode(self, label: Column) -> Column:
+        place = F.array_position(self._names(), label.cast("string")) - 1
+        return F.when(place >= 0, place.cast("double"))
+
+    def decode(self, index: Column) -> Column:
+        return F.get(self._names(), index.cast("int"))
+
+    def _names(self) -> Column:
+        return F.array(*map(F.lit, self.names)).cast("array<string>")
+
+    def to_df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(enumerate(self.names)), "index int, label string")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.to_df(spark).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LabelDictionary:
+        return LabelDictionary(tuple(r["label"] for r in spark.read.parquet(path).orderBy("index").collect()))
 
 
 def logistic_regression(rows: int, max_iter: int = 500, label: str = "label") -> LogisticRegression:
@@ -36,7 +82,7 @@ def random_forest(trees: int = 200, depth: int | None = 15, weight: str | None =
     if depth is not None and depth > MAX_DEPTH:
         raise ValueError(f"depth {depth} is above {MAX_DEPTH}, the deepest tree there is")
     forest = RandomForestClassifier(
-        labelCol=label, numTrees=trees, maxDepth=MAX_DEPTH if depth is None else depth, seed=SEED
+        labelCol=label, numTrees=trees, maxDepth=MAX_DEPTH if depth is None else depth, seed=SEED, maxMemoryInMB=FOREST_MEMORY_MB
     )
     return forest.setWeightCol(weight) if weight else forest
 
@@ -106,13 +152,26 @@ def score_many(models: Mapping[str, Model], table: DataFrame, label: str = "labe
     return result
 
 
-def cross_validate(estimator: Estimator, folded: DataFrame, label: str = "label", fold: str = "fold") -> DataFrame:
-    """(fold, label, prediction) of every row by the model that did not see its fold; persist the table before."""
+def evaluate_parts(model: Model, table: DataFrame, part: str = "part", label: str = "label") -> DataFrame:
+    """(part, accuracy, precision, recall, f1, rows): which part of the split a record's metrics are of."""
+    counts = confusion_counts(score(model, table, [part, label]), label, by=[part])
+    return summary_metrics(counts, [part])
+
+
+def cross_validate(estimator: Estimator, folded: DataFrame, label: str = "label", fold: str = "fold", jobs: int = 4) -> DataFrame:
+    """(fold, label, prediction) of every row by the model that did not see its fold; persist the table before.
+
+    A ``Pipeline`` with the preprocessor is fitted anew on each training part, so that nothing is learnt from the held-out
+    fold. Folds are fitted ``jobs`` at a time.
+    """
     folds = sorted(r[0] for r in folded.select(fold).distinct().collect())
-    parts = []
-    for number in folds:
-        model = estimator.fit(folded.where(F.col(fold) != number))
-        parts.append(score(model, folded.where(F.col(fold) == number), [fold, label]).select(fold, label, "prediction"))
+
+    def held_out(number) -> DataFrame:
+        model = estimator.copy().fit(folded.where(F.col(fold) != number))
+        return model.transform(folded.where(F.col(fold) == number)).select(fold, label, "prediction")
+
+    with ThreadPoolExecutor(jobs) as pool:
+        parts = list(pool.map(inheritable_thread_target(held_out), folds))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.contract import Contract
 from tidegauge.operators.drift import BaselineProfile, fit_profile, perturb
+from tidegauge.operators.sampling import fixed_sample
 
 SPLIT = "1997-01-01"
 DRIFT_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -100,6 +101,15 @@ SELECT o_orderkey, o_orderstatus,
        CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS lenient_rule
 FROM orders"""
 
+#: Labelled rows that the registered queries fit their models on, drawn by key; every row is scored and explained.
+FIT_ROWS = 1_000
+
+
+def fit_rows(rows: DataFrame, key: str = "o_orderkey") -> DataFrame:
+    """At most ``FIT_ROWS`` rows, the same ones whatever the partitions, over a few partitions."""
+    return fixed_sample(rows, FIT_ROWS, key).repartition(8, key)
+
+
 ORDER_FEATURES = ["o_totalprice", "o_custkey", "order_month", "priority"]
 ORDER_WEIGHTS = {"o_totalprice": 0.00001, "o_custkey": -0.0005, "order_month": 0.02, "priority": -0.1}
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.operators import attribution, drift, explanation, models
+from tidegauge.operators.sampling import stratified_split
 from tidegauge.operators.versioning import RunVersion
+from tidegauge.plans import explain_run
 from tidegauge.plans.explain_run import explain_rows
+from tidegauge.session import scratch_path
 from workload import common as c
+from workload.drift_queries import SPLIT_SQL
 
 QUERIES, ORACLE = {}, {}
 
@@ -173,9 +177,16 @@ def order_table(spark, sf_dir):
     return c.order_features(spark, sf_dir).drop("prediction", "confidence")
 
 
+def spread(rows):
+    """Rows over at least as many partitions as there are cores: attribution is long work on few bytes."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, len(rows.inputFiles())), "o_orderkey")
+
+
 def order_forest(spark, sf_dir):
+    """All orders and the preset forest, fitted on a bounded part of them."""
     rows = order_table(spark, sf_dir)
-    return rows, models.train(models.random_forest(10, 4), models.assemble(rows, c.ORDER_FEATURES, ["label"]))
+    model = models.train(models.random_forest(), models.assemble(c.fit_rows(rows), c.ORDER_FEATURES, ["label"]))
+    return spread(rows), model
 
 
 def _tree_impacts(spark, sf_dir):
@@ -201,6 +212,49 @@ def tree_shap_additivity(spark, sf_dir):
     return impacts.select("o_orderkey", (F.round(total - F.col("probability")[1], 6) + 0.0).alias("rest"))
 
 
+@query("SELECT o_orderstatus AS label, count(*) AS rows, (dense_rank() OVER (ORDER BY o_orderstatus) - 1)::INTEGER AS index FROM orders GROUP BY o_orderstatus")
+def label_dictionary(spark, sf_dir):
+    """Saved and loaded classes of a text label, and the rows that map to each of them."""
+    orders, path = c.table(spark, sf_dir, "orders"), scratch_path(spark, "labels")
+    models.LabelDictionary.fit(orders, "o_orderstatus").save(spark, path)
+    known = models.LabelDictionary.load(spark, path)
+    index = known.encode(F.col("o_orderstatus"))
+    return orders.groupBy(known.decode(index).alias("label"), index.cast("int").alias("index")).agg(F.count("*").alias("rows"))
+
+
+def status_forest(spark, sf_dir):
+    """Orders with their features, the preset forest for the three states of an order, and the states' names."""
+    rows = order_table(spark, sf_dir)
+    labels = models.LabelDictionary.fit(rows, "o_orderstatus")
+    rows = rows.withColumn("label", labels.encode(F.col("o_orderstatus")))
+    return spread(rows), labels, models.train(models.random_forest(), models.assemble(c.fit_rows(rows), c.ORDER_FEATURES, ["label"]))
+
+
+@query("SELECT o_orderkey, true AS named, 0.0::DOUBLE AS rest FROM orders")
+def class_shap_additivity(spark, sf_dir):
+    """Three classes: impacts on the predicted class and its base value leave nothing of its probability."""
+    rows, labels, model = status_forest(spark, sf_dir)
+    kept = ["o_orderkey", *c.ORDER_FEATURES]
+    scored = models.score(model, models.assemble(rows, c.ORDER_FEATURES, kept), kept)
+    impacts, base = attribution.tree_attribution(scored, model, c.ORDER_FEATURES, ["o_orderkey", "prediction", "probability"], target="prediction")
+    index = F.col("prediction").cast("int")
+    total = F.aggregate("impacts", F.get(F.array(*map(F.lit, base)), index), lambda t, item: t + item["impact"])
+    named = labels.decode(F.col("prediction")).isin(*labels.names)
+    return impacts.select("o_orderkey", named.alias("named"), (F.round(total - F.get("probability", index), 6) + 0.0).alias("rest"))
+
+
+@query(
+    f"""WITH {SPLIT_SQL} SELECT o_orderkey, true AS named, 4 AS contributors FROM parts WHERE part = 'test' ORDER BY o_orderkey LIMIT 1 OFFSET 20"""
+)
+def explain_test_row(spark, sf_dir):
+    """The 21st row of the test part: predicted state by name, impacts on that state."""
+    rows, labels, model = status_forest(spark, sf_dir)
+    parts = stratified_split(rows, "o_orderstatus", "o_orderkey")
+    version = RunVersion(c.MODEL, "orders_v1", c.RUN, c.NOON)
+    shown = explain_run.explain_test_row(parts, 20, model, c.ORDER_FEATURES, "o_orderkey", "orders", version, labels=labels, explained_class="predicted")
+    return shown.select("o_orderkey", F.col("prediction").isin(*labels.names).alias("named"), F.size("top_contributors").alias("contributors"))
+
+
 @query()
 def explain_batch(spark, sf_dir):
     rows, model = order_forest(spark, sf_dir)

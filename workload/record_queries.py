@@ -17,7 +17,7 @@ from tidegauge.sources import history, readers, sinks
 from workload import common as c
 from workload.drift_queries import REPORT_SQL, listed
 from workload.explain_queries import IMPACTS_SQL, explanations
-from workload.scoring_queries import FOLDS_SQL, ORACLE as SCORING_ORACLE, RULES, RULES_SQL, _metrics_ctes, fitted, holed, order_vectors
+from workload.scoring_queries import FOLDS_SQL, ORACLE as SCORING_ORACLE, RULES, RULES_SQL, _metrics_ctes, fitted, holed, order_parts
 
 QUERIES, ORACLE = {}, {}
 
@@ -128,8 +128,8 @@ def preprocessor_store(spark, sf_dir):
 @query("SELECT true AS same, count(*) AS rows FROM orders")
 def model_store(spark, sf_dir):
     """A saved and loaded model agrees with the original on every order."""
-    vectors = order_vectors(spark, sf_dir)
-    model, path = models.train(models.random_forest(10, 5), vectors), scratch_path(spark, "model")
+    fit, _, vectors = order_parts(spark, sf_dir)
+    model, path = models.train(models.random_forest(), fit), scratch_path(spark, "model")
     sinks.save_model(model, path)
     mine = model.transform(vectors).withColumnRenamed("prediction", "original").select("features", "original")
     both = sinks.load_model(spark, path).transform(mine)

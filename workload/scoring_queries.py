@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidegauge.operators import evaluation, mapping, models, sampling
+from tidegauge.operators import boosting, evaluation, mapping, models, sampling
 from tidegauge.operators.preprocessing import FlowPreprocessor
+from tidegauge.session import scratch_path, written
+from tidegauge.sources import sinks
 from workload import common as c
 from workload.drift_queries import SPLIT_SQL
 
@@ -326,24 +330,21 @@ def preprocessor_state(spark, sf_dir):
 # --- models: rows only -----------------------------------------------------------------------------------------------
 
 
-def order_vectors(spark, sf_dir):
-    """(key, label, features): is the order finished, from its customer, month, priority and price."""
-    rows = c.order_features(spark, sf_dir)
-    model = FlowPreprocessor([], c.ORDER_FEATURES, ["o_orderkey", "label"]).fit(rows)
-    return model.with_vector(rows)
-
-
 def order_parts(spark, sf_dir):
-    """(train, test) vectors; the preprocessor knows the training rows only."""
+    """(fit, test, all) vectors of "is the order finished", from its customer, month, priority and price.
+
+    Models and the preprocessor see at most ``FIT_ROWS`` training rows; ``all`` has the part of every row.
+    """
     parts = sampling.stratified_split(c.order_features(spark, sf_dir), "label", "o_orderkey")
-    train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
-    model = FlowPreprocessor([], c.ORDER_FEATURES, ["o_orderkey", "label"]).fit(train)
-    return model.with_vector(train), model.with_vector(test)
+    rows = written(c.fit_rows(parts.where("part = 'train'")), "fit-rows")
+    model = FlowPreprocessor([], c.ORDER_FEATURES, ["o_orderkey", "label", "part"]).fit(rows)
+    every = model.with_vector(parts)
+    return model.with_vector(rows).drop("part"), every.where("part = 'test'").drop("part"), every
 
 
 def held_out_metrics(estimator, parts, balanced=False):
     """Metrics on rows that the fitted model has not seen."""
-    train, test = parts
+    train, test, _ = parts
     counts = evaluation.confusion_counts(models.score(models.train(estimator, train, balanced=balanced), test, ["label"]))
     return evaluation.summary_metrics(counts)
 
@@ -356,37 +357,160 @@ def train_lr(spark, sf_dir):
 
 @query()
 def train_rf(spark, sf_dir):
-    return held_out_metrics(models.random_forest(20, 6), order_parts(spark, sf_dir), balanced=True)
+    return held_out_metrics(models.random_forest(), order_parts(spark, sf_dir), balanced=True)
+
+
+def boosted_orders(spark, sf_dir):
+    """The preset (300 rounds of 31 leaves) on at most ``FIT_ROWS`` training rows, and all rows with their part."""
+    parts = sampling.stratified_split(c.order_features(spark, sf_dir).drop("prediction", "confidence"), "label", "o_orderkey")
+    return boosting.fit(c.fit_rows(parts.where("part = 'train'")), c.ORDER_FEATURES, "label", "o_orderkey"), parts
 
 
 @query()
 def train_gbt(spark, sf_dir):
-    return held_out_metrics(models.boosted_trees(10), order_parts(spark, sf_dir))
+    model, parts = boosted_orders(spark, sf_dir)
+    scored = model.score(parts.where("part = 'test'"), ["label"])
+    return evaluation.summary_metrics(evaluation.confusion_counts(scored))
+
+
+@query(
+    f"""SELECT 300::BIGINT AS trees, true AS leaves_fit, true AS rows_kept, true AS loss_falls, true AS leaf_rows, count(*) AS scored FROM orders"""
+)
+def boosting_facts(spark, sf_dir):
+    """What holds for any fitted model: trees, at most 31 leaves of at least 20 rows, children's rows are the parent's, falling loss."""
+    model, parts = boosted_orders(spark, sf_dir)
+    path = scratch_path(spark, "boosted")
+    model.save(path)
+    model = boosting.BoostedModel.load(spark, path)
+    nodes = model.nodes
+    inner = nodes.where("left >= 0").select("tree", F.col("id").alias("up"), F.explode(F.array("left", "right")).alias("id"), F.col("rows").alias("whole"))
+    sums = inner.join(nodes.select("tree", "id", "rows"), ["tree", "id"]).groupBy("tree", "up", "whole").agg(F.sum("rows").alias("rows"))
+    trees = nodes.groupBy("tree").agg(F.count_if(F.col("left") < 0).alias("leaves"), F.min(F.when(F.col("left") < 0, F.col("rows"))).alias("least"), F.max("loss").alias("loss"))
+    loss = Window.partitionBy(F.lit(0)).orderBy("tree")
+    falls = trees.withColumn("rise", F.col("loss") - F.lag("loss", 25).over(loss))
+    facts = falls.agg(
+        F.count("*").alias("trees"), (F.max("leaves") <= 31).alias("leaves_fit"), F.coalesce(F.max("rise") < 0, F.lit(False)).alias("loss_falls"), (F.min("least") >= 20).alias("leaf_rows")
+    )
+    kept = sums.agg(F.coalesce(F.bool_and(F.col("rows") == F.col("whole")), F.lit(True)).alias("rows_kept"))
+    scored = model.score(parts, ["o_orderkey"]).agg(F.count_if(F.col("probability").between(0, 1)).alias("scored"))
+    return facts.join(F.broadcast(kept)).join(F.broadcast(scored)).select("trees", "leaves_fit", "rows_kept", "loss_falls", "leaf_rows", "scored")
 
 
 @query()
 def score_batch(spark, sf_dir):
-    vectors = order_vectors(spark, sf_dir)
-    model = models.train(models.random_forest(10, 5), vectors)
-    return models.score(model, vectors, ["o_orderkey"]).select("o_orderkey", "prediction", "confidence")
+    """Every order, by a forest and a preprocessor that know training rows only."""
+    fit, _, every = order_parts(spark, sf_dir)
+    return models.score(models.train(models.random_forest(), fit), every, ["o_orderkey"]).select("o_orderkey", "prediction", "confidence")
 
 
 @query()
 def train_many(spark, sf_dir):
-    train, test = order_parts(spark, sf_dir)
-    chosen = {"logistic_regression": models.logistic_regression(train.count()), "random_forest": models.random_forest(10, 5)}
-    scored = models.score_many(models.train_many(chosen, train, "orders"), test)
+    fit, test, _ = order_parts(spark, sf_dir)
+    chosen = {"logistic_regression": models.logistic_regression(fit.count()), "random_forest": models.random_forest()}
+    scored = models.score_many(models.train_many(chosen, fit, "orders"), test)
     return evaluation.summary_metrics(evaluation.confusion_counts(scored, by=["model"]), ["model"])
 
 
 @query()
 def evaluate_model(spark, sf_dir):
-    train, test = order_parts(spark, sf_dir)
-    return models.evaluate(models.train(models.random_forest(10, 5), train), test)[1]
+    fit, test, _ = order_parts(spark, sf_dir)
+    return models.evaluate(models.train(models.random_forest(), fit), test)[1]
+
+
+PARTS_SQL = f"""parts AS (SELECT *, CASE WHEN rn <= q THEN 'test' ELSE 'train' END AS part FROM (
+    SELECT o_orderkey, label, row_number() OVER (PARTITION BY label ORDER BY {c.hash_sql('o_orderkey')}, o_orderkey) AS rn FROM ({c.SCORED_SQL})) JOIN (
+    SELECT label, w + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= t - sum(w) OVER () THEN 1 ELSE 0 END AS q FROM (
+      SELECT label, n * t // total AS w, n * t % total AS rest, t FROM (SELECT label, count(*) AS n FROM ({c.SCORED_SQL}) GROUP BY 1),
+      (SELECT ceil(count(*) * 0.2)::BIGINT AS t, count(*) AS total FROM orders))) USING (label))"""
+
+
+@query(f"WITH {PARTS_SQL} SELECT part, count(*) AS rows, true AS shares FROM parts GROUP BY part")
+def metrics_by_part(spark, sf_dir):
+    """Metrics records that say which part of the split they are of; accuracy and f1 are shares."""
+    fit, _, every = order_parts(spark, sf_dir)
+    found = models.evaluate_parts(models.train(models.logistic_regression(fit.count()), fit), every)
+    return found.select("part", "rows", (F.col("accuracy").between(0, 1) & F.col("f1").between(0, 1)).alias("shares"))
+
+
+@query(f"""WITH {FOLDS_SQL} SELECT fold, label, count(*) AS rows FROM folds GROUP BY ALL""")
+def cross_validated_rows(spark, sf_dir):
+    """Every row is predicted once, by the unit that did not see its fold."""
+    folded, unit = _folded_orders(spark, sf_dir)
+    return models.cross_validate(unit, folded).groupBy("fold", F.col("label").cast("int").alias("label")).agg(F.count("prediction").alias("rows"))
+
+
+def _folded_orders(spark, sf_dir):
+    """Orders with folds, and preprocessor and model as one unit."""
+    folded = written(sampling.stratified_folds(c.order_features(spark, sf_dir).drop("prediction", "confidence"), "label", "o_orderkey"), "folds")
+    return folded, Pipeline(stages=[FlowPreprocessor([], c.ORDER_FEATURES, vector="features"), models.logistic_regression(folded.count())])
 
 
 @query()
 def cross_validate_model(spark, sf_dir):
-    folded = sampling.stratified_folds(order_vectors(spark, sf_dir), "label", "o_orderkey")
-    scored = models.cross_validate(models.logistic_regression(folded.count()), folded)
-    return evaluation.cross_validation_summary(scored, "label", "prediction")
+    folded, unit = _folded_orders(spark, sf_dir)
+    return evaluation.cross_validation_summary(models.cross_validate(unit, folded), "label", "prediction")
+
+
+@query("SELECT true AS same, count(*) AS rows FROM orders")
+def pipeline_store(spark, sf_dir):
+    """Preprocessor and model fitted, saved and loaded as one unit agree with the original on every order."""
+    rows = c.order_features(spark, sf_dir).drop("prediction", "confidence").withColumn("band", F.floor("priority").cast("string"))
+    unit = Pipeline(stages=[FlowPreprocessor(["band"], c.ORDER_FEATURES, vector="features"), models.logistic_regression(c.FIT_ROWS)])
+    model, path = unit.fit(c.fit_rows(rows)), scratch_path(spark, "unit")
+    sinks.save_model(model, path)
+    first = model.transform(rows).select(*rows.columns, F.col("prediction").alias("original"))
+    both = PipelineModel.load(path).transform(first)
+    return both.groupBy((F.col("original") == F.col("prediction")).alias("same")).agg(F.count("*").alias("rows"))
+
+
+# --- many classes and categories -------------------------------------------------------------------------------------
+
+MANY_CATEGORIES = 3_000
+
+
+@query(
+    f"""WITH rows AS (SELECT o_orderkey, (o_orderkey % {MANY_CATEGORIES})::VARCHAR AS category FROM orders),
+    known AS (SELECT category, dense_rank() OVER (ORDER BY category) AS place FROM (SELECT DISTINCT category FROM rows WHERE o_orderkey % 7 <> 0))
+    SELECT o_orderkey, coalesce(place, 0)::BIGINT AS place, (SELECT count(*) FROM known)::INTEGER AS size FROM rows LEFT JOIN known USING (category)"""
+)
+def one_hot_many(spark, sf_dir):
+    """3,000 categories as a sparse vector: the place of its one, 0 for a category that was not fitted."""
+    rows = c.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % MANY_CATEGORIES).cast("string").alias("category"))
+    vectors = FlowPreprocessor(["category"], [], ["o_orderkey"]).fit(rows.where("o_orderkey % 7 <> 0")).with_vector(rows)
+    flags = vector_to_array("features")
+    return vectors.select("o_orderkey", F.array_position(flags, F.lit(1.0)).alias("place"), F.size(flags).alias("size"))
+
+
+GUESS = "CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey % 1500 END"
+MANY_METRICS_SQL = _metrics_ctes("label", "prediction", f"(SELECT o_orderkey % 1500 AS label, {GUESS} AS prediction FROM orders)")
+
+
+def many_counts(spark, sf_dir):
+    scored = c.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % MANY_CLASSES).alias("label"), F.expr(GUESS).alias("prediction"))
+    return evaluation.confusion_counts(scored)
+
+
+@query(
+    f"""WITH {MANY_METRICS_SQL}
+    SELECT class::VARCHAR AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM per_class
+    UNION ALL SELECT 'accuracy', NULL, NULL, round(accuracy, 6), rows FROM totals
+    UNION ALL SELECT 'macro avg', round(macro_precision, 6), round(macro_recall, 6), round(macro_f1, 6), rows FROM totals
+    UNION ALL SELECT 'weighted avg', round(precision, 6), round(recall, 6), round(f1, 6), rows FROM totals"""
+)
+def report_many_classes(spark, sf_dir):
+    return rounded(evaluation.classification_report(many_counts(spark, sf_dir)), "precision", "recall", "f1")
+
+
+@query(f"WITH {MANY_METRICS_SQL}, {GRID_SQL} SELECT label, count(*) AS cells, sum(n)::BIGINT AS rows FROM grid GROUP BY label")
+def grid_many_classes(spark, sf_dir):
+    grid = evaluation.confusion_matrix(many_counts(spark, sf_dir))
+    return grid.groupBy("label").agg(F.count("*").alias("cells"), F.sum("n").alias("rows"))
+
+
+@query(
+    f"""SELECT o_orderkey, round((SELECT count(*) FROM orders) / ((SELECT count(DISTINCT o_orderkey % {MANY_CLASSES}) FROM orders) * count(*) OVER (PARTITION BY o_orderkey % {MANY_CLASSES})), 6) AS weight
+    FROM orders"""
+)
+def weights_many_classes(spark, sf_dir):
+    rows = c.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % MANY_CLASSES).alias("class"))
+    return rounded(evaluation.with_class_weights(rows, "class").select("o_orderkey", "weight"), "weight")
