@@ -210,3 +210,31 @@ def test_stream_alert_state_over_restarts(spark, tmp_path):
         alert_state.stream_alert_state(stream, target, progress).awaitTermination()
     current = alerts.latest_states(spark.read.parquet(target).drop("batch"))
     assert {r["alert_id"]: r["state"] for r in current.collect()} == {"a": "resolved", "b": "open"}
+
+
+def test_compaction_keeps_states_and_can_be_run_again(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = "alert_id string, state string, updated_at long"
+    batches = [[("a", "open", 1), ("b", "open", 1)], [("a", "resolved", 3), ("a", "acknowledged", 2)], [("c", "open", 4), ("b", "late", 0)]]
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        alert_state.stream_alert_state(stream, target, progress).awaitTermination()
+        if number == 1:
+            assert alert_state.compact_states(spark, target) == 2
+            assert spark.read.parquet(target).count() == 2
+    assert {r["alert_id"]: r["state"] for r in alert_state.current_states(spark, target).collect()} == {"a": "resolved", "b": "open", "c": "open"}
+    assert alert_state.compact_states(spark, target) == 2 and alert_state.compact_states(spark, target) == 0  # the compacted batch and a new one
+    assert sorted(tuple(r)[:2] for r in spark.read.parquet(target).select("alert_id", "state").collect()) == [("a", "resolved"), ("b", "open"), ("c", "open")]
+
+
+def test_folders_are_moved_once(spark, tmp_path):
+    from tidegauge.session import move_folder
+
+    old, new = str(tmp_path / "old"), str(tmp_path / "deep" / "new")
+    spark.range(3).write.parquet(old)
+    move_folder(spark, old, new)
+    move_folder(spark, old, new)  # a retry after the move
+    assert spark.read.parquet(new).count() == 3
+    with pytest.raises(Exception):  # noqa: B017 - neither folder is there
+        move_folder(spark, old, str(tmp_path / "other"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.contract import Contract
@@ -60,10 +60,19 @@ def quality_report(df: DataFrame, contract: Contract, label: str = LABEL) -> Dat
     ``value`` counts rows, the missing ratio, rows with an invalid label, and missing columns. An empty table fails
     ``rows``; its missing ratio is unknown, which passes.
     """
+    return checks(df.agg(*quality_aggregates(df, contract, label)), df, contract)
+
+
+def quality_aggregates(df: DataFrame, contract: Contract, label: str = LABEL) -> list[Column]:
+    """Rows, missing ratio and rows with an invalid label; also fit for ``DataFrame.observe`` while a table is written."""
+    invalid = F.count_if(_outside(df, contract, label)) if label in df.columns else F.count_if(F.lit(False))
+    return [*_missing_aggregates(df), invalid.alias("invalid_labels")]
+
+
+def checks(facts: DataFrame, df: DataFrame, contract: Contract) -> DataFrame:
+    """The report that one row of ``quality_aggregates`` of ``df`` gives."""
     absent = len(missing_columns(df, contract))
-    invalid = F.count_if(_outside(df, contract, label)) if label in df.columns else F.lit(0)
-    facts = df.agg(*_missing_aggregates(df), invalid.alias("invalid_labels"))
-    checks = F.array(
+    lines = F.array(
         _check("rows", F.col("rows"), 1.0, F.col("rows") >= 1),
         _check(
             "missing",
@@ -74,7 +83,7 @@ def quality_report(df: DataFrame, contract: Contract, label: str = LABEL) -> Dat
         _check("labels", F.col("invalid_labels"), 0.0, F.col("invalid_labels") == 0),
         _check("columns", F.lit(absent), 0.0, F.lit(absent == 0)),
     )
-    return facts.select(F.inline(checks))
+    return facts.select(F.inline(lines))
 
 
 def _check(name, value, limit, passed):
@@ -96,17 +105,22 @@ def validate(df: DataFrame, contract: Contract, label: str = LABEL, allow_empty:
 
 def failures(df: DataFrame, contract: Contract, label: str = LABEL, allow_empty: bool = True) -> list[str]:
     """Reasons why a table fails, in the order missing, labels, columns, rows."""
-    checks = {r["check"]: r for r in quality_report(df, contract, label).collect()}
+    return reasons_of(quality_report(df, contract, label), df, contract, label, allow_empty)
+
+
+def reasons_of(report: DataFrame, df: DataFrame, contract: Contract, label: str = LABEL, allow_empty: bool = True) -> list[str]:
+    """Reasons of a known report; the table is read again only to show invalid labels."""
+    lines = {r["check"]: r for r in report.collect()}
     reasons = []
-    if not checks["missing"]["passed"]:
-        reasons.append(f"missing value ratio too high: {checks['missing']['value']:.2f}")
-    if not checks["labels"]["passed"]:
+    if not lines["missing"]["passed"]:
+        reasons.append(f"missing value ratio too high: {lines['missing']['value']:.2f}")
+    if not lines["labels"]["passed"]:
         found = label_violations(df, contract, label)
         shown = [r["label"] for r in found.orderBy(F.desc("rows"), "label").limit(OFFENDERS_SHOWN).collect()]
         more = found.count() - len(shown)
         reasons.append(f"invalid label values found: {shown}" + (f" and {more} more, see label_violations" if more > 0 else ""))
-    if not checks["columns"]["passed"]:
+    if not lines["columns"]["passed"]:
         reasons.append(f"missing required columns: {missing_columns(df, contract)}")
-    if not checks["rows"]["passed"] and not allow_empty:
+    if not lines["rows"]["passed"] and not allow_empty:
         reasons.append("the table is empty")
     return reasons

@@ -66,3 +66,27 @@ BROADCAST_BYTES = 16_000_000
 def broadcast_if_small(table: DataFrame, row_bytes: int) -> DataFrame:
     """A written table, marked for broadcast when its counted rows are small; else Spark joins by shuffling."""
     return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path, as Spark's own readers and writers see them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Move a written folder to its place, over what an earlier try left there; done already if only the target is there."""
+    files, old = _file_system(spark, source)
+    _, new = _file_system(spark, target)
+    if not files.exists(old) and files.exists(new):
+        return
+    files.delete(new, True)
+    files.mkdirs(new.getParent())
+    if not files.rename(old, new):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder of this package."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)

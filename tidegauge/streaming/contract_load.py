@@ -1,14 +1,19 @@
-"""Incremental contract load: every micro-batch is mapped, enforced and validated on its own."""
+"""Incremental contract load: every micro-batch is mapped, enforced and validated on its own.
+
+A batch is read once: its quality is observed while it is written to a staging folder, which then moves to its place, so
+nothing is kept in memory and readers never see a batch that was not judged.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.contract import FLOW_SCHEMA, Contract, UniversalSchema
-from tidegauge.operators.quality import failures
+from tidegauge.operators.quality import checks, quality_aggregates, reasons_of
 from tidegauge.plans.load import to_flows
+from tidegauge.session import move_folder, remove_folder
 
 
 def stream_flows(
@@ -25,14 +30,18 @@ def stream_flows(
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        flows = to_flows(batch, contract, schema).persist()
-        try:
-            reasons = failures(flows, contract, schema.label)
-            target = rejected if reasons else accepted
-            marked = flows.withColumn("reason", F.lit("; ".join(reasons))) if reasons else flows
-            marked.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        finally:
-            flows.unpersist()
+        spark, staging = batch.sparkSession, f"{checkpoint}-staging/batch={number}"
+        flows, seen = to_flows(batch, contract, schema), Observation()
+        watched = flows.observe(seen, *quality_aggregates(flows, contract, schema.label))
+        watched.write.mode("overwrite").parquet(staging)
+        staged, metrics = spark.read.schema(flows.schema).parquet(staging), seen.get
+        facts = spark.range(1).select(*[F.lit(value).alias(name) for name, value in metrics.items()])
+        reasons = reasons_of(checks(facts, staged, contract), staged, contract, schema.label)
+        if not reasons:
+            move_folder(spark, staging, f"{accepted}/batch={number}")
+            return
+        staged.withColumn("reason", F.lit("; ".join(reasons))).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        remove_folder(spark, staging)
 
     return (
         raw.writeStream.foreachBatch(handle)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators.alerts import latest_states
 from tidegauge.operators.drift import fit_profile
 from tidegauge.session import scratch_path
 from tidegauge.streaming import alert_state, contract_load, window_drift
@@ -98,5 +97,41 @@ def stream_alert_state(spark, sf_dir):
     target = scratch_path(spark, "states")
     stream = alert_state.stream_alert_state(events, target, scratch_path(spark, "progress"), order="event_id")
     stream.awaitTermination()
-    changed = spark.read.parquet(target).drop("batch")
-    return latest_states(changed, order="event_id").select("alert_id", "state", "event_id")
+    return alert_state.current_states(spark, target, order="event_id").select("alert_id", "state", "event_id")
+
+
+@query(f"WITH {STATES_SQL} SELECT alert_id, state, event_id FROM latest")
+def stream_alert_state_compacted(spark, sf_dir):
+    """Four micro-batches in two runs, with a compaction between them and another at the end."""
+    events = c.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("alert_id"),
+        F.when(F.col("event_type") == "purchase", "retrain_scheduled").otherwise(F.col("event_type")).alias("state"),
+        "event_id",
+    )
+    source, target, progress = (scratch_path(spark, n) for n in ("events", "states", "progress"))
+    for run in range(2):
+        for part in range(2):
+            events.where(F.pmod("event_id", F.lit(4)) == 2 * run + part).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        alert_state.stream_alert_state(stream, target, progress, order="event_id").awaitTermination()
+        alert_state.compact_states(spark, target, order="event_id")
+    return spark.read.parquet(target).select("alert_id", "state", "event_id")
+
+
+@query(
+    """SELECT CASE WHEN event_id % 4 = 2 THEN 'rejected' ELSE 'accepted' END AS target, event_id % 4 = 2 AS with_reason, count(*) AS rows,
+    count(CASE WHEN event_id % 4 <> 2 THEN value END) AS durations FROM events GROUP BY ALL"""
+)
+def stream_contract_batches(spark, sf_dir):
+    """Four files, one micro-batch each; in one of them the durations are missing, so that it is rejected."""
+    events, source = c.table(spark, sf_dir, "events"), scratch_path(spark, "events")
+    for part in range(4):
+        rows = events.where(F.pmod("event_id", F.lit(4)) == part)
+        rows = rows.withColumn("value", F.lit(None).cast("double")) if part == 2 else rows
+        rows.coalesce(1).write.mode("append").parquet(source)
+    accepted, rejected = scratch_path(spark, "accepted"), scratch_path(spark, "rejected")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    contract_load.stream_flows(stream, c.EVENTS_FLOWS, accepted, rejected, scratch_path(spark, "progress")).awaitTermination()
+    good = spark.read.parquet(accepted).select(F.lit("accepted").alias("target"), F.lit(False).alias("with_reason"), "flow_duration")
+    bad = spark.read.parquet(rejected).select(F.lit("rejected").alias("target"), F.col("reason").contains("missing").alias("with_reason"), "flow_duration")
+    return good.union(bad).groupBy("target", "with_reason").agg(F.count("*").alias("rows"), F.count("flow_duration").alias("durations"))
