@@ -5,14 +5,16 @@ match at each place, and falls back to a shorter one if the pair with the previo
 merges: two tokens are compatible if no merge across their border would have come before the merges that made them.
 Places found to be dead ends are never tried twice, so each word takes linear time and gives the exact merges.
 
-Defined cases: a null text is empty and has no ids; ids are returned in text order; other columns stay untouched.
+Defined cases: a null text is empty and has no ids; ids are returned in text order; repeated rows are encoded each; texts of
+any length are encoded whole, long pieces without being remembered; an empty table gives no rows; other columns stay
+untouched, and one that is named like a new column is an error.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-import struct
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from tidegauge.llm.common import Memo, kept, lists, mapped, slabs, texts
 
 #: Pieces of text, matches in them, and token pairs remembered per Python worker.
-PIECES_KEPT, WORDS_KEPT, PAIRS_KEPT = 150_000, 100_000, 100_000
+PIECES_KEPT, WORDS_KEPT, PAIRS_KEPT = 400_000, 50_000, 200_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 SLAB_BYTES = 2_000_000
@@ -52,6 +54,8 @@ class ByteBPE:
         self.automaton.make_automaton()
         self.shorter = self._shorter()
         self.halves, self.merged = self._halves()
+        #: Ids of the words that are a token as a whole, by their bytes in Latin-1.
+        self.whole = {token.decode("latin-1"): rank for token, rank in ranks.items() if self._reachable(rank)}
         self.fits = Memo(self._compatible, PAIRS_KEPT)
         self.words = Memo(self._word, WORDS_KEPT)
         self.pieces = Memo(self._piece, PIECES_KEPT)
@@ -105,26 +109,28 @@ class ByteBPE:
             else:
                 before, b = b + 1, second[0]
 
-    def encode_word(self, data: bytes) -> list[int]:
-        """Exact ids of one match of the pattern."""
-        whole = self.ranks.get(data)
-        if whole is not None and self._reachable(whole):
+    def encode_word(self, data: str) -> list[int]:
+        """Exact ids of one match of the pattern, given as its bytes in Latin-1."""
+        whole = self.whole.get(data)
+        if whole is not None:
             return [whole]
         fits, shorter, sizes = self.fits, self.shorter, self.sizes
-        # later matches with the same start are longer
-        longest = {end - sizes[rank]: rank for end, rank in self.automaton.iter(data.decode("latin-1"))}
-        out, place, dead, total = [], 0, set(), len(data)
-        candidate, last = longest[-1] if data else -1, -1
+        total = len(data)
+        longest = [-1] * (total + 1)
+        for end, rank in self.automaton.iter(data):
+            longest[end - sizes[rank] + 1] = rank  # later matches with the same start are longer
+        out, place, dead, last = [], 0, set(), -1
+        candidate = longest[0]
         while place < total:
             while candidate >= 0:
                 end = place + sizes[candidate]
-                if end not in dead and (last < 0 or fits[last, candidate]):
+                if (last < 0 or fits[last, candidate]) and end not in dead:
                     break
                 candidate = shorter[candidate]
             if candidate >= 0:
                 out.append(candidate)
                 place, last = end, candidate
-                candidate = longest.get(place - 1, -1)
+                candidate = longest[end]
             else:
                 dead.add(place)
                 candidate = out.pop()
@@ -136,15 +142,16 @@ class ByteBPE:
         return len(self.tokens[rank]) == 1 or self.halves[rank] != (rank, rank)
 
     def _word(self, word: str) -> bytes:
-        ids = self.encode_word(word.encode())
-        return struct.pack(f"<{len(ids)}i", *ids)
+        return array("i", self.encode_word(word if word.isascii() else word.encode().decode("latin-1"))).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         words = self.pattern.findall(piece)
+        if len(words) == 1:
+            return self._word(words[0])
         return b"".join([self.words[w] if len(w) <= LONG_PIECE else self._word(w) for w in words])
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers.
+        """Ids as 32-bit integers.
 
         A space before a character that is no white space always begins a match, so a text may be cut there, and the
         pieces, which repeat, remembered. Other spaces stay inside their piece.

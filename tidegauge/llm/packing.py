@@ -22,13 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tidegauge.llm.bpe import LONG_PIECE, PIECES_KEPT, cut
+from tidegauge.llm.bpe import LONG_PIECE, cut
 from tidegauge.llm.common import kept, mapped, slabs, texts
 
 CAPACITY = 1024
 END_ID = 0
 BLOCK_DOCS = 8192
 SLAB_BYTES = 1_000_000
+PIECES_KEPT = 150_000  # per Python worker
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
