@@ -237,3 +237,15 @@ def test_similar_branches_merge_and_different_ones_do_not(spark):
     names = {(r.host, r.template): r.branch for r in found.collect()}
     assert names["h", "/=a/*"] == names["h", "/=b/*"] == "/~=b/*"
     assert all(names[k] == k[1] for k in [("h", "/=c/*"), ("h", "/=d/*"), ("h", "/=e/*"), ("i", "/=a/*"), ("h", "")])
+
+
+def test_deduplicated_rows_keep_columns_of_any_name(spark):
+    from tidegauge.llm import exact_dedup
+
+    odd = ["digest", "other_key", "other", "points", "whole", "__digest", "__key", "stays", "KEEP_KEY"]
+    rows = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "x"), (3, "x"), (4, None), (None, "")], "doc_id long, text string")
+    rows = rows.withColumns({c: F.lit(f"my {c}") for c in odd})
+    found = exact_dedup.deduplicate(rows)
+    assert found.columns == rows.columns
+    assert sorted((r.doc_id, r.text or "") for r in found.collect()) == [(1, "a b"), (3, "x"), (4, "")]
+    assert all(r[c] == f"my {c}" for r in found.collect() for c in odd)

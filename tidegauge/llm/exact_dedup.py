@@ -5,7 +5,8 @@ may hold a large share of the rows; their winners are verified by an exact aggre
 group never meet in one task. All other digests are shuffled as usual.
 
 Defined cases: a null text is an empty text; of rows equal in length the smallest key stays, null keys last; of repeated
-rows with one key exactly one stays; an empty table gives an empty result; other columns are ignored.
+rows with one key exactly one stays; an empty table gives an empty result; texts of any length are hashed whole; keys are integers; other
+columns, whatever their names, are ignored by ``exact_groups`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import saved, small
+from tidegauge.llm.common import free_names, saved, small
 
 WHITE = " \t\n\x0b\x0c\r"
 #: Digests above this share of the rows are certainly found; at most 1 / SUPPORT digests are broadcast.
@@ -74,15 +75,17 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", suppor
     key (equal in key and digest) are told apart by nothing but their place; they alone are reduced by grouping.
     """
     groups = saved(exact_groups(docs, key, text, support), "groups")
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(normalised(text).cast("binary"), 256)))
+    digest, other_key, other, shown, whole = free_names(docs, "digest", "other_key", "other", "points", "whole")
+    marked = docs.withColumn(digest, F.unhex(F.sha2(normalised(text).cast("binary"), 256)))
     ids = groups.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.max("kept").alias("stays"))
-    odd = ids.where("copies > 1 or not stays").select(F.col("key").alias("__key"), F.col("digest").alias("__other"), "stays")
-    odd = saved(odd, "odd")
-    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__digest") == F.col("__other"))
-    kept = marked.join(small(odd, ROW_BYTES), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    odd = saved(ids.where("copies > 1 or not stays").select("key", "digest", "stays"), "odd")
+    same = F.col(key).eqNullSafe(F.col(other_key)) & (F.col(digest) == F.col(other))
+    named = odd.select(F.col("key").alias(other_key), F.col("digest").alias(other))
+    kept = marked.join(small(named, ROW_BYTES), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if odd.where("stays").isEmpty():
         return kept
     points = F.length(F.coalesce(F.col(text), F.lit("")))
-    whole = F.struct(points.alias("__points"), *[F.col(f"`{c}`") for c in docs.columns])
-    repeated = marked.join(small(odd.where("stays"), ROW_BYTES), same, "left_semi").groupBy(key, "__digest").agg(F.max_by(whole, points).alias("whole"))
-    return kept.union(repeated.select(*[F.col(f"whole.`{c}`") for c in docs.columns]))
+    rows = F.struct(points.alias(shown), *[F.col(f"`{c}`") for c in docs.columns])
+    named = odd.where("stays").select(F.col("key").alias(other_key), F.col("digest").alias(other))
+    repeated = marked.join(small(named, ROW_BYTES), same, "left_semi").groupBy(key, digest).agg(F.max_by(rows, points).alias(whole))
+    return kept.union(repeated.select(*[F.col(f"{whole}.`{c}`") for c in docs.columns]))
