@@ -182,7 +182,7 @@ def test_stream_load_rejects_batch_by_batch(spark, tmp_path):
     contract_load.stream_flows(stream, contract, accepted, rejected, str(tmp_path / "progress")).awaitTermination()
     good, bad = spark.read.parquet(accepted), spark.read.parquet(rejected)
     assert sorted(r["flow_duration"] for r in good.collect()) == [1.0, 2.0]
-    assert {r["reason"] for r in bad.collect()} == {"missing value ratio too high: 0.20"} and bad.count() == 2
+    assert {r["reason"] for r in bad.collect()} == {"share of missing values is 0.20, above the contract's limit"} and bad.count() == 2
 
 
 def test_stream_windows_equal_batch_on_closed_windows(spark, sf_dir, tmp_path):

@@ -89,7 +89,7 @@ class Contract:
         """The raw label that maps to 0; with several, the last one."""
         benign = [key for key, value in self.label_mapping.items() if value == 0]
         if not benign:
-            raise ContractError("no benign label defined in contract")
+            raise ContractError("the contract maps no label to 0, so none is benign")
         return benign[-1]
 
     @property

@@ -29,7 +29,7 @@ def state_changes(alerts: DataFrame, changes: DataFrame, check: bool = True) ->
     if check:
         unknown = changes.select("alert_id").join(known, "alert_id", "left_anti").limit(1).collect()
         if unknown:
-            raise UnknownAlertError(f"alert not found: {unknown[0][0]}")
+            raise UnknownAlertError(f"no alert has the id {unknown[0][0]}")
     return changes.join(known, "alert_id", "left_semi").select("alert_id", "state", "updated_at")
 
 

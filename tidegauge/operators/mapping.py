@@ -31,7 +31,7 @@ def map_columns(df: DataFrame, contract: Contract) -> DataFrame:
     """
     raw = set(df.columns)
     if contract.label_column not in raw:
-        raise ContractError(f"label column '{contract.label_column}' not found in dataset")
+        raise ContractError(f"the table has no column '{contract.label_column}', which the contract names as label")
     label = quoted(contract.label_column)
     if contract.label_mapping:
         label = binary_label(label, contract)
@@ -51,7 +51,7 @@ def enforce_schema(df: DataFrame, schema: UniversalSchema) -> DataFrame:
     """Features and label in schema order. Absent features are filled; unreadable numbers become NULL."""
     types = {f.name: f.dataType for f in df.schema.fields}
     if schema.label not in types:
-        raise SchemaError(f"label column '{schema.label}' missing")
+        raise SchemaError(f"the schema's label '{schema.label}' is no column of the table")
     columns = []
     for name, kind in schema.features.items():
         if name not in types:
@@ -69,9 +69,9 @@ def validate_schema(df: DataFrame, schema: UniversalSchema, require_label: bool
     """Strict projection: missing numbers (or a required label) are an error, missing categories are filled."""
     missing = [n for n, kind in schema.features.items() if n not in df.columns and kind != CATEGORY]
     if missing:
-        raise SchemaError(f"schema validation failed, missing features: {missing}")
+        raise SchemaError(f"the table lacks features of the schema: {missing}")
     if require_label and schema.label not in df.columns:
-        raise SchemaError(f"label column '{schema.label}' missing")
+        raise SchemaError(f"the schema's label '{schema.label}' is no column of the table")
     columns = [quoted(n) if n in df.columns else F.lit(UNKNOWN).alias(n) for n in schema.features]
     return df.select(*columns, *([quoted(schema.label)] if require_label else []))
 
@@ -80,7 +80,7 @@ def normalize_columns(df: DataFrame, label_column: str, label: str = "__label__"
     """Strip blanks around column names and give the label its internal name, as last column."""
     stripped = df.toDF(*[c.strip() for c in df.columns])
     if label_column.strip() not in stripped.columns:
-        raise ContractError(f"label column '{label_column}' not found in dataset")
+        raise ContractError(f"the table has no column '{label_column}' to take as label")
     features = [quoted(c) for c in stripped.columns if c != label_column.strip()]
     return stripped.select(*features, quoted(label_column.strip()).alias(label))
 

@@ -113,14 +113,14 @@ def reasons_of(report: DataFrame, df: DataFrame, contract: Contract, label: str
     lines = {r["check"]: r for r in report.collect()}
     reasons = []
     if not lines["missing"]["passed"]:
-        reasons.append(f"missing value ratio too high: {lines['missing']['value']:.2f}")
+        reasons.append(f"share of missing values is {lines['missing']['value']:.2f}, above the contract's limit")
     if not lines["labels"]["passed"]:
         found = label_violations(df, contract, label)
         shown = [r["label"] for r in found.orderBy(F.desc("rows"), "label").limit(OFFENDERS_SHOWN).collect()]
         more = found.count() - len(shown)
-        reasons.append(f"invalid label values found: {shown}" + (f" and {more} more, see label_violations" if more > 0 else ""))
+        reasons.append(f"labels outside the contract's domain: {shown}" + (f" and {more} more, see label_violations" if more > 0 else ""))
     if not lines["columns"]["passed"]:
-        reasons.append(f"missing required columns: {missing_columns(df, contract)}")
+        reasons.append(f"the contract needs columns that the table lacks: {missing_columns(df, contract)}")
     if not lines["rows"]["passed"] and not allow_empty:
         reasons.append("the table is empty")
     return reasons
