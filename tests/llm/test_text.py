@@ -402,6 +402,19 @@ def test_chains_ascend_in_both_texts():
     assert len(seen) == len(set(seen))
 
 
+def test_chains_on_one_diagonal_equal_the_general_ones():
+    rnd = np.random.default_rng(5)
+    for _ in range(400):
+        count, slope = rnd.integers(1, 6), int(rnd.integers(0, 20))
+        p, n = np.sort(rnd.integers(0, 90, count)), rnd.integers(1, 20, count).astype(np.int32)
+        at_p, at_q = passages.places(p, p + slope, n)
+        want = sorted((at_p[c].tolist(), at_q[c].tolist()) for c in passages.chains(at_p, at_q))
+        pairs, first, last, some_p, some_q = passages._single_chains(np.zeros(count, np.int64), p, p + slope, n)
+        if len(pairs):  # else places are too far apart, and the general way is taken
+            found = (some_p[first[0] : last[0]].tolist(), some_q[first[0] : last[0]].tolist())
+            assert want == ([found] if last[0] - first[0] >= passages.MIN_MATCHES else [])
+
+
 # --- whole queries
 
 

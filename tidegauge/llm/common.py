@@ -22,6 +22,8 @@ from tidegauge.session import scratch_path
 BROADCAST_BYTES = 16_000_000
 #: Bytes of an Arrow batch where the session has no setting of its own; Spark's 64 MB are held in the JVM and in Python.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
+#: Spark's setting by which shuffle files are removed once the query that wrote them has ended.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _SHIPPED: set[str] = set()
 
@@ -85,10 +87,20 @@ def give_back() -> None:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` below the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go with its end, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(RELEASE, None)
+    if before is not None:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(table: DataFrame, row_bytes: int) -> DataFrame:
@@ -134,11 +146,12 @@ def joined_bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x or b"" for x in column.cast(pa.binary()).to_pylist()), np.uint8)
 
 
-def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+def lists(values: np.ndarray | pa.Array, lengths: np.ndarray) -> pa.Array:
     """A list array from concatenated values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
 class Memo(dict):
