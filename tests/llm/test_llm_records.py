@@ -156,6 +156,21 @@ def test_vectors_equal_brute_force(spark):
     assert got == want
 
 
+def test_vectors_of_every_length_link(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    rows = [(k, rnd.normal(size=8).tolist()) for k in range(40)]
+    rows += [(100 + k, [float(k + 1), 2.0 * k + 2, 0.0, 0.0]) for k in range(10)]
+    rows += [(200 + k, (rows[0][1] + [0.0])[:9]) for k in range(2)] + [(300, [5.0]), (301, [2.0]), (302, [-1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for sample in (vectors.SAMPLE, 5):  # the rarer lengths in a cell of their own, and in an index of their own
+        monkeypatch.setattr(vectors, "SAMPLE", sample)
+        got = {r.key: (r.n_links, r.group) for r in vectors.near_vectors(frame).collect()}
+        assert len(got) == len(rows)
+        assert all(got[100 + k] == (9, 100) for k in range(10))
+        assert got[200] == got[201] == (1, 200)
+        assert got[300] == got[301] == (1, 300) and got[302] == (0, 302)
+
+
 def test_traversal_is_in_order_of_the_sum():
     rnd = np.random.default_rng(2)
     a, b = rnd.random((20, 6)), rnd.random((20, 6))

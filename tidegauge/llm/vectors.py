@@ -10,17 +10,22 @@ limit, the hardest ones. Every vector is indexed and every vector is a query. Ve
 so a hot cell is many small products; a block reports link counts per vector and a star per group of linked vectors,
 never the pairs. A pair found from either side counts on both.
 
-Defined cases: null vectors, vectors with null or non-finite components, zero vectors, vectors of another length
-than most, and vectors with a null key link with nothing; repeated keys are rows of their own; equal vectors link with each other; an empty table gives an empty result.
+Vectors of different lengths never link; each length is indexed by itself.
+
+Defined cases: null and empty vectors, vectors with null or non-finite components, zero vectors, and vectors with a null
+key link with nothing; repeated keys are rows of their own; equal vectors link with each other; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,37 +148,64 @@ def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
 
+def one_cell(width: int) -> MultiIndex:
+    """The index of a vector length too rare to need cells: all its vectors meet."""
+    return MultiIndex(np.zeros((1, width // 2)), np.zeros((1, width - width // 2)), 1)
+
+
 def near_links(reps: DataFrame, limit: float = LIMIT, recall: float = RECALL, centers: int = CENTERS) -> DataFrame:
-    """Rows (rep, n, a, b): link counts to add up per representative, or links (a, b) of stars."""
-    spark = reps.sparkSession
-    widths = reps.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width = widths["width"] if widths else 1
-    reps = reps.where(F.size("v") == width)
-    picked = reps.orderBy(F.xxhash64("key", "v"), "rep").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    index = fit(_matrix(picked, width), limit, recall, centers) if len(picked) else MultiIndex(np.zeros((1, 0)), np.zeros((1, width)), 1)
-    shared = spark.sparkContext.broadcast(index)  # 2 x CENTERS half vectors
+    """Rows (rep, n, a, b): link counts to add up per representative, or links (a, b) of stars.
+
+    Every length has an index of its own: the most frequent one and those of over ``SAMPLE`` vectors a fitted one, the
+    others a single cell each.
+    """
+    size = F.size("v")
+    widths = reps.groupBy(size.alias("width")).count()
+    most = widths.orderBy(F.desc("count"), "width").first()
+    indexed = sorted({r["width"] for r in [most, *widths.where(F.col("count") > SAMPLE).collect()] if r})
+    found = []
+    for width in indexed:
+        own = reps.where(size == width)
+        picked = own.orderBy(F.xxhash64("key", "v"), "rep").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+        found.append(_links(own, fit(_matrix(picked, width), limit, recall, centers), limit))
+    rare = ~size.isin(indexed)
+    if not indexed or not widths.where(~F.col("width").isin(indexed)).isEmpty():
+        found.append(_links(reps.where(rare), None, limit))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    widths = pc.list_value_length(batch.column("v"))
+    for width in sorted(pc.unique(widths).to_pylist()):
+        yield width, batch.filter(pc.equal(widths, width))
+
+
+def _links(reps: DataFrame, index: MultiIndex | None, limit: float) -> DataFrame:
+    """``near_links`` of vectors of one length by an index, or of any lengths with one cell for each."""
+    shared = reps.sparkSession.sparkContext.broadcast(index)  # 2 x CENTERS half vectors
 
     def spread(batches: Iterator[pa.RecordBatch], stored: bool) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 8 * BLOCK):
-                part = batch.slice(k, 8 * BLOCK)
-                x = _matrix(part.column("v"), width)
-                ids, copies = (part.column(c).to_numpy() for c in ("rep", "copies"))
-                homes = index.cells(x)
-                cells = homes[:, None] if stored else index.visited(x)
-                rows = np.repeat(np.arange(len(x)), cells.shape[1])
-                yield from _blocks(cells.ravel(), rows, ids, copies, homes, x)
+                for width, part in _by_width(batch.slice(k, 8 * BLOCK)):
+                    index = shared.value or one_cell(width)
+                    x = _matrix(part.column("v"), width)
+                    ids, copies = (part.column(c).to_numpy() for c in ("rep", "copies"))
+                    homes = index.cells(x)
+                    cells = homes[:, None] if stored else index.visited(x)
+                    rows = np.repeat(np.arange(len(x)), cells.shape[1])
+                    place = cells.ravel() if shared.value else np.full(cells.size, width)
+                    yield from _blocks(place, rows, ids, copies, homes, x)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         read = lambda data, kind: np.frombuffer(data, kind)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                q, s = (read(row[c], np.float64).reshape(-1, width) for c in ("q_data", "data"))
-                near = q @ s.T >= limit
                 q_ids, s_ids = read(row["q_ids"], np.int64), read(row["ids"], np.int64)
+                q, s = (read(row[c], np.float64).reshape(len(n), -1) for c, n in (("q_data", q_ids), ("data", s_ids)))
+                index = shared.value or one_cell(s.shape[1])
+                near = q @ s.T >= limit
                 near &= q_ids[:, None] != s_ids[None, :]
                 some_q, some_s = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
                 if not len(some_q):
