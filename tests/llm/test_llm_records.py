@@ -11,6 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 from tidegauge.llm import graph, queries, tool_calls, vectors, warc
+from tidegauge.llm.common import saved
 
 PAGES = "page_id long, url string, html string"
 
@@ -122,6 +123,57 @@ def test_levels_of_random_graphs(spark):
     assert {(r.conv, r.call): r.level for r in rows} == want and not any(r.cyclic for r in rows)
 
 
+GRAPHS = {
+    "chain": lambda k: [k - 1],
+    "two before": lambda k: [k - 1, k - 2],
+    "three before, named backwards": lambda k: [k - 1, k - 2, k - 3],
+    "layers of two": lambda k: [k // 2 * 2 - 1, k // 2 * 2 - 2],
+}
+
+
+def test_levels_take_logarithmic_rounds(spark, monkeypatch):
+    calls, needs, want, rounds = [], [], {}, []
+    for conv, (shape, below) in enumerate(GRAPHS.items()):
+        name = (lambda k: f"n{99 - k}") if "backwards" in shape else (lambda k: f"n{10 + k}")
+        for k in range(64):
+            calls.append((conv, name(k)))
+            needs += [(conv, name(k), name(n)) for n in below(k) if n >= 0]
+            want[conv, name(k)] = max((want[conv, name(n)] + 1 for n in below(k) if n >= 0), default=0)
+    monkeypatch.setattr(tool_calls, "saved", lambda df, table: rounds.append(table) or saved(df, table))
+    frames = spark.createDataFrame(calls, "conv long, call string"), spark.createDataFrame(needs, "conv long, call string, need string")
+    rows = tool_calls.levels(*frames).collect()
+    assert {(r.conv, r.call): r.level for r in rows} == want and not any(r.cyclic for r in rows)
+    assert rounds.count("met") <= 10
+
+
+def test_levels_with_cycles(spark):
+    """Calls on or behind a cycle are cyclic, the others have their level, however dependencies shorten each other."""
+    rnd = random.Random(17)
+    calls, needs = [], set()
+    for conv in range(12):
+        names = [f"n{k}" for k in range(14)]
+        calls += [(conv, n) for n in names]
+        needs |= {(conv, rnd.choice(names), rnd.choice(names)) for _ in range(rnd.randrange(5, 26))}
+    below = {c: {(c[0], n) for conv, call, n in needs if (conv, call) == c} for c in calls}
+    want, changed = {}, True
+    while changed:
+        ready = [c for c in calls if c not in want and all(n in want for n in below[c])]
+        want |= {c: max((want[n] + 1 for n in below[c]), default=0) for c in ready}
+        changed = bool(ready)
+    frames = spark.createDataFrame(calls, "conv long, call string"), spark.createDataFrame(sorted(needs), "conv long, call string, need string")
+    rows = tool_calls.levels(*frames).collect()
+    assert len(rows) == len(calls) and {(r.conv, r.call): r.level for r in rows if not r.cyclic} == want
+
+
+def test_calls_with_columns_of_any_name(spark):
+    calls = [(1, "a", 0, "t", '{"a":1}', []), (1, "b", 1, "t", '{"a":1}', ["a"])]
+    plain = linked(spark, calls, [(1, "a", 2, "r")])
+    frames = [spark.createDataFrame(calls, CALLS), spark.createDataFrame([(1, "a", 2, "r")], RESULTS), spark.createDataFrame(TOOLS, SCHEMAS)]
+    for extra in ("level", "cyclic", "n", "w", "need", "next", "known", "lost", "errors", "c", "r", "__tool", "__args", "__k"):
+        frames = [f.withColumn(extra, F.lit("x")) for f in frames]
+    assert sorted(map(str, tool_calls.link(*frames).collect())) == sorted(map(str, plain))
+
+
 def test_no_calls(spark):
     assert linked(spark, [], []) == []
 

@@ -4,14 +4,20 @@ Calls and results are hash-joined by conversation and call identifier, calls are
 dependencies, arguments are validated against the tools' schemas, and every message is serialised as canonical JSON
 (keys sorted, no white space, numbers and strings in one form).
 
-Levels are found by path doubling: an edge to a call that has one dependency left is replaced by an edge to that
-dependency, so a chain of n calls takes log2(n) rounds; a round touches only calls whose level is still open. Identifiers, not conversations, are the keys of every shuffle:
-a conversation with a third of all calls is spread like any other, and no group is gathered in a row or a task.
+Levels are found by path doubling: an edge to a call that has few dependencies left is replaced by edges to these, with
+the longest way there as weight, after edges that a longer way makes needless have gone. Known ways double in each round,
+so chains, calls that each need the few before them, and layers of a few calls take about log2(n) rounds; ``few`` is what
+keeps the counted paths of a round within ``ROOM`` times the calls and needs, one at least, so a graph with more
+dependencies than that can take a round per level. A round touches only calls whose level is still open. Identifiers, not
+conversations, are the keys of every shuffle: a conversation with a third of all calls is spread like any other, and no
+group is gathered in a row or a task.
 
 Defined cases: null identifiers link with nothing; of calls with one identifier the first by position (then by JSON) is
 the call and the others are ``duplicate``, likewise for results; calls without a result are ``pending``, results without
 a call ``orphan``; calls on or behind a cycle are ``cyclic`` and come last; a dependency on an unknown call is an error
-of the call and does not order it; arguments that are no JSON object are an error; unknown tools are an error.
+of the call and does not order it; arguments that are no JSON object are an error; unknown tools are an error; empty and
+very long arguments and contents are kept whole; repeated rows come out as often as they came in; without calls and
+results there are no rows; columns beside those named are not carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from tidegauge.llm.common import saved, small
 #: JSON types by the first word of Spark's name for a variant's type.
 TYPES = {"BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object", "VOID": "null"}
 ROW_BYTES = 200
+#: Paths of one round, as a multiple of calls and needs, and the numbers of dependencies stepped over that are tried.
+ROOM, WIDTHS = 4, [1 << k for k in range(7)]
 
 
 def canonical(json: Column) -> Column:
@@ -45,22 +53,28 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """
     most = calls.count()
     edges = saved(needs.select("conv", "call", "need", F.lit(1).cast("long").alias("w")), "needs")
+    room = ROOM * (most + edges.count())
     start = calls.select("conv", "call", F.lit(0).cast("long").alias("level"), F.lit(False).alias("cyclic"))
     open_, done = _split(start, edges)
     settled = [done]
     while not edges.isEmpty():
-        left = edges.groupBy("conv", "call").agg(F.count("*").alias("n"), F.min("need").alias("next"), F.min("w").alias("more"))
-        state = open_.join(left, ["conv", "call"], "left").select(
-            "conv", F.col("call").alias("need"), "level", "cyclic", F.coalesce("n", F.lit(0)).alias("n"), "next", "more"
-        )
+        left = edges.groupBy("conv", "call").agg(F.count("*").alias("n"))
+        state = open_.join(left, ["conv", "call"], "left").select("conv", F.col("call").alias("need"), "level", "cyclic", F.coalesce("n", F.lit(0)).alias("n"))
         met = saved(edges.join(state, ["conv", "need"]), "met")
+        width = _width(met, room)
+        moved = met.where(F.col("n") <= width)
+        legs = edges.select("conv", F.col("call").alias("need"), F.col("need").alias("next"), F.col("w").alias("more"))
+        paths = moved.where("n > 0").join(legs, ["conv", "need"])
+        paths = saved(paths.select("conv", "call", "need", "next", (F.col("w") + F.col("more")).alias("w")), "paths")
+
+        spare = _spare(edges, paths)
+        second = spare.select("conv", F.col("call").alias("need"), F.col("need").alias("next"))
+        onward = paths.join(spare, ["conv", "call", "need"], "left_anti").join(second, ["conv", "need", "next"], "left_anti")
+        kept = met.where(F.col("n") > width).select("conv", "call", "need", "w").join(spare, ["conv", "call", "need"], "left_anti")
+        kept = kept.unionByName(onward.select("conv", "call", F.col("next").alias("need"), "w"))
         # a dependency of its own, or a path longer than there are calls, is a cycle
-        moved = met.where("n < 2")
-        onward = moved.where("n = 1").select("conv", "call", F.col("next").alias("need"), (F.col("w") + F.col("more")).alias("w"))
         wrong = (F.col("call") == F.col("need")) | (F.col("w") > most)
-        kept = met.where("n >= 2").select("conv", "call", "need", "w").unionByName(onward)
-        kept = kept.groupBy("conv", "call", "need").agg(F.max("w").alias("w")).withColumn("wrong", wrong)
-        kept = saved(kept, "needs")
+        kept = saved(kept.groupBy("conv", "call", "need").agg(F.max("w").alias("w")).withColumn("wrong", wrong), "needs")
         news = moved.select("conv", "call", (F.col("level") + F.col("w")).alias("up"), F.col("cyclic").alias("bad"))
         news = news.unionByName(kept.where("wrong").select("conv", "call", F.lit(0).cast("long").alias("up"), F.lit(True).alias("bad")))
         if moved.isEmpty():
@@ -76,6 +90,26 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, settled)
 
 
+def _width(met: DataFrame, room: int) -> int:
+    """Up to how many dependencies a call may have left to be stepped over, for at most ``room`` paths in all."""
+    sums = met.agg(*[F.coalesce(F.sum(F.when(F.col("n") <= k, F.col("n"))), F.lit(0)) for k in WIDTHS]).first()
+    return max([k for k, paths in zip(WIDTHS, sums) if paths <= room], default=1)
+
+
+def _spare(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """Dependencies that a path over another dependency reaches as well, and not on a shorter way.
+
+    Only paths over identifiers above the dependency's count, or only those below it, whichever spares more: on a cycle
+    each call is then left with its highest (lowest) dependency that leads to the cycle, so that no cycle comes undone.
+    """
+    same = (F.col("e.conv") == F.col("p.conv")) & (F.col("e.call") == F.col("p.call")) & (F.col("e.need") == F.col("p.next"))
+    met = edges.alias("e").join(paths.alias("p"), same & (F.col("p.w") >= F.col("e.w")) & (F.col("p.need") != F.col("e.need")))
+    above = F.col("p.need") > F.col("e.need")
+    found = saved(met.groupBy("e.conv", "e.call", "e.need").agg(F.max(above).alias("above"), F.max(~above).alias("below")), "spare")
+    counts = found.agg(F.count_if("above").alias("above"), F.count_if("below").alias("below")).first()
+    return found.where("above" if counts.above >= counts.below else "below").select("conv", "call", "need")
+
+
 def _split(depth: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The calls that the remaining edges touch, and the others, whose level is final."""
     ends = edges.select("conv", "call").union(edges.select("conv", F.col("need").alias("call"))).distinct()
