@@ -246,25 +246,51 @@ def test_balance_wastes_less_than_a_sequence():
 
 
 def slow_repeats(bodies, length):
-    counts = Counter(b[k : k + length] for b in bodies for k in range(len(b) - length + 1))
+    counts = Counter(hash(b[k : k + length]) for b in bodies for k in range(len(b) - length + 1))
     for b in bodies:
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - length + 1):
-            if counts[b[k : k + length]] > 1:
+            if counts[hash(b[k : k + length])] > 1:
                 gone[k : k + length] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         yield len(b), int(gone.sum()), spans, bytes(x for x, g in zip(b, gone) if not g)
 
 
-@pytest.mark.parametrize("wide", [2000, 2])
-def test_repeats(docs, corpus, empty, monkeypatch, wide):
+@pytest.mark.parametrize(("wide", "wide_bytes"), [(2000, suffixes.WIDE_BYTES), (2, 1000), (2, 1)])
+def test_repeats(docs, corpus, empty, monkeypatch, wide, wide_bytes):
     monkeypatch.setattr(suffixes, "WIDE", wide)
+    monkeypatch.setattr(suffixes, "WIDE_BYTES", wide_bytes)
     want = Counter(zip([r[0] for r in corpus], slow_repeats([(r[1] or "").encode() for r in corpus], 400)))
     rows = suffixes.remove_repeats(docs).collect()
     assert Counter((r.key, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in rows) == want
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_repeats_with_anchors_beyond_the_shipped_limit(spark):
+    """A passage around which every text differs: its anchors have more bytes than one suffix array may hold."""
+    rnd = random.Random(31)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    passage = noise(430)
+    bodies = [noise(250) + passage + noise(250) for _ in range(2500)] + [noise(900)]
+    frame = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").repartition(5)
+    entries = suffixes.entries(suffixes.keyed(frame).select("k1", "k2", "text"), 400)
+    assert entries.groupBy("a").agg(F.sum(F.col("n") + 399).alias("b")).where(F.col("b") > suffixes.WIDE_BYTES).count()
+    want = Counter(zip(range(len(bodies)), slow_repeats([b.encode() for b in bodies], 400)))
+    rows = suffixes.remove_repeats(frame).collect()
+    assert Counter((r.key, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in rows) == want
+
+
+def test_common_prefixes():
+    rnd = random.Random(3)
+    for length, step in ((20, 50), (20, 7), (21, 7), (400, 50)):
+        text = bytes(rnd.choice(b"ab") for _ in range(200)) * 4
+        starts = np.array(rnd.sample(range(len(text) - length + 1), 150))
+        order = np.array(suffixes.suffix_order(text, starts, length))
+        pairs = [(text[i : i + length], text[j : j + length]) for i, j in zip(order, order[1:])]
+        want = [next((k for k in range(length) if x[k] != y[k]), length) for x, y in pairs]
+        assert suffixes.common_prefixes(text, order, length, step).tolist() == want
+
+
 def test_suffix_order_is_sorted():
     rnd = random.Random(2)
     for _ in range(60):
@@ -418,6 +444,35 @@ def test_chains_on_one_diagonal_equal_the_general_ones():
 # --- whole queries
 
 
+def test_text_queries_on_odd_rows(spark, docs, corpus, tmp_path):
+    """The columns of the queries that no SQL expresses, against libraries and brute force."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bodies = [(r[0], r[1] or "") for r in corpus]
+    hexed = lambda data: hashlib.sha256(data).hexdigest()
+    encoding, tokens = library(), Tokenizer.from_file(JSON)
+
+    want = Counter()
+    for key, body in bodies:
+        ids = encoding.encode_ordinary(body)
+        want[key, len(ids), hexed(" ".join(map(str, ids)).encode()), hexed(body.encode())] += 1
+    assert Counter(map(tuple, queries.op1_byte_bpe(spark, str(tmp_path)).collect())) == want
+
+    prints = Counter((r.doc_id, r.fingerprint) for r in queries.op3_simhash(spark, str(tmp_path)).collect())
+    assert prints == Counter((key, f"{slow_print(body):016x}") for key, body in bodies)
+
+    pieces = queries.op7_packing(spark, str(tmp_path)).collect()
+    cut = Counter((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0)
+    coded = [(key, [*tokens.encode(body, add_special_tokens=False).ids, 0]) for key, body in bodies]
+    assert cut == Counter((key, len(ids)) for key, ids in coded)
+    once = {key: ids for key, ids in coded if sum(key == other for other, _ in coded) == 1}
+    for r in (r for r in pieces if r.doc_id in once):
+        assert r.ids_crc32 == zlib.crc32(np.array(once[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    assert all(r.offset + r.length <= 1024 for r in pieces)
+
+    want = Counter((key, *row[:3], hexed(row[3])) for (key, _), row in zip(bodies, slow_repeats([b.encode() for _, b in bodies], 400)))
+    assert Counter(map(tuple, queries.op9_repeats(spark, str(tmp_path)).collect())) == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, sf_dir, name):
     mine = canonical(queries.QUERIES[name](spark, sf_dir).toPandas().convert_dtypes())

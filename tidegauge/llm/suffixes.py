@@ -4,13 +4,16 @@ A string of ``length`` bytes that starts in two places has the same anchor in bo
 ``GRAM``-byte strings. Consecutive starts with one anchor form a segment. Segments with equal bytes are settled by their
 digests alone, in the task where they are found and again after a shuffle of digests; of the others, one for each
 content goes, with its bytes, to the task of its anchor. There a suffix array is built in two stages: suffixes smaller
-than their successor are sorted directly, the rest follow from one scan over the buckets, and equal neighbours in it are
-the repeated strings. Anchors with more than ``WIDE`` entries take another exact way: their segments are spread by
-content, and each of their strings is counted by its digest.
+than their successor are sorted directly, the rest follow from one scan over the buckets, and neighbours whose common
+prefix has ``length`` bytes are the repeated strings. An anchor whose segments have more than ``WIDE_BYTES`` is divided
+first: equal strings start equally far before it, so its segments are cut where that distance passes multiples of a block,
+and the parts in a block are grouped by the bytes that all their strings hold. Blocks get shorter until the groups fit; in
+blocks of one start the parts of a group are equal, and one is left of them.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; strings repeated within one text count;
 repeated rows (equal key and text) are texts of their own; null keys are texts like any other; the bytes that stay need
-not be valid UTF-8, as strings are judged by bytes.
+not be valid UTF-8, as strings are judged by bytes; very long texts are worked on in slices of ``CHUNK`` starts; an empty
+table gives no rows; columns beside key and text are not carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,10 @@ from tidegauge.llm.common import joined_bytes, mapped, saved, slabs, small, tall
 
 LENGTH = 400
 GRAM = 48
+#: Segments, without bytes, up to which an anchor's are looked at in one task; more are spread by content.
 WIDE = 50_000
+#: Bytes of an anchor's segments up to which they share one suffix array, and starts in a block of those divided.
+WIDE_BYTES, BLOCKS = 1 << 20, (32, 4, 1)
 #: Bytes of text worked on at once: for anchors, and for one suffix array.
 CHUNK, ARRAY = 1 << 21, 1 << 18
 
@@ -220,16 +226,31 @@ def suffix_order(text: bytes, starts: np.ndarray, length: int) -> list[int]:
     return order[is_start[order]].tolist()
 
 
+def common_prefixes(text: bytes, order: np.ndarray, length: int, step: int = 50) -> np.ndarray:
+    """How many bytes each of the starts, but the first, shares with the one before it in the order; at most ``length``."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text + bytes(step), np.uint8), step)
+    common = np.zeros(max(0, len(order) - 1), np.int64)
+    for first in range(0, len(common), 1 << 16):
+        pairs = np.arange(first, min(first + (1 << 16), len(common)))
+        for done in range(0, length, step):
+            width = min(step, length - done)
+            differ = rows[order[pairs] + done, :width] != rows[order[pairs + 1] + done, :width]
+            whole = ~differ.any(axis=1)
+            common[pairs] = done + np.where(whole, width, differ.argmax(axis=1))
+            pairs = pairs[whole]
+    return common
+
+
 def repeated_starts(pieces: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
     """For each piece, which of its first ``counts`` starts have a string that also starts elsewhere in the pieces."""
     text = b"".join(pieces)
     offsets = np.cumsum([0, *map(len, pieces)])
     starts = np.concatenate([np.arange(o, o + c) for o, c in zip(offsets, counts)])
-    order = suffix_order(text, starts, length)
-    common = [text[i : i + length] == text[j : j + length] for i, j in zip(order, order[1:])]
-    shared = np.array([False, *common]) | np.array([*common, False])
+    order = np.array(suffix_order(text, starts, length), np.int64)
+    common = common_prefixes(text, order, length) == length
     found = np.zeros(len(text), bool)
-    found[np.array(order, np.int64)[shared]] = True
+    found[order[1:][common]] = True
+    found[order[:-1][common]] = True
     return [found[o : o + c] for o, c in zip(offsets, counts)]
 
 
@@ -274,40 +295,57 @@ def compared(pieces: DataFrame, length: int) -> DataFrame:
     return mapped(pieces.repartition("a").sortWithinPartitions("a"), run, RANGE)
 
 
-def counted(pieces: DataFrame, length: int) -> DataFrame:
-    """The same ranges for pieces of wide anchors: every string is a digest, counted in tasks and then by a shuffle."""
+def divided(pieces: DataFrame, length: int, block: int) -> DataFrame:
+    """Segments of the parts of ``pieces`` in blocks of starts; their anchor stands for block and shared bytes.
+
+    Equal strings have equal anchors again: they start equally far before the old one, so in one block, and hold the
+    bytes that all strings of the block hold.
+    """
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(row: dict) -> Iterator[tuple]:
+        data, n = row["data"], row["n"]
+        hashes = gram_hashes(np.frombuffer(data[:length], np.uint8), GRAM)
+        place = int((hashes >> np.uint64(24)).argmin())
+        for number in range((place - n + 1) // block, place // block + 1):
+            nearest, farthest = number * block, number * block + block - 1
+            first, last = max(0, place - farthest), min(n - 1, place - nearest)
+            shared = data[place - nearest : place - farthest + length]
+            anchor = xxhash.xxh3_64_digest(shared + number.to_bytes(4, "little") + row["a"].to_bytes(8, "little", signed=True))
+            content = xxhash.xxh3_128_digest(data[first : last + length])
+            yield row["kind"], anchor + content, row["k1"], row["k2"], row["s"] + first, last - first + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in (r for k in range(0, batch.num_rows, 512) for r in batch.slice(k, 512).to_pylist()):
-                data = row["data"]
-                both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[i : i + length]) for i in range(row["n"])]), np.int64)
-                fixed = [np.full(row["n"], row[c], np.int64) for c in ("k1", "k2")]
-                columns = [both[::2], both[1::2], *fixed, row["s"] + np.arange(row["n"]), np.full(row["n"], row["kind"], np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d1", "d2", "k1", "k2", "s", "kind"])
+            for k in range(0, batch.num_rows, 512):
+                kind, hashes, k1, k2, s, n = zip(*(part for row in batch.slice(k, 512).to_pylist() for part in parts(row)))
+                a, g1, g2 = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 3).T.copy()
+                yield _batch(np.array(kind, np.int32), a, g1, g2, *[np.array(c, np.int64) for c in (k1, k2, s)], n)
 
-    each = mapped(pieces, digests, "d1 long, d2 long, k1 long, k2 long, s long, kind int")
-    many = each.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.max("kind").alias("m")).where(f"c > 1 or m = {SETTLED}")
-    found = each.where(F.col("kind") == OPEN).join(many.select("d1", "d2"), ["d1", "d2"], "left_semi")
-    return found.select("k1", "k2", "s", F.lit(1).alias("n"))
+    return mapped(pieces, run, ENTRY)
 
 
 def covered_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, ranges) of texts (k1, k2, text): starts of strings of ``length`` bytes that also start elsewhere."""
     found = saved(settled(saved(entries(docs, length), "segments")), "settled")
-    needed = saved(found.where(F.col("kind") != COVERED).select("kind", "a", "k1", "k2", "s", "n"), "compared")
-    owners = saved(needed.select("k1", "k2").distinct(), "owners")
-    few = docs.join(small(owners, 32), ["k1", "k2"], "left_semi")
     data = F.substring(F.col("text"), (F.col("s") + 1).cast("int"), F.col("n") + length - 1)
-    pieces = needed.join(few, ["k1", "k2"]).select("kind", "a", "k1", "k2", "s", "n", data.alias("data"))
-    wide = saved(needed.groupBy("a").count().where(F.col("count") > WIDE).select("a"), "wide-anchors")
-    if wide.isEmpty():
-        more = compared(pieces, length)
-    else:
-        narrow = compared(pieces.join(small(wide, 16), "a", "left_anti"), length)
-        more = narrow.unionByName(counted(saved(pieces.join(small(wide, 16), "a", "left_semi"), "wide-pieces"), length))
-    every = found.where(F.col("kind") == COVERED).select("k1", "k2", "s", "n").unionByName(more).distinct()
-    return every.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("ranges"))
+    blocks, few, every = iter(BLOCKS), None, None
+    while True:
+        covered = found.where(F.col("kind") == COVERED).select("k1", "k2", "s", "n")
+        every = every.unionByName(covered) if every else covered
+        needed = saved(found.where(F.col("kind") != COVERED).select("kind", "a", "k1", "k2", "s", "n"), "compared")
+        if few is None:
+            owners = saved(needed.select("k1", "k2").distinct(), "owners")
+            few = docs.join(small(owners, 32), ["k1", "k2"], "left_semi")
+        pieces = needed.join(few, ["k1", "k2"]).select("kind", "a", "k1", "k2", "s", "n", data.alias("data"))
+        size = needed.groupBy("a").agg(F.count("*").alias("count"), F.sum(F.col("n") + length - 1).alias("bytes"))
+        wide = saved(size.where((F.col("count") > 1) & (F.col("bytes") > WIDE_BYTES)).select("a"), "wide-anchors")
+        block = None if wide.isEmpty() else next(blocks, None)
+        if block is None:
+            every = every.unionByName(compared(pieces, length)).distinct()
+            return every.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("ranges"))
+        every = every.unionByName(compared(pieces.join(small(wide, 16), "a", "left_anti"), length))
+        parts = divided(pieces.join(small(wide, 16), "a", "left_semi"), length, block)
+        found = saved(settled(saved(parts, "parts")), "settled")
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
