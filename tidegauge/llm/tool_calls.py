@@ -61,23 +61,25 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
         left = edges.groupBy("conv", "call").agg(F.count("*").alias("n"))
         state = open_.join(left, ["conv", "call"], "left").select("conv", F.col("call").alias("need"), "level", "cyclic", F.coalesce("n", F.lit(0)).alias("n"))
         met = saved(edges.join(state, ["conv", "need"]), "met")
-        width = _width(met, room)
+        width, least = _width(met, room)
         moved = met.where(F.col("n") <= width)
         legs = edges.select("conv", F.col("call").alias("need"), F.col("need").alias("next"), F.col("w").alias("more"))
         paths = moved.where("n > 0").join(legs, ["conv", "need"])
         paths = saved(paths.select("conv", "call", "need", "next", (F.col("w") + F.col("more")).alias("w")), "paths")
 
         spare = _spare(edges, paths)
-        second = spare.select("conv", F.col("call").alias("need"), F.col("need").alias("next"))
-        onward = paths.join(spare, ["conv", "call", "need"], "left_anti").join(second, ["conv", "need", "next"], "left_anti")
-        kept = met.where(F.col("n") > width).select("conv", "call", "need", "w").join(spare, ["conv", "call", "need"], "left_anti")
-        kept = kept.unionByName(onward.select("conv", "call", F.col("next").alias("need"), "w"))
+        kept = met.where(F.col("n") > width).select("conv", "call", "need", "w")
+        if spare:
+            second = spare.select("conv", F.col("call").alias("need"), F.col("need").alias("next"))
+            paths = paths.join(spare, ["conv", "call", "need"], "left_anti").join(second, ["conv", "need", "next"], "left_anti")
+            kept = kept.join(spare, ["conv", "call", "need"], "left_anti")
+        kept = kept.unionByName(paths.select("conv", "call", F.col("next").alias("need"), "w"))
         # a dependency of its own, or a path longer than there are calls, is a cycle
         wrong = (F.col("call") == F.col("need")) | (F.col("w") > most)
         kept = saved(kept.groupBy("conv", "call", "need").agg(F.max("w").alias("w")).withColumn("wrong", wrong), "needs")
         news = moved.select("conv", "call", (F.col("level") + F.col("w")).alias("up"), F.col("cyclic").alias("bad"))
         news = news.unionByName(kept.where("wrong").select("conv", "call", F.lit(0).cast("long").alias("up"), F.lit(True).alias("bad")))
-        if moved.isEmpty():
+        if least > width:
             news = kept.select("conv", "call", F.lit(0).cast("long").alias("up"), F.lit(True).alias("bad"))
             kept = kept.where("false")
         news = news.groupBy("conv", "call").agg(F.max("up").alias("up"), F.max("bad").alias("bad"))
@@ -90,14 +92,15 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, settled)
 
 
-def _width(met: DataFrame, room: int) -> int:
-    """Up to how many dependencies a call may have left to be stepped over, for at most ``room`` paths in all."""
-    sums = met.agg(*[F.coalesce(F.sum(F.when(F.col("n") <= k, F.col("n"))), F.lit(0)) for k in WIDTHS]).first()
-    return max([k for k, paths in zip(WIDTHS, sums) if paths <= room], default=1)
+def _width(met: DataFrame, room: int) -> tuple[int, int]:
+    """Up to how many dependencies a call may have left to be stepped over, for at most ``room`` paths; the fewest left."""
+    sums = [F.coalesce(F.sum(F.when(F.col("n") <= k, F.col("n"))), F.lit(0)) for k in WIDTHS]
+    *sums, least = met.agg(*sums, F.coalesce(F.min("n"), F.lit(0))).first()
+    return max([k for k, paths in zip(WIDTHS, sums) if paths <= room], default=1), least
 
 
-def _spare(edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """Dependencies that a path over another dependency reaches as well, and not on a shorter way.
+def _spare(edges: DataFrame, paths: DataFrame) -> DataFrame | None:
+    """Dependencies that a path over another dependency reaches as well, and not on a shorter way; None without any.
 
     Only paths over identifiers above the dependency's count, or only those below it, whichever spares more: on a cycle
     each call is then left with its highest (lowest) dependency that leads to the cycle, so that no cycle comes undone.
@@ -107,6 +110,8 @@ def _spare(edges: DataFrame, paths: DataFrame) -> DataFrame:
     above = F.col("p.need") > F.col("e.need")
     found = saved(met.groupBy("e.conv", "e.call", "e.need").agg(F.max(above).alias("above"), F.max(~above).alias("below")), "spare")
     counts = found.agg(F.count_if("above").alias("above"), F.count_if("below").alias("below")).first()
+    if not counts.above and not counts.below:
+        return None
     return found.where("above" if counts.above >= counts.below else "below").select("conv", "call", "need")
 
 
