@@ -108,6 +108,34 @@ def test_small_blocks_and_slabs_give_the_same_impacts(spark, flows, forest, monk
     assert [len(f) for f in attribution._slabs(iter(frames), 7)] == [8, 8, 4]
 
 
+def test_tables_by_cell_equal_the_sum_by_leaf(spark, flows, forest, monkeypatch):
+    table = attribution.leaf_table(spark, forest)
+    files = [p.removeprefix("file:") for p in table.leaves.inputFiles()]
+    cuts = attribution.thresholds(files)
+    rows = np.random.default_rng(6).normal(size=(300, 4))
+    for f, own in cuts.items():
+        rows[: len(own), f] = own  # a row on a threshold passes it to the left
+    for target in (0, 1):
+        by_leaf = sum(attribution.tree_shapley(rows, paths, target) for paths in attribution.leaf_blocks(files))
+        by_cell = np.zeros(rows.shape)
+        by_cell[:, list(cuts)] = attribution.cell_impacts(files, cuts, target)[attribution.cells(rows, cuts)]
+        assert by_cell == pytest.approx(by_leaf, abs=1e-12)
+    monkeypatch.setattr(attribution, "GRID_VALUES", 10)
+    assert attribution.thresholds(files) is None
+
+
+def test_rows_of_a_cell_are_scored_once(spark, flows, forest, monkeypatch):
+    rows = models.assemble(flows.unionByName(flows.withColumn("key", F.col("key") + 1000)), FEATURES, ["key", *FEATURES])
+    asked, scored = [], models._scored
+    monkeypatch.setattr(models, "_scored", lambda model, table, keep: asked.append(table.count()) or scored(model, table, keep))
+    by_cell = {r["key"]: r for r in models.score(forest, rows, ["key"], by_cell=True).collect()}
+    assert asked[0] <= 400 and len(by_cell) == 800
+    assert by_cell == {r["key"]: r for r in models.score(forest, rows, ["key"]).collect()}
+    monkeypatch.setattr(models, "CELLS", 3)
+    assert by_cell == {r["key"]: r for r in models.score(forest, rows, ["key"], by_cell=True).collect()}
+    assert asked[1:] == [800, 800]
+
+
 def test_each_class_adds_up_to_its_probability(flows):
     """Three classes: impacts of the predicted class, for trees and for the linear model's margins."""
     kinds = flows.withColumn("label", F.when(F.col("a") > 0.5, 2.0).when(F.col("b") > 0, 1.0).otherwise(0.0))

@@ -11,21 +11,17 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import quoted
 from tidegauge.operators.attribution import attribution
-from tidegauge.operators.evaluation import confidence
 from tidegauge.operators.explanation import alert_id, local_explanations, with_drift_context
 from tidegauge.operators.mapping import align_features, row_at
-from tidegauge.operators.models import LabelDictionary
+from tidegauge.operators.models import LabelDictionary, score
 from tidegauge.operators.versioning import RunVersion
 from tidegauge.sources.sinks import log_events
 
 
 def score_rows(df: DataFrame, model: Model, features: Sequence[str], key: str) -> DataFrame:
     """(key, features, prediction, confidence) of every row."""
-    aligned = align_features(df, features, [key])
-    scored = model.transform(VectorAssembler(inputCols=list(features), outputCol="features").transform(aligned))
-    return scored.select(
-        quoted(key), *map(quoted, features), "prediction", confidence(F.col("probability")).alias("confidence")
-    )
+    table = VectorAssembler(inputCols=list(features), outputCol="features").transform(align_features(df, features, [key]))
+    return score(model, table, [key, *[f for f in features if f != key]], by_cell=True).drop("probability")
 
 
 def explain_rows(
