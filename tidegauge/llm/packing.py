@@ -14,6 +14,7 @@ Defined cases: a null or empty text is the end id alone; repeated rows are packe
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tidegauge.llm.bpe import LONG_PIECE, cut
-from tidegauge.llm.common import kept, mapped, slabs, texts
+from tidegauge.llm.bpe import LONG_PIECE
+from tidegauge.llm.common import kept, mapped, slabs
 
 CAPACITY = 1024
 END_ID = 0
 BLOCK_DOCS = 8192
-SLAB_BYTES = 1_000_000
+SLAB_BYTES = 4_000_000
 PIECES_KEPT = 150_000  # per Python worker
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -36,55 +37,101 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 PIECES = "key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+#: White space that UTF-8 writes in one byte, and the first three bytes of the rest, a third one that varies being zero.
+_BLANK = np.array([chr(k).isspace() for k in range(128)] + [False] * 128)
+_WIDE_BLANKS = np.array(
+    [int.from_bytes(chr(k).encode().ljust(3, b"\0"), "big") for k in range(128, sys.maxunicode + 1) if chr(k).isspace()], np.int64
+)
+
+
+def piece_starts(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where the pieces of joined UTF-8 texts of ``sizes`` bytes begin: the places of ``bpe.cut``."""
+    ends = np.cumsum(sizes)
+    bounds = np.zeros(len(data) + 1, bool)
+    bounds[ends] = bounds[0] = True
+    at = np.flatnonzero(data == 32)
+    at = at[~bounds[at + 1]]  # a space that ends its text begins nothing
+    after = np.append(data, np.zeros(3, np.uint8))
+    keep = ~_BLANK[after[at + 1]]
+    wide = np.flatnonzero(after[at + 1] >= 128)
+    if len(wide):
+        one, two, three = (after[at[wide] + k].astype(np.int64) for k in (1, 2, 3))
+        keep[wide] = ~np.isin(one << 16 | two << 8 | np.where(one < 0xE0, 0, three), _WIDE_BLANKS)
+    bounds[at[keep]] = True
+    return np.flatnonzero(bounds[:-1])
+
+
 class PieceMemo:
     """Ids by a ``tokenizers`` file, remembered per piece between spaces (see ``bpe.cut``).
 
-    Pieces not yet known are encoded together, as one text, since they may follow each other anywhere; the bytes of the
-    ids tell where each of them ends. Texts that hold a special token's string go to the tokenizer whole.
+    Each distinct piece of a batch is looked up once. Pieces not yet known are encoded together, as one text, since they
+    may follow each other anywhere; the bytes of the ids tell where each of them ends. Texts that hold a special token's
+    string go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, rank in vocabulary.items():
             self.sizes[rank] = len(token)  # one character stands for one byte
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # all but recently used ones are forgotten when known is full
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # all but recently used ones are forgotten when known is full
 
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        ends = np.cumsum([len(p.encode()) for p in pieces])
+    def _together(self, pieces: list[bytes]) -> list[bytes]:
+        ends = np.cumsum([len(p) for p in pieces])
         step = 200
-        joined = ["".join(pieces[k : k + step]) for k in range(0, len(pieces), step)]
+        joined = [b"".join(pieces[k : k + step]).decode() for k in range(0, len(pieces), step)]
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
         stops = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
 
-    def _alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    def _alone(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        cuts = [None if any(s in t for s in self.special) else cut(t) for t in batch]
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces."""
         if len(self.known) > PIECES_KEPT:
             self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
-        missing = set().union(*filter(None, cuts)).difference(known)
-        for piece in missing:
-            ids = older.get(piece)
-            if ids is not None:
-                known[piece] = ids
-            elif piece[:1] == " " and not piece[1:2].isspace():
-                new.append(piece)
-            else:
-                known[piece] = self._alone(piece)
-        known.update(zip(new, self._together(new) if new else []))
-        encoded = [self._alone(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(batch, cuts)]
+        found = list(map(self.known.get, pieces))
+        places = [k for k, ids in enumerate(found) if ids is None]
+        missing = [pieces[k] for k in places]
+        coded = list(map(self.older.get, missing))
+        new = []
+        for k, piece in enumerate(missing):
+            if coded[k] is None:
+                if piece[:1] == b" " and (32 < ord(piece[1:2] or b" ") < 127 or not piece[1:5].decode(errors="ignore")[:1].isspace()):
+                    new.append(k)
+                else:
+                    coded[k] = self._alone(piece)
+        for k, ids in zip(new, self._together([missing[k] for k in new]) if new else []):
+            coded[k] = ids
+        for k, ids in zip(places, coded):
+            found[k] = ids
+        self.known.update(zip(missing, coded))
         for piece in missing:
             if len(piece) > LONG_PIECE:
-                del known[piece]
-        return encoded
+                del self.known[piece]
+        return found
+
+    def encode(self, batch: list[bytes]) -> list[bytes]:
+        """The ids of each text (UTF-8), little-endian unsigned 32-bit."""
+        whole = {k: self._alone(t) for k, t in enumerate(batch) if any(s in t for s in self.special)}
+        parts = [b"" if k in whole else t for k, t in enumerate(batch)]
+        sizes = np.array([len(t) for t in parts], np.int64)
+        data = b"".join(parts)
+        if not data:
+            return [whole.get(k, b"") for k in range(len(batch))]
+        starts = piece_starts(np.frombuffer(data, np.uint8), sizes)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self._ids(column.dictionary.to_pylist()), pa.binary()).take(column.indices)
+        _, stops, out = ids.buffers()
+        at = np.searchsorted(starts, np.append(0, np.cumsum(sizes)))
+        cuts, out = np.frombuffer(stops, np.int32)[at].tolist(), out.to_pybytes()
+        return [whole[k] if k in whole else out[a:b] for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 @kept
@@ -140,7 +187,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
 
         for batch, _ in slabs(batches, text, SLAB_BYTES):
             names = batch.column(key).to_pylist()
-            for name, ids in zip(names, coder.encode(texts(batch.column(text)))):
+            for name, ids in zip(names, coder.encode([x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()])):
                 ids += end
                 total = len(ids) // 4
                 full = total - total % capacity
