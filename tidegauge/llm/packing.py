@@ -24,13 +24,17 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from tidegauge.llm.bpe import LONG_PIECE
-from tidegauge.llm.common import kept, mapped, slabs
+from tidegauge.llm.common import give_back, kept, mapped, slabs
 
 CAPACITY = 1024
 END_ID = 0
 BLOCK_DOCS = 8192
-SLAB_BYTES = 4_000_000
+SLAB_BYTES = 1_000_000
+#: Bytes of ids in an Arrow batch of pieces; the JVM holds it as well.
+OUT_BYTES = 2_000_000
 PIECES_KEPT = 150_000  # per Python worker
+#: Texts of 200 new pieces that are encoded in one call.
+TOGETHER = 16
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
@@ -83,7 +87,11 @@ class PieceMemo:
         ends = np.cumsum([len(p) for p in pieces])
         step = 200
         joined = [b"".join(pieces[k : k + step]).decode() for k in range(0, len(pieces), step)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ids = []
+        for k in range(0, len(joined), TOGETHER):  # what the tokenizer returns is far larger than the ids
+            coded = self.tokenizer.encode_batch_fast(joined[k : k + TOGETHER], add_special_tokens=False)
+            ids += [np.array(e.ids, np.uint32) for e in coded]
+        ids = np.concatenate(ids)
         stops = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
@@ -181,12 +189,13 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
             sequence += 1 + max((p[3] for p in pieces), default=-1)
             held = []
 
-        def batch_of() -> pa.RecordBatch:
+        def done() -> Iterator[pa.RecordBatch]:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            columns = zip(*rows) if rows else [[]] * len(kinds)
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
+            step = max(1, OUT_BYTES // (4 * capacity))
+            for k in range(0, len(rows), step):
+                columns = zip(*rows[k : k + step])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
             rows.clear()
-            return out
 
         for batch, _ in slabs(batches, text, SLAB_BYTES):
             names = batch.column(key).to_pylist()
@@ -201,9 +210,10 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
                     held.append((name, full, ids[4 * full :], total))
                     if len(held) >= BLOCK_DOCS:
                         settled()
-            if rows:
-                yield batch_of()
+            yield from done()
+            give_back()
         settled()
-        yield batch_of()
+        yield from done()
+        coder.older = {}  # tasks take turns on more workers than run at once
 
     return mapped(docs.select(key, text), run, PIECES)
