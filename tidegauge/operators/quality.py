@@ -118,7 +118,7 @@ def reasons_of(report: DataFrame, df: DataFrame, contract: Contract, label: str
         found = label_violations(df, contract, label)
         shown = [r["label"] for r in found.orderBy(F.desc("rows"), "label").limit(OFFENDERS_SHOWN).collect()]
         more = found.count() - len(shown)
-        reasons.append(f"labels outside the contract's domain: {shown}" + (f" and {more} more, see label_violations" if more > 0 else ""))
+        reasons.append(f"invalid labels, outside the contract's domain: {shown}" + (f" and {more} more, see label_violations" if more > 0 else ""))
     if not lines["columns"]["passed"]:
         reasons.append(f"the contract needs columns that the table lacks: {missing_columns(df, contract)}")
     if not lines["rows"]["passed"] and not allow_empty:
